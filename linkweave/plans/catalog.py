@@ -255,3 +255,7 @@ def n2_connections_undirected(spark, sf_dir):
     return TR.connections_undirected(
         edges, TB.fx_centres(spark, sf_dir), NEIGHBOURHOOD_DEPTH, CONNECTIONS_LIMIT
     )
+
+
+# Per-area registrations (imported last: they use ``register`` and ``fx_graph``).
+from linkweave.plans import q_ingest, q_state  # noqa: E402,F401

@@ -69,12 +69,15 @@ _CTES["fx_all"] = """
   FROM fx_links l JOIN fx_pages p ON p.id = l.source_id"""
 
 _CTES["fx_updates"] = """
-  SELECT event_id, 'User#' || lpad(CAST(user_id AS VARCHAR), 9, '0') AS title, user_id AS page_id,
-         CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'success'
+  SELECT e.event_id, c.c_name AS title, e.user_id AS page_id,
+         CASE e.event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'success'
               WHEN 'click' THEN 'redirect' WHEN 'purchase' THEN 'not_found'
               WHEN 'error' THEN 'error' END AS fetch_status,
-         ts AS updated_at
-  FROM events"""
+         CASE WHEN e.event_type = 'view' THEN md5(e.props) END AS content_hash,
+         CASE WHEN e.event_type = 'click' THEN t.c_name END AS redirect_to,
+         e.ts AS updated_at
+  FROM events e JOIN customer c ON c.c_custkey = e.user_id
+  LEFT JOIN customer t ON t.c_custkey = (e.user_id * 7 + 3) % (SELECT count(*) FROM customer)"""
 
 _DEPS = {
     "fx_pages": [],

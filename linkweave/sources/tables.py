@@ -194,12 +194,30 @@ def fx_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_page_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page-state changes from ``events`` (FIXTURES.md B.5): one row per event."""
-    ev = read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
-    return ev.select(
-        F.col("event_id"),
-        F.concat(F.lit("User#"), F.lpad(F.col("user_id").cast("string"), 9, "0")).alias("title"),
-        F.col("user_id").alias("page_id"),
-        _map_expr("event_type", EVENT_STATUS).alias("fetch_status"),
-        F.col("ts").alias("updated_at"),
+    """Page-state changes from ``events`` (FIXTURES.md B.5): one row per event.
+
+    Page = the customer whose key is the event's ``user_id``; the event type
+    gives the status, ``ts`` the update time.  A success carries
+    ``md5(props)`` as content hash, a redirect the page's fixture target.
+    """
+    ev = read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
+    cust = read(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    n_cust = cust.agg(F.count(F.lit(1)).alias("n"))
+    names = cust.select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("title"))
+    targets = cust.select(F.col("c_custkey").alias("t_key"), F.col("c_name").alias("t_name"))
+    status = _map_expr("event_type", EVENT_STATUS)
+    return (
+        ev.join(names, "user_id")
+        .crossJoin(F.broadcast(n_cust))  # one-row scalar
+        .withColumn("t_key", (F.col("user_id") * 7 + 3) % F.col("n"))
+        .join(targets, "t_key", "left")
+        .select(
+            "event_id",
+            "title",
+            F.col("user_id").alias("page_id"),
+            status.alias("fetch_status"),
+            F.when(status == S.STATUS_SUCCESS, F.md5("props")).alias("content_hash"),
+            F.when(status == S.STATUS_REDIRECT, F.col("t_name")).alias("redirect_to"),
+            F.col("ts").alias("updated_at"),
+        )
     )
