@@ -183,20 +183,21 @@ def p5_shortest_path_undirected(spark, sf_dir):
     return TR.shortest_paths_undirected(edges, _path_queries(spark, sf_dir, PATH_DEPTH))
 
 
-def _nbhd_sql(cap: int, part: str) -> str:
+def _nbhd_sql(cap: int, part: str, edges: str = "fx_edges") -> str:
     pre = O.cte(
         "fx_nodes",
         "fx_centres",
+        *([edges] if edges != "fx_edges" else []),
         extra=[
             ("seeds", "SELECT query_id, title FROM fx_centres WHERE title IN (SELECT title FROM fx_nodes)"),
         ],
     )
-    pre = pre.rstrip("\n") + ",\n" + O.reach_sql("fx_edges", "seeds", NEIGHBOURHOOD_DEPTH) + "\n"
+    pre = pre.rstrip("\n") + ",\n" + O.reach_sql(edges, "seeds", NEIGHBOURHOOD_DEPTH) + "\n"
     pre += f""", kept AS (SELECT query_id, title, CAST(hops AS INTEGER) AS hops FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hops, title) AS rn FROM reach) z
   WHERE rn <= {cap})
 , sub_edges AS (SELECT k.query_id, e.src AS source, e.dst AS target
-  FROM kept k JOIN fx_edges e ON e.src = k.title
+  FROM kept k JOIN {edges} e ON e.src = k.title
   WHERE k.hops < {NEIGHBOURHOOD_DEPTH}
     AND EXISTS (SELECT 1 FROM kept k2 WHERE k2.query_id = k.query_id AND k2.title = e.dst))
 """
@@ -258,4 +259,4 @@ def n2_connections_undirected(spark, sf_dir):
 
 
 # Per-area registrations (imported last: they use ``register`` and ``fx_graph``).
-from linkweave.plans import q_ingest, q_similar, q_state  # noqa: E402,F401
+from linkweave.plans import q_graph, q_ingest, q_similar, q_state  # noqa: E402,F401

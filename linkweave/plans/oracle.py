@@ -64,6 +64,9 @@ _CTES["fx_centres"] = """
 _CTES["fx_undirected"] = """
   SELECT src, dst FROM fx_edges UNION SELECT dst, src FROM fx_edges"""
 
+_CTES["fx_reversed"] = """
+  SELECT dst AS src, src AS dst FROM fx_edges"""
+
 _CTES["fx_all"] = """
   SELECT p.title AS src, l.target_title AS dst
   FROM fx_links l JOIN fx_pages p ON p.id = l.source_id"""
@@ -88,6 +91,7 @@ _DEPS = {
     "fx_path_queries": ["fx_pages"],
     "fx_centres": ["fx_pages"],
     "fx_undirected": ["fx_edges"],
+    "fx_reversed": ["fx_edges"],
     "fx_all": ["fx_pages", "fx_links"],
     "fx_updates": [],
 }
