@@ -125,10 +125,11 @@ def refresh_graph(
 ) -> tuple[DataFrame, DataFrame]:
     """M9: apply page changes newer than ``since`` to a projected graph.
 
-    Pages with ``updated_at > since`` lose their out-edges; those now in
-    ``success`` get their current links back.  Nodes are never removed.
+    Pages with ``updated_at > since`` (all given pages when ``since`` is None)
+    lose their out-edges; those now in ``success`` get their current links
+    back.  Nodes are never removed.
     """
-    changed = pages.where(F.col("updated_at") > F.lit(since))
+    changed = pages if since is None else pages.where(F.col("updated_at") > F.lit(since))
     kept = edges.join(changed.select(F.col("title").alias("src")), "src", "left_anti")
     fresh = graph_edges(changed, links)
     new_edges = kept.unionByName(fresh)
