@@ -115,14 +115,20 @@ def _block_pairs(
     group = group or []
     ids = F.sequence(F.lit(0), F.lit(nb - 1))
     q_rep = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(nb))).withColumn("cb", F.explode(ids))
-    c_rep = c.withColumn("cb", F.pmod(F.xxhash64("vec_id"), F.lit(nb))).withColumn("qb", F.explode(ids))
+    # Distinct column names on the two sides: a cogroup drops right-side
+    # columns whose names repeat the left side's.
+    c_rep = (
+        c.withColumnRenamed("embedding", "c_embedding")
+        .withColumn("cb", F.pmod(F.xxhash64("vec_id"), F.lit(nb)))
+        .withColumn("qb", F.explode(ids))
+    )
 
     def pair(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
         return _local_topk(
             qpdf["query_id"].to_numpy(),
             _normalise(_matrix(qpdf["embedding"])),
             cpdf["vec_id"].to_numpy(),
-            _normalise(_matrix(cpdf["embedding"])),
+            _normalise(_matrix(cpdf["c_embedding"])),
             k,
             exclude_self,
         )
