@@ -17,7 +17,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from linkweave.operators.topk import top_k_per_group
@@ -39,6 +40,29 @@ def _ckpt(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _ckpt_obs(df: DataFrame, **metrics) -> tuple[DataFrame, dict]:
+    """Reliable checkpoint that also returns aggregate metrics of the same pass."""
+    checkpoint_dir(df.sparkSession)
+    obs = Observation()
+    out = df.observe(obs, *[m.alias(k) for k, m in metrics.items()]).checkpoint(eager=True)
+    return out, obs.get
+
+
+def partitioned_edges(edges: DataFrame, key: str = "src") -> DataFrame:
+    """Edge table materialised once per traversal, hash-partitioned on ``key``.
+
+    The edges are first written as a reliable checkpoint (lineage cut), then
+    kept hash-partitioned in memory/disk on top of it: every level joins the
+    frontier on this key, and the cached partitioning means only the frontier
+    side is shuffled.  A lost cached block is rebuilt from the checkpoint
+    files with one shuffle.  Callers ``unpersist`` when the loop ends.
+    """
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = _ckpt(edges.select("src", "dst")).repartition(n, key).persist(StorageLevel.MEMORY_AND_DISK)
+    out.count()
+    return out
+
+
 def _nodes_of(edges: DataFrame) -> DataFrame:
     return (
         edges.select(F.col("src").alias("node"))
@@ -94,19 +118,26 @@ def _trivial(q: DataFrame) -> DataFrame:
 
 
 def _active(q: DataFrame) -> DataFrame:
-    return q.where(F.col("ok") & (F.col("from") != F.col("to")) & (F.col("max_depth") != 0))
+    return q.where(_is_active())
 
 
-def _level_bound(active: DataFrame) -> int:
-    """Largest number of levels any active query may need (one small aggregate)."""
-    row = active.agg(
-        F.max("max_depth").alias("m"), F.min("max_depth").alias("lo"), F.count(F.lit(1)).alias("n")
-    ).first()
-    if row is None or row["n"] == 0:
-        return 0
-    if row["lo"] is not None and row["lo"] < 0:
-        return _UNLIMITED_LEVELS
-    return int(row["m"])
+def _is_active():
+    return F.col("ok") & (F.col("from") != F.col("to")) & (F.col("max_depth") != 0)
+
+
+def _classified(queries, nodes, edges, default_depth) -> tuple[DataFrame, int, int]:
+    """Checkpointed classified queries, number of active ones, level bound."""
+    q, m = _ckpt_obs(
+        _classify(queries, nodes, edges, default_depth),
+        n=F.count_if(_is_active()),
+        hi=F.max(F.when(_is_active(), F.col("max_depth"))),
+        lo=F.min(F.when(_is_active(), F.col("max_depth"))),
+    )
+    n = int(m["n"] or 0)
+    if n == 0:
+        return q, 0, 0
+    bound = _UNLIMITED_LEVELS if m["lo"] is not None and m["lo"] < 0 else int(m["hi"])
+    return q, n, bound
 
 
 def _assemble(q: DataFrame, found: list[DataFrame], explored: list[DataFrame]) -> DataFrame:
@@ -147,24 +178,22 @@ def shortest_paths(
     ``max_depth`` < 0 means unlimited; a path is found iff its length is
     ``<= max_depth``.  ``explored`` counts the nodes expanded, whole levels.
     """
-    edges = edges.select("src", "dst")
-    q = _ckpt(_classify(queries, nodes, edges, default_depth))
+    q, n_frontier, bound = _classified(queries, nodes, edges.select("src", "dst"), default_depth)
+    edges = partitioned_edges(edges, "src") if n_frontier > 0 else edges.select("src", "dst")
     active = _active(q).select("query_id", "to", "max_depth")
-    bound = _level_bound(active)
 
-    frontier = _ckpt(
-        _active(q).select("query_id", F.col("from").alias("node"), F.array(F.col("from")).alias("path"))
-    )
+    frontier = _active(q).select("query_id", F.col("from").alias("node"), F.array(F.col("from")).alias("path"))
     visited = [frontier.select("query_id", "node")]
     found: list[DataFrame] = []
     explored: list[DataFrame] = []
-    n_frontier = frontier.count()
     level = 0
+    # One reliable checkpoint per level; the frontier of the next level is a
+    # cheap filter of it, and the observed ``go_on`` count bounds its size.
     while n_frontier > 0 and level < bound:
         level += 1
         explored.append(frontier.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")))
         seen = union_all(visited)
-        step = (
+        step, m = _ckpt_obs(
             frontier.join(edges, frontier["node"] == edges["src"])
             .select("query_id", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
             .groupBy("query_id", "node")
@@ -177,20 +206,21 @@ def shortest_paths(
                 "path",
                 (F.col("node") == F.col("to")).alias("hit"),
                 ((F.col("max_depth") < 0) | (F.col("max_depth") > level)).alias("go_on"),
-            )
+            ),
+            n=F.count_if(F.col("go_on")),
         )
-        step = _ckpt(step)
         hits = step.where("hit").select("query_id", "path", F.lit(level).alias("hops"))
         found.append(hits)
         visited.append(step.select("query_id", "node"))
         if len(visited) >= _VISITED_COMPACT_EVERY:
             visited = [_ckpt(union_all(visited))]
-        frontier = _ckpt(
+        frontier = (
             step.where("go_on")
             .join(hits.select("query_id"), "query_id", "left_anti")
             .select("query_id", "node", "path")
         )
-        n_frontier = frontier.count()
+        n_frontier = int(m["n"] or 0)
+    edges.unpersist()
     return _assemble(q, found, explored)
 
 
@@ -209,28 +239,30 @@ def shortest_paths_bidirectional(
     path, the same answer as :func:`shortest_paths`.  ``max_depth`` bounds the
     number of steps (= path length).
     """
-    edges = edges.select("src", "dst")
-    q = _ckpt(_classify(queries, nodes, edges, default_depth))
+    q, n_active, bound = _classified(queries, nodes, edges.select("src", "dst"), default_depth)
+    out_edges = partitioned_edges(edges, "src") if n_active > 0 else edges.select("src", "dst")
+    in_edges = partitioned_edges(edges, "dst") if n_active > 0 else edges.select("src", "dst")
     active = _active(q).select("query_id", "max_depth")
-    bound = _level_bound(active)
 
     start = _active(q)
-    frontier = _ckpt(
-        start.select("query_id", F.lit("F").alias("dir"), F.col("from").alias("node"), F.array("from").alias("path"))
-        .unionByName(
-            start.select("query_id", F.lit("B").alias("dir"), F.col("to").alias("node"), F.array("to").alias("path"))
-        )
+    frontier = start.select(
+        "query_id", F.lit("F").alias("dir"), F.col("from").alias("node"), F.array("from").alias("path")
+    ).unionByName(
+        start.select("query_id", F.lit("B").alias("dir"), F.col("to").alias("node"), F.array("to").alias("path"))
     )
     visited = [frontier]
     found: list[DataFrame] = []
     explored: list[DataFrame] = []
     step_no = 0
-    n_frontier = frontier.count()
+    n_frontier = 2 * n_active
+    tail = lambda c: F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(1)))
+    # Two reliable checkpoints per step: the newly reached nodes and the next
+    # frontier (whose observed size decides whether to go on).
     while n_frontier > 0 and step_no < bound:
         sizes = frontier.groupBy("query_id").agg(
             F.count_if(F.col("dir") == "F").alias("nf"), F.count_if(F.col("dir") == "B").alias("nb")
         )
-        pick = _ckpt(
+        pick = (
             sizes.join(active, "query_id")
             .where((F.col("nf") > 0) & (F.col("nb") > 0))
             .where((F.col("max_depth") < 0) | (F.col("max_depth") > step_no))
@@ -245,12 +277,12 @@ def shortest_paths_bidirectional(
         expand = frontier.join(pick.select("query_id", "dir"), ["query_id", "dir"], "left_semi")
         fwd = (
             expand.where(F.col("dir") == "F")
-            .join(edges, F.col("node") == F.col("src"))
+            .join(out_edges, F.col("node") == F.col("src"))
             .select("query_id", "dir", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
         )
         bwd = (
             expand.where(F.col("dir") == "B")
-            .join(edges, F.col("node") == F.col("dst"))
+            .join(in_edges, F.col("node") == F.col("dst"))
             .select("query_id", "dir", F.col("src").alias("node"), F.concat(F.array("src"), "path").alias("path"))
         )
         seen = union_all(visited)
@@ -266,7 +298,6 @@ def shortest_paths_bidirectional(
             "node",
             F.col("path").alias("opath"),
         )
-        tail = lambda c: F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(1)))
         meet = (
             new.join(other, ["query_id", "dir", "node"])
             .select(
@@ -277,8 +308,8 @@ def shortest_paths_bidirectional(
             )
             .groupBy("query_id")
             .agg(F.min("full").alias("path"))
+            .select("query_id", "path", (F.size("path") - 1).alias("hops"))
         )
-        meet = _ckpt(meet.select("query_id", "path", (F.size("path") - 1).alias("hops")))
         found.append(meet)
         visited.append(new)
         if len(visited) >= _VISITED_COMPACT_EVERY:
@@ -288,10 +319,13 @@ def shortest_paths_bidirectional(
         kept = frontier.join(pick.select("query_id", "dir"), ["query_id", "dir"], "left_anti").join(
             pick.select("query_id"), "query_id", "left_semi"
         )
-        frontier = _ckpt(
-            kept.unionByName(new).join(meet.select("query_id"), "query_id", "left_anti")
+        frontier, m = _ckpt_obs(
+            kept.unionByName(new).join(meet.select("query_id"), "query_id", "left_anti"),
+            n=F.count(F.lit(1)),
         )
-        n_frontier = frontier.count()
+        n_frontier = int(m["n"] or 0)
+    out_edges.unpersist()
+    in_edges.unpersist()
     return _assemble(q, found, explored)
 
 
@@ -305,26 +339,30 @@ def reachable(
     ``seeds(query_id, title)`` -> ``(query_id, title, hops)`` including the seed
     at hop 0.  Same level loop as :func:`shortest_paths`, without paths.
     """
-    edges = edges.select("src", "dst")
-    frontier = _ckpt(seeds.select("query_id", F.col("title").alias("node")).distinct())
+    edges = partitioned_edges(edges, "src")
+    frontier, m = _ckpt_obs(
+        seeds.select("query_id", F.col("title").alias("node")).distinct(), n=F.count(F.lit(1))
+    )
     levels = [frontier.withColumn("hops", F.lit(0))]
     visited = [frontier]
     level = 0
-    n = frontier.count()
+    n = int(m["n"] or 0)
     while n > 0 and level < max_depth:
         level += 1
         seen = union_all(visited)
-        frontier = _ckpt(
+        frontier, m = _ckpt_obs(
             frontier.join(edges, F.col("node") == F.col("src"))
             .select("query_id", F.col("dst").alias("node"))
             .distinct()
-            .join(seen, ["query_id", "node"], "left_anti")
+            .join(seen, ["query_id", "node"], "left_anti"),
+            n=F.count(F.lit(1)),
         )
         levels.append(frontier.withColumn("hops", F.lit(level)))
         visited.append(frontier)
         if len(visited) >= _VISITED_COMPACT_EVERY:
             visited = [_ckpt(union_all(visited))]
-        n = frontier.count()
+        n = int(m["n"] or 0)
+    edges.unpersist()
     out = union_all(levels)
     return out.select("query_id", F.col("node").alias("title"), F.col("hops").cast("int").alias("hops"))
 
