@@ -521,3 +521,42 @@ def m10_upsert_pages(spark, sf_dir):
 )
 def m11_purge_pages(spark, sf_dir):
     return M.purge_pages(TB.fx_pages(spark, sf_dir), TB.fx_links(spark, sf_dir), PURGE_BEFORE)[2]
+
+
+# ---------------------------------------------------------------- X7
+def _fetch_results(spark, sf_dir):
+    """Replayed fetches of every non-pending page: errors, 404s, redirects to the
+    fixture target, and success bodies (the page's document text when it has one,
+    else its title -- whose hash equals the stored one)."""
+    from linkweave.functions import text as X
+
+    pages = TB.fx_pages(spark, sf_dir).where(F.col("fetch_status") != S.STATUS_PENDING)
+    docs = TB.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    st = F.col("fetch_status")
+    return pages.join(docs, "id", "left").select(
+        "title",
+        F.when(st == S.STATUS_NOT_FOUND, F.lit(404)).otherwise(F.lit(200)).alias("status_code"),
+        F.when(st == S.STATUS_REDIRECT, X.title_to_url("redirect_to")).otherwise(X.title_to_url("title")).alias(
+            "final_url"
+        ),
+        F.when(st == S.STATUS_SUCCESS, F.coalesce("text", "title")).alias("html"),
+        F.when(st == S.STATUS_ERROR, F.lit("fetch failed")).alias("error"),
+    )
+
+
+@register(
+    "x7_classify_fetches",
+    O.cte("fx_pages")
+    + """SELECT p.title,
+       CASE p.fetch_status WHEN 'error' THEN 'error' WHEN 'not_found' THEN 'not_found'
+            WHEN 'redirect' THEN 'redirect' ELSE 'success' END AS outcome,
+       CASE WHEN p.fetch_status = 'redirect' THEN p.redirect_to END AS redirect_to,
+       CASE WHEN p.fetch_status = 'success' THEN md5(coalesce(d.text, p.title)) END AS content_hash,
+       p.fetch_status = 'success' AND md5(coalesce(d.text, p.title)) <> p.content_hash AS fetched,
+       p.fetch_status IN ('not_found', 'redirect')
+         OR (p.fetch_status = 'success' AND md5(coalesce(d.text, p.title)) = p.content_hash) AS skipped
+FROM fx_pages p LEFT JOIN documents d ON d.doc_id = p.id
+WHERE p.fetch_status <> 'pending'""",
+)
+def x7_classify_fetches(spark, sf_dir):
+    return IN.classify_fetches(_fetch_results(spark, sf_dir), TB.fx_pages(spark, sf_dir)).drop("html")
