@@ -18,7 +18,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from linkweave.operators.topk import top_k_per_group
@@ -167,11 +167,114 @@ def _assemble(q: DataFrame, found: list[DataFrame], explored: list[DataFrame]) -
     return _trivial(q).unionByName(searched)
 
 
+def encode_graph(edges: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``long`` ids in title order: ``(ids(title, id), edges(src, dst) as ids)``.
+
+    Ids follow title order, so the minimum of id arrays is the minimum of the
+    title arrays they stand for; paths, joins and shuffles then carry 8-byte
+    keys instead of strings.  Ids come from a range-partitioned sort: the
+    partition index fills the high bits and the rank inside the partition the
+    low bits (no one-task window, no global numbering pass).
+    """
+    titles = _nodes_of(edges).select(F.col("node").alias("title")) if nodes is None else nodes.select("title")
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = titles.distinct().repartitionByRange(n, "title").withColumn("_pid", F.spark_partition_id())
+    # Range partitions are ordered, so (partition index, rank inside it) is an
+    # order-preserving id without any global numbering pass.
+    ids = _ckpt(
+        ranged.select(
+            "title",
+            (F.col("_pid").cast("long") * F.lit(1 << 40)
+             + F.row_number().over(Window.partitionBy("_pid").orderBy("title"))).alias("id"),
+        )
+    )
+    enc = (
+        edges.select("src", "dst")
+        .join(ids.select(F.col("title").alias("src"), F.col("id").alias("s")), "src")
+        .join(ids.select(F.col("title").alias("dst"), F.col("id").alias("d")), "dst")
+        .select(F.col("s").alias("src"), F.col("d").alias("dst"))
+    )
+    return ids, _ckpt(enc)
+
+
+def _encoded_queries(queries: DataFrame, ids: DataFrame) -> DataFrame:
+    """Queries with ``from``/``to`` replaced by ids (NULL when the title is no node)."""
+    return (
+        queries.select("query_id", "from", "to", "max_depth")
+        .join(ids.select(F.col("title").alias("from"), F.col("id").alias("_f")), "from", "left")
+        .join(ids.select(F.col("title").alias("to"), F.col("id").alias("_t")), "to", "left")
+        .select("query_id", F.col("_f").alias("from"), F.col("_t").alias("to"), "max_depth")
+    )
+
+
+def _decode(result: DataFrame, queries: DataFrame, ids: DataFrame) -> DataFrame:
+    """Map id paths back to titles; restore the requested ``from``/``to`` text.
+
+    The regrouping is per found query and holds one row per path element, so
+    each group is bounded by the path length.
+    """
+    titles = queries.select("query_id", F.col("from").alias("_from"), F.col("to").alias("_to"))
+    elems = result.where(F.col("path").isNotNull()).select(
+        "query_id", F.posexplode("path").alias("pos", "id")
+    )
+    paths = (
+        elems.join(ids, "id")
+        .groupBy("query_id")
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "title"))).alias("_p"))
+        .select("query_id", F.transform("_p", lambda x: x["title"]).alias("_path"))
+    )
+    rest = [c for c in result.columns if c not in ("query_id", "from", "to", "found", "path")]
+    return (
+        result.join(titles, "query_id")
+        .join(paths, "query_id", "left")
+        .select(
+            "query_id",
+            F.col("_from").alias("from"),
+            F.col("_to").alias("to"),
+            "found",
+            F.col("_path").alias("path"),
+            *rest,
+        )
+    )
+
+
 def shortest_paths(
     edges: DataFrame,
     queries: DataFrame,
     nodes: DataFrame | None = None,
     default_depth: int = -1,
+    encode: bool = True,
+) -> DataFrame:
+    """P1/P2/P4 on a title graph; ``encode`` runs the search on dense long ids."""
+    if not encode:
+        return _bfs_paths(edges, queries, nodes, default_depth)
+    ids, enc = encode_graph(edges, nodes)
+    q = queries.select("query_id", "from", "to", "max_depth")
+    res = _bfs_paths(enc, _encoded_queries(q, ids), ids.select(F.col("id").alias("title")), default_depth)
+    return _decode(res, q, ids)
+
+
+def shortest_paths_bidirectional(
+    edges: DataFrame,
+    queries: DataFrame,
+    nodes: DataFrame | None = None,
+    default_depth: int = -1,
+    encode: bool = True,
+) -> DataFrame:
+    """P3 on a title graph; ``encode`` runs the search on dense long ids."""
+    if not encode:
+        return _bidi_paths(edges, queries, nodes, default_depth)
+    ids, enc = encode_graph(edges, nodes)
+    q = queries.select("query_id", "from", "to", "max_depth")
+    res = _bidi_paths(enc, _encoded_queries(q, ids), ids.select(F.col("id").alias("title")), default_depth)
+    return _decode(res, q, ids)
+
+
+def _bfs_paths(
+    edges: DataFrame,
+    queries: DataFrame,
+    nodes: DataFrame | None = None,
+    default_depth: int = -1,
 ) -> DataFrame:
     """Directed BFS for a table ``(query_id, from, to, max_depth)``.
 
@@ -180,9 +283,12 @@ def shortest_paths(
     """
     q, n_frontier, bound = _classified(queries, nodes, edges.select("src", "dst"), default_depth)
     edges = partitioned_edges(edges, "src") if n_frontier > 0 else edges.select("src", "dst")
-    active = _active(q).select("query_id", "to", "max_depth")
 
-    frontier = _active(q).select("query_id", F.col("from").alias("node"), F.array(F.col("from")).alias("path"))
+    # Frontier rows carry their query's target and limit, so a level needs no
+    # join with the query table.
+    frontier = _active(q).select(
+        "query_id", F.col("from").alias("node"), F.array(F.col("from")).alias("path"), "to", "max_depth"
+    )
     visited = [frontier.select("query_id", "node")]
     found: list[DataFrame] = []
     explored: list[DataFrame] = []
@@ -193,19 +299,29 @@ def shortest_paths(
         level += 1
         explored.append(frontier.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")))
         seen = union_all(visited)
+        go_on = (F.col("max_depth") < 0) | (F.col("max_depth") > level)
         step, m = _ckpt_obs(
             frontier.join(edges, frontier["node"] == edges["src"])
-            .select("query_id", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
+            .select(
+                "query_id",
+                F.col("dst").alias("node"),
+                F.concat("path", F.array("dst")).alias("path"),
+                "to",
+                "max_depth",
+            )
+            # At a query's last allowed level only the target itself matters.
+            .where(go_on | (F.col("node") == F.col("to")))
             .groupBy("query_id", "node")
-            .agg(F.min("path").alias("path"))
+            .agg(F.min("path").alias("path"), F.max("to").alias("to"), F.max("max_depth").alias("max_depth"))
             .join(seen, ["query_id", "node"], "left_anti")
-            .join(active, "query_id")
             .select(
                 "query_id",
                 "node",
                 "path",
+                "to",
+                "max_depth",
                 (F.col("node") == F.col("to")).alias("hit"),
-                ((F.col("max_depth") < 0) | (F.col("max_depth") > level)).alias("go_on"),
+                go_on.alias("go_on"),
             ),
             n=F.count_if(F.col("go_on")),
         )
@@ -217,14 +333,14 @@ def shortest_paths(
         frontier = (
             step.where("go_on")
             .join(hits.select("query_id"), "query_id", "left_anti")
-            .select("query_id", "node", "path")
+            .select("query_id", "node", "path", "to", "max_depth")
         )
         n_frontier = int(m["n"] or 0)
     edges.unpersist()
     return _assemble(q, found, explored)
 
 
-def shortest_paths_bidirectional(
+def _bidi_paths(
     edges: DataFrame,
     queries: DataFrame,
     nodes: DataFrame | None = None,
