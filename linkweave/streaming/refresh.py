@@ -7,11 +7,11 @@ a streaming checkpoint, so a restarted job resumes where it stopped; sinks
 written by ``foreachBatch`` are keyed by batch id (a replayed batch overwrites
 its own output), which makes them idempotent.
 
-* T1 ``refresh_stream``        -- apply M9 per micro-batch to the latest graph version
+* T1 ``refresh_stream``        -- M9 under a stream: only success flips are logged per batch
 * T2 ``changed_content_stream`` -- emit a change only when a page's content differs
   from the last one seen (per-title state, ``applyInPandasWithState``)
-* T3 ``export_stream``          -- append newly exported nodes/edges, de-duplicated
-* T4 ``status_counts_stream``   -- latest status per page, counts per status
+* T3 ``export_stream``          -- append each page once (per-page state) with its edges
+* T4 ``status_counts_stream``   -- per-page status in state, +1/-1 deltas folded into counts
 """
 
 from __future__ import annotations
@@ -69,6 +69,42 @@ def _run(writer, available_now: bool = True, timeout_s: int | None = None):
 
 
 # ---------------------------------------------------------------- T1
+_FLIP_OUT = "title string, page_id long, success boolean, updated_at timestamp_ntz, event_id long"
+_FLIP_STATE = "success boolean, updated_at timestamp_ntz, event_id long"
+
+
+def _success_flips(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Per page: emit its latest state when success-ness differs from the stored one.
+
+    Re-adding the same links to a page that stays ``success`` changes nothing
+    (the link table is the source of truth), so only flips need to travel.
+    The first update of a page is always emitted: it drops or re-adds the
+    page's out-edges in the base graph.
+    """
+    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(ORDER, kind="stable")
+    last = state.get if state.exists else None
+    last_ok = last[0] if last is not None else None
+    last_key = (pd.Timestamp(last[1]), last[2]) if last is not None else None
+    newest = None
+    for row in pdf.itertuples(index=False):
+        k = (row.updated_at, row.event_id)
+        if last_key is not None and k <= last_key:
+            continue  # late or replayed
+        newest, last_key = row, k
+    if newest is None:
+        yield pd.DataFrame([], columns=["title", "page_id", "success", "updated_at", "event_id"])
+        return
+    ok = newest.fetch_status == "success"
+    state.update((ok, pd.Timestamp(newest.updated_at).to_pydatetime(), int(newest.event_id)))
+    if last_ok is None or ok != last_ok:
+        yield pd.DataFrame(
+            [(newest.title, int(newest.page_id), ok, newest.updated_at, int(newest.event_id))],
+            columns=["title", "page_id", "success", "updated_at", "event_id"],
+        )
+    else:
+        yield pd.DataFrame([], columns=["title", "page_id", "success", "updated_at", "event_id"])
+
+
 def refresh_stream(
     stream: DataFrame,
     nodes: DataFrame,
@@ -77,36 +113,28 @@ def refresh_stream(
     out_dir: str,
     checkpoint: str,
 ) -> tuple[DataFrame, DataFrame]:
-    """Per micro-batch, M9 on the previous version; returns the final (nodes, edges)."""
-    spark = stream.sparkSession
+    """Keep a projected graph current under a stream of page changes (M9 semantics).
+
+    Each micro-batch appends only the pages whose success-ness flipped (per-page
+    state in the state store), so a batch costs O(batch), never O(graph).  The
+    current graph is ``base`` minus the out-edges of every flipped page, plus
+    the links of pages whose latest flip is to ``success``; :func:`graph_view`
+    derives it, and compaction would fold the flips into a new base.
+    """
+    flips = stream.drop("day").groupBy("title").applyInPandasWithState(
+        _success_flips, _FLIP_OUT, _FLIP_STATE, "append", GroupStateTimeout.NoTimeout
+    )
+    _run(flips.writeStream.format("parquet").option("path", f"{out_dir}/flips").option("checkpointLocation", checkpoint))
+    return graph_view(nodes, edges, links, stream.sparkSession.read.schema(_FLIP_OUT).parquet(f"{out_dir}/flips"))
 
-    def version(kind: str, batch_id: int) -> str:
-        return f"{out_dir}/{kind}/batch={batch_id}"
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        if batch_id == 0:
-            cur_n, cur_e = nodes, edges
-        else:
-            cur_n = spark.read.parquet(version("nodes", batch_id - 1))
-            cur_e = spark.read.parquet(version("edges", batch_id - 1))
-        changed = M.latest_per_title(batch.drop("day"), ORDER).select(
-            F.col("page_id").alias("id"), "title", "fetch_status", "updated_at"
-        )
-        new_n, new_e = G.refresh_graph(cur_n, cur_e, changed, links, None)
-        new_e.write.mode("overwrite").parquet(version("edges", batch_id))
-        new_n.write.mode("overwrite").parquet(version("nodes", batch_id))
-
-    q = _run(stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint))
-    last = q.lastProgress["batchId"] if q.lastProgress else None
-    if last is None:
-        return nodes, edges
-    # The last progress may describe an empty batch; walk back to a written one.
-    for b in range(int(last), -1, -1):
-        try:
-            return spark.read.parquet(version("nodes", b)), spark.read.parquet(version("edges", b))
-        except Exception:  # noqa: BLE001 - batch had no output folder
-            continue
-    return nodes, edges
+
+def graph_view(nodes: DataFrame, edges: DataFrame, links: DataFrame, flips: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Current (nodes, edges) from a base graph and the flip log (latest flip per page wins)."""
+    latest = M.latest_per_title(flips, ORDER)
+    changed = latest.select(F.col("page_id").alias("id"), "title",
+                            F.when(F.col("success"), F.lit("success")).otherwise(F.lit("changed")).alias("fetch_status"),
+                            "updated_at")
+    return G.refresh_graph(nodes, edges, changed, links, None)
 
 
 # ---------------------------------------------------------------- T2
@@ -142,24 +170,44 @@ def changed_content_stream(stream: DataFrame, out_dir: str, checkpoint: str) ->
 
 
 # ---------------------------------------------------------------- T3
+_NEW_NODE_OUT = "title string, page_id long"
+_EXPORTED_STATE = "exported boolean"
+
+
+def _first_success(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Per page: emit it once, on its first ``success`` update."""
+    if state.exists:
+        yield pd.DataFrame([], columns=["title", "page_id"])
+        return
+    pdf = pd.concat(list(pdfs), ignore_index=True)
+    ok = pdf[pdf["fetch_status"] == "success"]
+    if len(ok) == 0:
+        yield pd.DataFrame([], columns=["title", "page_id"])
+        return
+    state.update((True,))
+    first = ok.sort_values(ORDER, kind="stable").iloc[0]
+    yield pd.DataFrame([(first["title"], int(first["page_id"]))], columns=["title", "page_id"])
+
+
 def export_stream(stream: DataFrame, links: DataFrame, out_dir: str, checkpoint: str) -> tuple[DataFrame, DataFrame]:
-    """Append nodes for pages seen in ``success`` and their out-edges, each once."""
+    """Append each page once when first seen in ``success``, with its out-edges.
+
+    "Already exported" is per-page state, so a batch never re-reads the sink;
+    its edges come from a stream-static join with the link table.
+    """
     spark = stream.sparkSession
+    new_nodes = stream.drop("day").groupBy("title").applyInPandasWithState(
+        _first_success, _NEW_NODE_OUT, _EXPORTED_STATE, "append", GroupStateTimeout.NoTimeout
+    )
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        ok = batch.where(F.col("fetch_status") == "success").select("title", "page_id").distinct()
-        try:
-            done_n = spark.read.parquet(f"{out_dir}/nodes").where(F.col("batch") < batch_id).select("title")
-        except Exception:  # noqa: BLE001 - nothing exported yet
-            done_n = spark.createDataFrame([], "title string")
-        new_n = ok.join(done_n, "title", "left_anti")
-        new_e = links.join(new_n.select(F.col("page_id").alias("source_id"), F.col("title").alias("src")), "source_id").select(
-            "src", F.col("target_title").alias("dst")
-        ).distinct()
-        new_n.select("title").write.mode("overwrite").parquet(f"{out_dir}/nodes/batch={batch_id}")
-        new_e.write.mode("overwrite").parquet(f"{out_dir}/edges/batch={batch_id}")
-
-    _run(stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint))
+        batch.select("title").write.mode("overwrite").parquet(f"{out_dir}/nodes/batch={batch_id}")
+        edges = links.join(
+            batch.select(F.col("page_id").alias("source_id"), F.col("title").alias("src")), "source_id"
+        ).select("src", F.col("target_title").alias("dst"))
+        edges.write.mode("overwrite").parquet(f"{out_dir}/edges/batch={batch_id}")
+
+    _run(new_nodes.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint))
     try:
         return (
             spark.read.parquet(f"{out_dir}/nodes").select("title"),
@@ -170,23 +218,58 @@ def export_stream(stream: DataFrame, links: DataFrame, out_dir: str, checkpoint:
 
 
 # ---------------------------------------------------------------- T4
+_DELTA_OUT = "fetch_status string, delta long"
+_STATUS_STATE = "fetch_status string, updated_at timestamp_ntz, event_id long"
+
+
+def _status_deltas(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Per page: (old status, -1), (new status, +1) when its latest status changes."""
+    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(ORDER, kind="stable")
+    last = state.get if state.exists else None
+    old = last[0] if last is not None else None
+    last_key = (pd.Timestamp(last[1]), last[2]) if last is not None else None
+    newest = None
+    for row in pdf.itertuples(index=False):
+        k = (row.updated_at, row.event_id)
+        if last_key is not None and k <= last_key:
+            continue
+        newest, last_key = row, k
+    out = []
+    if newest is not None:
+        state.update((newest.fetch_status, pd.Timestamp(newest.updated_at).to_pydatetime(), int(newest.event_id)))
+        if newest.fetch_status != old:
+            if old is not None:
+                out.append((old, -1))
+            out.append((newest.fetch_status, 1))
+    yield pd.DataFrame(out, columns=["fetch_status", "delta"])
+
+
 def status_counts_stream(stream: DataFrame, out_dir: str, checkpoint: str) -> DataFrame:
-    """T4: latest status per page across batches, then page counts per status."""
+    """T4: live page counts per status.
+
+    Per-page latest status lives in the state store; only status transitions
+    leave it, as +1/-1 rows, and each micro-batch folds them into a counts
+    table with one row per status (written per batch id, so replays are
+    idempotent).  Work per batch is O(batch).
+    """
     spark = stream.sparkSession
+    deltas = stream.drop("day").groupBy("title").applyInPandasWithState(
+        _status_deltas, _DELTA_OUT, _STATUS_STATE, "append", GroupStateTimeout.NoTimeout
+    )
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        latest = M.latest_per_title(batch.drop("day").select("title", "fetch_status", *ORDER), ORDER)
+    def fold(batch: DataFrame, batch_id: int) -> None:
+        cur = batch.groupBy("fetch_status").agg(F.sum("delta").alias("pages"))
         if batch_id > 0:
             prev = spark.read.parquet(f"{out_dir}/batch={batch_id - 1}")
-            latest = M.latest_per_title(prev.unionByName(latest), ORDER)
-        latest.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
+            cur = prev.unionByName(cur).groupBy("fetch_status").agg(F.sum("pages").alias("pages"))
+        cur.coalesce(1).write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")  # <= 5 rows
 
-    q = _run(stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint))
+    q = _run(deltas.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint))
     last = int(q.lastProgress["batchId"]) if q.lastProgress else -1
     for b in range(last, -1, -1):
         try:
-            state = spark.read.parquet(f"{out_dir}/batch={b}")
-            return state.groupBy("fetch_status").agg(F.count(F.lit(1)).alias("pages"))
+            counts = spark.read.parquet(f"{out_dir}/batch={b}")
+            return counts.where(F.col("pages") != 0).select("fetch_status", F.col("pages").cast("long"))
         except Exception:  # noqa: BLE001
             continue
     return spark.createDataFrame([], "fetch_status string, pages long")
