@@ -105,21 +105,24 @@ def _local_topk(qids, qmat, cids, cmat, k: int, exclude_self: bool) -> pd.DataFr
 
 
 def _block_pairs(
-    q: DataFrame, c: DataFrame, k: int, exclude_self: bool, nb: int, group: list[str] | None = None
+    q: DataFrame, c: DataFrame, k: int, exclude_self: bool, nb, group: list[str] | None = None
 ) -> DataFrame:
     """Partial top-k per (group, query block, candidate block) via cogroup.
 
     Each side is replicated ``nb`` times so that every pair of blocks meets in
-    exactly one task; tasks emit at most ``k`` rows per query.
+    exactly one task; tasks emit at most ``k`` rows per query.  ``nb`` is an
+    int or the name of a column present on both sides (a per-group count, so
+    a hot group is cut into more blocks).
     """
     group = group or []
-    ids = F.sequence(F.lit(0), F.lit(nb - 1))
-    q_rep = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(nb))).withColumn("cb", F.explode(ids))
+    nbc = F.col(nb) if isinstance(nb, str) else F.lit(nb)
+    ids = F.sequence(F.lit(0), nbc - 1)
+    q_rep = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), nbc)).withColumn("cb", F.explode(ids))
     # Distinct column names on the two sides: a cogroup drops right-side
     # columns whose names repeat the left side's.
     c_rep = (
         c.withColumnRenamed("embedding", "c_embedding")
-        .withColumn("cb", F.pmod(F.xxhash64("vec_id"), F.lit(nb)))
+        .withColumn("cb", F.pmod(F.xxhash64("vec_id"), nbc))
         .withColumn("qb", F.explode(ids))
     )
 
@@ -275,7 +278,8 @@ def similar_approx(
     bucket_length: float = 1.0,
     num_tables: int = 4,
     seed: int = 7,
-    blocks: int = 2,
+    blocks: int = 1,
+    block_rows: int = 4096,
 ) -> DataFrame:
     """Approximate neighbours: exact top-k among vectors sharing an LSH bucket.
 
@@ -302,8 +306,19 @@ def similar_approx(
     bucketed = hashed.select(
         "vec_id", "embedding", "tbl", vector_to_array("h").getItem(0).cast("long").alias("bucket")
     )
-    q = bucketed.select(F.col("vec_id").alias("query_id"), "embedding", "tbl", "bucket")
-    partial = _block_pairs(q, bucketed, k, True, blocks, group=["tbl", "bucket"])
+    # Blocks per bucket grow with the bucket (sqrt of its rows / block_rows),
+    # so a bucket holding a large share of all vectors is spread over many tasks.
+    sizes = bucketed.groupBy("tbl", "bucket").agg(F.count(F.lit(1)).alias("_n"))
+    nblocks = sizes.select(
+        "tbl", "bucket", F.greatest(F.lit(blocks), F.ceil(F.sqrt(F.col("_n") / F.lit(block_rows)))).cast("int").alias("_nb")
+    )
+    # Checkpoint: a clean lineage boundary after joining the table with its own
+    # aggregate, before both cogroup sides are taken from it.
+    from linkweave.operators.traverse import _ckpt
+
+    bucketed = _ckpt(bucketed.join(nblocks, ["tbl", "bucket"]))
+    q = bucketed.select(F.col("vec_id").alias("query_id"), "embedding", "tbl", "bucket", "_nb")
+    partial = _block_pairs(q, bucketed, k, True, "_nb", group=["tbl", "bucket", "_nb"])
     merged = partial.dropDuplicates(["query_id", "vec_id"])
     return top_k_per_group(
         merged, ["query_id"], [F.col("score").desc(), F.col("vec_id")], k, salt_cols=["vec_id"], rank_col="rank"

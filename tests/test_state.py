@@ -160,3 +160,16 @@ def test_redirects_and_components(spark):
     n = G.graph_nodes(e)
     comp = {row["title"]: row["community"] for row in RK.communities(e, n).collect()}
     assert comp == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "d"}
+
+
+def test_similar_approx_scores_are_exact(spark):
+    from conftest import SMOKE_DIR
+
+    vec = spark.read.parquet(f"{SMOKE_DIR}/embeddings.parquet").select("vec_id", "embedding")
+    approx = SIM.similar_approx(vec, k=10)
+    pairs = approx.select(F.col("query_id").alias("left_id"), F.col("vec_id").alias("right_id"), F.col("score").alias("a"))
+    checked = SIM.cosine_pairs(pairs.select("left_id", "right_id"), vec).join(pairs, ["left_id", "right_id"])
+    assert checked.where(F.abs(F.col("score") - F.col("a")) > 1e-6).count() == 0
+    exact = SIM.similar_topk(vec.select(F.col("vec_id").alias("query_id"), "embedding"), vec, 10, exclude_self=True)
+    hit = exact.join(approx.select("query_id", "vec_id"), ["query_id", "vec_id"], "left_semi").count()
+    assert hit / exact.count() > 0.2  # LSH recall on 64-d vectors, 4 tables
