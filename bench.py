@@ -2,6 +2,8 @@
 
 Runs each query on ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1) with
 ``local[$BENCH_CPUS]`` and forces full evaluation with the ``noop`` sink.
+The derived tables are loaded once (timed as ``load_tables_sec``); each
+headline query then runs twice, cold and warm.  ``value`` = load + warm sum.
 Prints ONE JSON line: {"metric", "value", "unit", "queries", "sf", ...}.
 """
 
@@ -41,23 +43,38 @@ def main() -> None:
     # table, so the first timed query pays for deriving pages/links.
     catalog.QUERIES["s6_embedding_profile"](spark, sf_dir).write.format("noop").mode("overwrite").save()
 
+    # Load: derive and store the page/link/update tables once (the reference's
+    # "database load"); every query after this scans them.
+    t0 = time.perf_counter()
+    TB.fx_pages(spark, sf_dir)
+    TB.fx_links(spark, sf_dir)
+    TB.fx_page_updates(spark, sf_dir)
+    load = round(time.perf_counter() - t0, 3)
+
+    # Each headline query runs twice: the first (cold) run pays JVM code
+    # generation for its plan shapes; the second (warm) is the steady state.
+    cold: dict[str, float] = {}
     times: dict[str, float] = {}
     for label, names in HEADLINE:
         if not all(n in queries for n in names):
             continue
-        t0 = time.perf_counter()
-        for n in names:
-            queries[n](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[label] = round(time.perf_counter() - t0, 3)
+        for rep in range(2):
+            t0 = time.perf_counter()
+            for n in names:
+                queries[n](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            (cold if rep == 0 else times)[label] = round(time.perf_counter() - t0, 3)
 
     # Per-question throughput of the path batch.
     n_pairs = TB.fx_path_queries(spark, sf_dir).count()
     sf = re.search(r"sf([0-9.]+)", sf_dir)
     out = {
-        "metric": "headline_total",
-        "value": round(sum(times.values()), 3),
+        "metric": "headline_total_warm_plus_load",
+        "value": round(load + sum(times.values()), 3),
         "unit": "sec",
         "queries": times,
+        "load_tables_sec": load,
+        "cold_queries": cold,
+        "cold_total": round(load + sum(cold.values()), 3),
         "sf": float(sf.group(1)) if sf else sf_dir,
         "cpus": cpus,
         "path_pairs": n_pairs,
