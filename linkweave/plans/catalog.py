@@ -259,4 +259,4 @@ def n2_connections_undirected(spark, sf_dir):
 
 
 # Per-area registrations (imported last: they use ``register`` and ``fx_graph``).
-from linkweave.plans import q_export, q_graph, q_ingest, q_similar, q_state, q_stream  # noqa: E402,F401
+from linkweave.plans import q_export, q_graph, q_ingest, q_shapes, q_similar, q_state, q_stream  # noqa: E402,F401

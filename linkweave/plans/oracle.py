@@ -82,6 +82,23 @@ _CTES["fx_updates"] = """
   FROM events e JOIN customer c ON c.c_custkey = e.user_id
   LEFT JOIN customer t ON t.c_custkey = (e.user_id * 7 + 3) % (SELECT count(*) FROM customer)"""
 
+_CTES["fx_sparse"] = """
+  SELECT DISTINCT a.c_name AS src, b.c_name AS dst
+  FROM (SELECT o_custkey, lead(o_custkey) OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) AS next_cust
+        FROM orders WHERE o_orderpriority = '1-URGENT') s
+  JOIN customer a ON a.c_custkey = s.o_custkey
+  JOIN customer b ON b.c_custkey = s.next_cust
+  WHERE s.next_cust IS NOT NULL AND s.next_cust <> s.o_custkey"""
+
+_CTES["fx_parts"] = """
+  SELECT DISTINCT 'Part#' || CAST(l_partkey AS VARCHAR) AS src, 'Part#' || CAST(n AS VARCHAR) AS dst
+  FROM (SELECT l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey
+                 ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem) s
+  WHERE n IS NOT NULL AND n <> l_partkey"""
+
+_CTES["fx_part_centres"] = """
+  SELECT p_partkey AS query_id, 'Part#' || CAST(p_partkey AS VARCHAR) AS title FROM part"""
+
 _DEPS = {
     "fx_pages": [],
     "fx_links": [],
@@ -94,6 +111,9 @@ _DEPS = {
     "fx_reversed": ["fx_edges"],
     "fx_all": ["fx_pages", "fx_links"],
     "fx_updates": [],
+    "fx_sparse": [],
+    "fx_parts": [],
+    "fx_part_centres": [],
 }
 
 
