@@ -173,3 +173,25 @@ def test_similar_approx_scores_are_exact(spark):
     exact = SIM.similar_topk(vec.select(F.col("vec_id").alias("query_id"), "embedding"), vec, 10, exclude_self=True)
     hit = exact.join(approx.select("query_id", "vec_id"), ["query_id", "vec_id"], "left_semi").count()
     assert hit / exact.count() > 0.2  # LSH recall on 64-d vectors, 4 tables
+
+
+def test_crawl_rounds_full_layer_and_fifo_batches(spark):
+    from linkweave.operators import crawl as CR
+
+    corpus = spark.createDataFrame(
+        [("S", "success", None, "h", ["A", "B"]), ("A", "redirect", "C", None, None),
+         ("B", "success", None, "h", ["S", "D"]), ("C", "error", None, None, None)],
+        "title string, outcome string, redirect_to string, content_hash string, links array<string>",
+    )
+    seeds = spark.createDataFrame([("S",)], "title string")
+    state, log = CR.crawl(corpus, seeds, max_rounds=3)
+    got = {r["title"]: (r["fetch_status"], r["depth"]) for r in state.collect()}
+    # round 1: S fetched; round 2: A (redirect -> C queued), B (links S, D); round 3: C error, D absent -> not_found
+    assert got == {"S": ("success", 0), "A": ("redirect", 1), "B": ("success", 1),
+                   "C": ("error", 2), "D": ("not_found", 2)}
+    stats = ST.crawl_stats(log).first()
+    assert (stats["pages_fetched"], stats["pages_skipped"], stats["links_found"], stats["errors"]) == (2, 2, 4, 1)
+    # FIFO batches of one page per round: after 2 rounds only S and A are done
+    st2, _ = CR.crawl(corpus, seeds, max_rounds=2, batch_size=1)
+    got2 = {r["title"]: r["fetch_status"] for r in st2.collect()}
+    assert got2["S"] == "success" and got2["A"] == "redirect" and got2["B"] == "pending"
