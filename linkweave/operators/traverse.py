@@ -48,19 +48,63 @@ def _ckpt_obs(df: DataFrame, **metrics) -> tuple[DataFrame, dict]:
     return out, obs.get
 
 
-def partitioned_edges(edges: DataFrame, key: str = "src") -> DataFrame:
-    """Edge table materialised once per traversal, hash-partitioned on ``key``.
+# Sub-partitions a hot node's edges are spread over.
+HOT_SALTS = 16
+
+
+class KeyedEdges:
+    """Edge table materialised once per traversal, hash-partitioned on (``key``, salt).
 
     The edges are first written as a reliable checkpoint (lineage cut), then
-    kept hash-partitioned in memory/disk on top of it: every level joins the
-    frontier on this key, and the cached partitioning means only the frontier
-    side is shuffled.  A lost cached block is rebuilt from the checkpoint
-    files with one shuffle.  Callers ``unpersist`` when the loop ends.
+    kept partitioned in memory/disk on top of it, so each level shuffles only
+    the frontier.  A lost cached block is rebuilt from the checkpoint files
+    with one shuffle.
+
+    Skew: a node is *hot* when it holds more than ``1/n`` of all edges (``n``
+    = shuffle partitions), so at most ``n`` nodes are hot -- a proven bound
+    that makes the hot set safe to broadcast.  A hot node's edges get a salt
+    (hash of the other endpoint, ``HOT_SALTS`` values) and frontier rows at a
+    hot node are replicated once per salt, so a hub with a third of all edges
+    is expanded by ``HOT_SALTS`` tasks instead of one.  Other nodes use salt 0.
     """
-    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = _ckpt(edges.select("src", "dst")).repartition(n, key).persist(StorageLevel.MEMORY_AND_DISK)
-    out.count()
-    return out
+
+    def __init__(self, edges: DataFrame, key: str = "src"):
+        n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        other = "dst" if key == "src" else "src"
+        base, m = _ckpt_obs(edges.select("src", "dst"), n=F.count(F.lit(1)))
+        threshold = max(int(m["n"] or 0) // n, 1)
+        self.key = key
+        self.hot = _ckpt(
+            base.groupBy(key)
+            .agg(F.count(F.lit(1)).alias("_deg"))
+            .where(F.col("_deg") > threshold)
+            .select(F.col(key).alias("_hot"))
+        )  # at most n rows
+        salted = base.join(F.broadcast(self.hot), base[key] == F.col("_hot"), "left").select(
+            "src",
+            "dst",
+            F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(other), F.lit(HOT_SALTS)))
+            .otherwise(F.lit(0))
+            .cast("int")
+            .alias("_es"),
+        )
+        self.df = salted.repartition(n, key, "_es").persist(StorageLevel.MEMORY_AND_DISK)
+        self.df.count()
+
+    def expand(self, frontier: DataFrame, node_col: str = "node") -> DataFrame:
+        """Frontier rows joined with the edges whose ``key`` is the row's node."""
+        salts = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(
+            F.array(F.lit(0))
+        )
+        f = (
+            frontier.join(F.broadcast(self.hot), frontier[node_col] == F.col("_hot"), "left")
+            .withColumn("_fs", F.explode(salts))
+            .drop("_hot")
+        )
+        return f.join(self.df, (f[node_col] == self.df[self.key]) & (f["_fs"] == self.df["_es"])).drop("_fs", "_es")
+
+    def unpersist(self) -> None:
+        self.df.unpersist()
 
 
 def _nodes_of(edges: DataFrame) -> DataFrame:
@@ -282,7 +326,7 @@ def _bfs_paths(
     ``<= max_depth``.  ``explored`` counts the nodes expanded, whole levels.
     """
     q, n_frontier, bound = _classified(queries, nodes, edges.select("src", "dst"), default_depth)
-    edges = partitioned_edges(edges, "src") if n_frontier > 0 else edges.select("src", "dst")
+    keyed = KeyedEdges(edges, "src") if n_frontier > 0 else None
 
     # Frontier rows carry their query's target and limit, so a level needs no
     # join with the query table.
@@ -301,7 +345,7 @@ def _bfs_paths(
         seen = union_all(visited)
         go_on = (F.col("max_depth") < 0) | (F.col("max_depth") > level)
         step, m = _ckpt_obs(
-            frontier.join(edges, frontier["node"] == edges["src"])
+            keyed.expand(frontier)
             .select(
                 "query_id",
                 F.col("dst").alias("node"),
@@ -336,7 +380,8 @@ def _bfs_paths(
             .select("query_id", "node", "path", "to", "max_depth")
         )
         n_frontier = int(m["n"] or 0)
-    edges.unpersist()
+    if keyed is not None:
+        keyed.unpersist()
     return _assemble(q, found, explored)
 
 
@@ -356,8 +401,8 @@ def _bidi_paths(
     number of steps (= path length).
     """
     q, n_active, bound = _classified(queries, nodes, edges.select("src", "dst"), default_depth)
-    out_edges = partitioned_edges(edges, "src") if n_active > 0 else edges.select("src", "dst")
-    in_edges = partitioned_edges(edges, "dst") if n_active > 0 else edges.select("src", "dst")
+    out_edges = KeyedEdges(edges, "src") if n_active > 0 else None
+    in_edges = KeyedEdges(edges, "dst") if n_active > 0 else None
     active = _active(q).select("query_id", "max_depth")
 
     start = _active(q)
@@ -392,13 +437,11 @@ def _bidi_paths(
         explored.append(pick.select("query_id", "n"))
         expand = frontier.join(pick.select("query_id", "dir"), ["query_id", "dir"], "left_semi")
         fwd = (
-            expand.where(F.col("dir") == "F")
-            .join(out_edges, F.col("node") == F.col("src"))
+            out_edges.expand(expand.where(F.col("dir") == "F"))
             .select("query_id", "dir", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
         )
         bwd = (
-            expand.where(F.col("dir") == "B")
-            .join(in_edges, F.col("node") == F.col("dst"))
+            in_edges.expand(expand.where(F.col("dir") == "B"))
             .select("query_id", "dir", F.col("src").alias("node"), F.concat(F.array("src"), "path").alias("path"))
         )
         seen = union_all(visited)
@@ -440,8 +483,9 @@ def _bidi_paths(
             n=F.count(F.lit(1)),
         )
         n_frontier = int(m["n"] or 0)
-    out_edges.unpersist()
-    in_edges.unpersist()
+    if out_edges is not None:
+        out_edges.unpersist()
+        in_edges.unpersist()
     return _assemble(q, found, explored)
 
 
@@ -455,7 +499,7 @@ def reachable(
     ``seeds(query_id, title)`` -> ``(query_id, title, hops)`` including the seed
     at hop 0.  Same level loop as :func:`shortest_paths`, without paths.
     """
-    edges = partitioned_edges(edges, "src")
+    keyed = KeyedEdges(edges, "src")
     frontier, m = _ckpt_obs(
         seeds.select("query_id", F.col("title").alias("node")).distinct(), n=F.count(F.lit(1))
     )
@@ -467,7 +511,7 @@ def reachable(
         level += 1
         seen = union_all(visited)
         frontier, m = _ckpt_obs(
-            frontier.join(edges, F.col("node") == F.col("src"))
+            keyed.expand(frontier)
             .select("query_id", F.col("dst").alias("node"))
             .distinct()
             .join(seen, ["query_id", "node"], "left_anti"),
@@ -478,7 +522,7 @@ def reachable(
         if len(visited) >= _VISITED_COMPACT_EVERY:
             visited = [_ckpt(union_all(visited))]
         n = int(m["n"] or 0)
-    edges.unpersist()
+    keyed.unpersist()
     out = union_all(levels)
     return out.select("query_id", F.col("node").alias("title"), F.col("hops").cast("int").alias("hops"))
 

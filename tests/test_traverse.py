@@ -89,3 +89,21 @@ def test_connections_undirected_excludes_start(spark):
     centres = spark.createDataFrame([(1, "A")], "query_id long, title string")
     got = sorted(r["title"] for r in TR.connections_undirected(e, centres, 2, 100).collect())
     assert got == ["B", "C"]
+
+
+def test_hot_hub_is_salted_and_results_unchanged(spark):
+    # H holds ~2/3 of all edges: it must be detected as hot (salted over tasks).
+    pairs = [("A", "H")] + [("H", f"L{i:03d}") for i in range(200)] + [(f"L{i:03d}", "Z") for i in range(0, 200, 2)]
+    e = edges_df(spark, pairs)
+    keyed = TR.KeyedEdges(e, "src")
+    assert [r["_hot"] for r in keyed.hot.collect()] == ["H"]
+    assert keyed.df.where("src = 'H'").select("_es").distinct().count() > 1
+    keyed.unpersist()
+    r = _by_id(TR.shortest_paths(e, queries_df(spark, [(1, "A", "Z", -1), (2, "H", "L150", 3)])))
+    assert r[1]["path"] == ["A", "H", "L000", "Z"] and r[1]["hops"] == 3
+    assert r[2]["path"] == ["H", "L150"]
+    b = _by_id(TR.shortest_paths_bidirectional(e, queries_df(spark, [(1, "A", "Z", -1)])))
+    assert b[1]["path"] == ["A", "H", "L000", "Z"]
+    centres = spark.createDataFrame([(1, "A")], "query_id long, title string")
+    nodes, _ = TR.neighborhood(e, centres, depth=2, max_nodes=1000)
+    assert nodes.count() == 202
