@@ -74,12 +74,19 @@ class KeyedEdges:
         base, m = _ckpt_obs(edges.select("src", "dst"), n=F.count(F.lit(1)))
         threshold = max(int(m["n"] or 0) // n, 1)
         self.key = key
-        self.hot = _ckpt(
+        self.hot, hm = _ckpt_obs(
             base.groupBy(key)
             .agg(F.count(F.lit(1)).alias("_deg"))
             .where(F.col("_deg") > threshold)
-            .select(F.col(key).alias("_hot"))
+            .select(F.col(key).alias("_hot")),
+            n=F.count(F.lit(1)),
         )  # at most n rows
+        self.salted = int(hm["n"] or 0) > 0
+        if not self.salted:
+            # No hub: plain partitioning on the key, plain join per level.
+            self.df = base.repartition(n, key).persist(StorageLevel.MEMORY_AND_DISK)
+            self.df.count()
+            return
         salted = base.join(F.broadcast(self.hot), base[key] == F.col("_hot"), "left").select(
             "src",
             "dst",
@@ -93,6 +100,8 @@ class KeyedEdges:
 
     def expand(self, frontier: DataFrame, node_col: str = "node") -> DataFrame:
         """Frontier rows joined with the edges whose ``key`` is the row's node."""
+        if not self.salted:
+            return frontier.join(self.df, frontier[node_col] == self.df[self.key])
         salts = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(
             F.array(F.lit(0))
         )
