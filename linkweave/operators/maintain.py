@@ -10,27 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkweave.operators.ranking import dense_rank_table
 from linkweave.sources import schemas as S
 
 
 def dense_ids(df: DataFrame, order: list[str], base: Column, name: str = "id") -> DataFrame:
     """Consecutive ids ``base + 1, base + 2, ...`` in ``order`` without a one-task window.
 
-    Rows are range-partitioned on ``order``; each partition numbers its rows
-    locally and adds the row count of all lower partitions (a table with one
-    row per partition, so it is broadcast safely).
+    The ranks come from :func:`linkweave.operators.ranking.dense_rank_table`,
+    which fixes the sorted rows once before it counts them.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
-    local = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)))
-    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_pid",
-        (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"),
-    )  # one row per partition
-    return local.join(F.broadcast(offsets), "_pid").select(
-        *df.columns, (base + F.coalesce("_off", F.lit(0)) + F.col("_rn")).cast("long").alias(name)
-    )
+    ranked = dense_rank_table(df, order, name="_rank")
+    return ranked.select(*df.columns, (base + F.col("_rank") + 1).cast("long").alias(name))
 
 
 def _max_id(pages: DataFrame) -> Column:
