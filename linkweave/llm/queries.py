@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from linkweave.llm import mixing, sharding, trie_dedup
+from linkweave.llm import langid, mixing, sharding, trie_dedup
 from linkweave.llm.common import table
 from linkweave.llm.registry import ORACLES, QUERIES, register
 
@@ -33,3 +33,8 @@ def op5_source_mix(spark, sf_dir):
 def op8_hash_tree_shards(spark, sf_dir):
     placed = sharding.assign(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+@register("op4_language_id")
+def op4_language_id(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
