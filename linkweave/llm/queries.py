@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from linkweave.llm import langid, mixing, ngram_join, sharding, trie_dedup
+from linkweave.llm import langid, mixing, ngram_join, packing, sharding, trie_dedup
 from linkweave.llm.common import table
 from linkweave.llm.registry import ORACLES, QUERIES, register
 
@@ -43,3 +43,8 @@ def op4_language_id(spark, sf_dir):
 @register("op2_ngram_jaccard_join")
 def op2_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
+@register("op6_harmonic_packing")
+def op6_harmonic_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
