@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from linkweave.llm import langid, mixing, ngram_join, packing, sharding, trie_dedup
+from linkweave.llm import langid, mixing, ngram_join, packing, sharding, spotsigs, trie_dedup, url_filter
 from linkweave.llm.common import table
 from linkweave.llm.registry import ORACLES, QUERIES, register
 
@@ -48,3 +48,13 @@ def op2_ngram_jaccard_join(spark, sf_dir):
 @register("op6_harmonic_packing")
 def op6_harmonic_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@register("op9_spot_signatures")
+def op9_spot_signatures(spark, sf_dir):
+    return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@register("op10_url_filter")
+def op10_url_filter(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"))
