@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from linkweave.llm import langid, mixing, ngram_join, packing, sharding, spotsigs, trie_dedup, url_filter
+from linkweave.llm import langid, licenses, mixing, ngram_join, packing, sharding, spotsigs, toxicity, trie_dedup, url_filter
 from linkweave.llm.common import table
 from linkweave.llm.registry import ORACLES, QUERIES, register
 
@@ -58,3 +58,13 @@ def op9_spot_signatures(spark, sf_dir):
 @register("op10_url_filter")
 def op10_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+@register("op1_toxicity")
+def op1_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op7_license_scan")
+def op7_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
