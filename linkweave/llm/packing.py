@@ -171,8 +171,9 @@ def pack(docs: DataFrame, ranks_path: str | None = None, capacity: int = CAPACIT
     """
     cut = pieces(docs, ranks_path, capacity, tolerance).withColumn("k", F.floor(F.lit(capacity) / F.col("length")).cast("long"))
     cut = cut.withColumn("spare", F.xxhash64("doc_id", "start", "ids_crc32"))
-    # Decreasing lengths inside a class put like with like; the hash tells pieces of one length apart.
-    ranked = dense_rank_table(cut, ["length", "spare"], ["k"], "nth")
+    # Fixed before the range sort, whose sampling would tokenise everything a second time.
+    # Equal lengths stand together inside a class; the hash tells pieces of one length apart.
+    ranked = dense_rank_table(fixed(cut), ["length", "spare"], ["k"], "nth")
     ranked = fixed(ranked)
     per_class = ranked.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()  # at most ``capacity`` classes
     full_bins, base = {}, 0
