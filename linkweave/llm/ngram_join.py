@@ -312,7 +312,8 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RE
     known = classes.join(member, "key", "left").join(links, "key", "left").select(
         "key", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_text_links")
     )
-    result = named.select("doc_id", "key").join(known, "key").select("doc_id", "class_id", "n_links", "n_text_links")
+    # Fixed, so that the last join has a plain shuffle on either side and a hot class can be split.
+    result = named.select("doc_id", "key").join(fixed(known), "key").select("doc_id", "class_id", "n_links", "n_text_links")
     alone = sigs.where(F.col("doc_id").isNull() | F.col("sig").isNull())
     return result.unionByName(alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_text_links")))
 
