@@ -129,7 +129,7 @@ def pagerank(
     ).select("title", "score", F.col("rank").cast("int").alias("rank"))
 
 
-def communities(edges: DataFrame, nodes: DataFrame, max_iterations: int = 1000) -> DataFrame:
+def communities(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """K2 (re-aimed): weakly connected components; community id = smallest title in it.
 
     Each round does min-label propagation over undirected edges followed by a
@@ -139,9 +139,9 @@ def communities(edges: DataFrame, nodes: DataFrame, max_iterations: int = 1000)
     is the component minimum.  The jump joins on the label, a skewed key when
     a component is large; AQE's skew-join splits it.
     """
-    und = symmetrize(edges)
+    und = _ckpt(symmetrize(edges))
     labels = _ckpt(nodes.select("title", F.col("title").alias("label")))
-    for _ in range(max_iterations):
+    while True:  # labels only decrease, so a round without a change comes
         cand = (
             und.join(labels.withColumnRenamed("title", "src"), "src")
             .groupBy(F.col("dst").alias("title"))

@@ -53,14 +53,16 @@ def cosine_pairs(pairs: DataFrame, vectors: DataFrame, key: str = "vec_id", vec:
 
 
 # ---------------------------------------------------------------- S2 kernels
-def _matrix(values) -> np.ndarray:
+def _by_length(ids, values) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Vector length -> (ids, normalised matrix); a null vector has length 0."""
     rows = [np.asarray(v, dtype=np.float64) if v is not None else np.zeros(0) for v in values]
-    dim = max((len(r) for r in rows), default=0)
-    m = np.zeros((len(rows), dim))
-    for i, r in enumerate(rows):
-        if len(r) == dim:
-            m[i] = r
-    return m
+    sizes = np.array([len(r) for r in rows], dtype=np.int64)
+    ids = np.asarray(ids, dtype=np.int64)
+    out = {}
+    for n in np.unique(sizes):
+        at = np.flatnonzero(sizes == n)
+        out[int(n)] = (ids[at], _normalise(np.stack([rows[i] for i in at]) if n else np.zeros((len(at), 0))))
+    return out
 
 
 def _normalise(m: np.ndarray) -> np.ndarray:
@@ -104,6 +106,24 @@ def _local_topk(qids, qmat, cids, cmat, k: int, exclude_self: bool) -> pd.DataFr
     )
 
 
+def _topk_any(queries: dict, candidates: dict, k: int, exclude_self: bool) -> pd.DataFrame:
+    """Exact top-k per query over candidates of every length; a length mismatch scores 0.
+
+    Of the mismatches of a query only the ``k`` least ids can be in its top k
+    (ties go to the lesser id; one more in case the query itself is among them).
+    """
+    parts = []
+    for n, (qids, qmat) in queries.items():
+        if n in candidates:
+            parts.append(_local_topk(qids, qmat, *candidates[n], k, exclude_self))
+        other = [ids for m, (ids, _) in candidates.items() if m != n]
+        if other:
+            ids = np.sort(np.concatenate(other))[: k + 1]
+            zero = pd.DataFrame({"query_id": np.repeat(qids, len(ids)), "vec_id": np.tile(ids, len(qids)), "score": 0.0})
+            parts.append(zero[zero["query_id"] != zero["vec_id"]] if exclude_self else zero)
+    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+
+
 def _block_pairs(
     q: DataFrame, c: DataFrame, k: int, exclude_self: bool, nb, group: list[str] | None = None
 ) -> DataFrame:
@@ -127,13 +147,8 @@ def _block_pairs(
     )
 
     def pair(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
-        return _local_topk(
-            qpdf["query_id"].to_numpy(),
-            _normalise(_matrix(qpdf["embedding"])),
-            cpdf["vec_id"].to_numpy(),
-            _normalise(_matrix(cpdf["c_embedding"])),
-            k,
-            exclude_self,
+        return _topk_any(
+            _by_length(qpdf["query_id"], qpdf["embedding"]), _by_length(cpdf["vec_id"], cpdf["c_embedding"]), k, exclude_self
         )
 
     keys = [*group, "qb", "cb"]
@@ -162,17 +177,16 @@ def similar_topk(
     n_q = q.count()
     if n_q <= broadcast_max:
         pdf = q.toPandas()  # bounded by the check above
-        qmat = _normalise(_matrix(pdf["embedding"]))
-        bq = spark.sparkContext.broadcast((pdf["query_id"].to_numpy(np.int64), qmat))
+        bq = spark.sparkContext.broadcast(_by_length(pdf["query_id"], pdf["embedding"]))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            qids, qm = bq.value
             for b in batches:
-                yield _local_topk(qids, qm, b["vec_id"].to_numpy(), _normalise(_matrix(b["embedding"])), k, exclude_self)
+                yield _topk_any(bq.value, _by_length(b["vec_id"], b["embedding"]), k, exclude_self)
 
         partial = c.mapInPandas(run, _TOPK_SCHEMA)
     else:
-        nb = blocks or max(2, int(math.ceil(math.sqrt(n_q / broadcast_max))) * 2)
+        # Blocks of at most about ``broadcast_max`` rows on the larger side.
+        nb = blocks or max(2, math.ceil(max(n_q, c.count()) / broadcast_max))
         partial = _block_pairs(q, c, k, exclude_self, nb)
     return top_k_per_group(
         partial, ["query_id"], [F.col("score").desc(), F.col("vec_id")], k, salt_cols=["vec_id"], rank_col="rank"

@@ -27,8 +27,9 @@ from linkweave.session import checkpoint_dir
 # Visited frames are re-materialised as one checkpoint every this many levels
 # so the anti-join plan does not grow with the number of levels.
 _VISITED_COMPACT_EVERY = 8
-# Hard stop for unlimited searches (the frontier normally empties far earlier).
-_UNLIMITED_LEVELS = 100_000
+# Level bound of an unlimited search: it ends when the frontier is empty, as
+# every level visits a new node and a graph has fewer nodes than this.
+_UNLIMITED_LEVELS = 1 << 62
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -23,28 +23,22 @@ CRAWL_ROUNDS = 4
 
 
 # ---------------------------------------------------------------- R1
+def _redirect_sql() -> str:
+    """One left self-join per allowed step: hop k exists if hop k-1 points at a redirect page."""
+    n = RK.REDIRECT_MAX_DEPTH
+    hops = "".join(f" LEFT JOIN hop h{k} ON h{k}.title = h{k - 1}.redirect_to" for k in range(1, n + 2))
+    last = " ".join(f"WHEN h{k}.title IS NOT NULL THEN h{k}.redirect_to" for k in range(n, 0, -1))
+    steps = " + ".join(f"(h{k}.title IS NOT NULL)::INT" for k in range(1, n + 1))
+    return (
+        O.cte("fx_pages", extra=[("hop", "SELECT title, redirect_to FROM fx_pages WHERE fetch_status = 'redirect'")])
+        + f"""SELECT h0.title, CASE WHEN h{n + 1}.title IS NOT NULL THEN NULL {last} ELSE h0.redirect_to END AS final_title,
+  {steps} AS depth, h{n + 1}.title IS NULL AS resolved FROM hop h0{hops}"""
+    )
+
+
 @register(
     "r1_resolve_redirects",
-    O.cte(
-        "fx_pages",
-        extra=[
-            ("rp", "SELECT title, redirect_to FROM fx_pages WHERE fetch_status = 'redirect'"),
-            (
-                "chain(start, title, redirect_to, depth)",
-                f"""SELECT title, title, redirect_to, 0 FROM rp
-  UNION ALL
-  SELECT c.start, p.title, p.redirect_to, c.depth + 1 FROM chain c JOIN rp p ON p.title = c.redirect_to
-  WHERE c.depth < {RK.REDIRECT_MAX_DEPTH}""",
-            ),
-            (
-                "fin",
-                "SELECT * FROM chain WHERE redirect_to IS NULL OR redirect_to NOT IN (SELECT title FROM rp)",
-            ),
-        ],
-    )
-    + f"""SELECT r.title, f.redirect_to AS final_title, coalesce(f.depth, {RK.REDIRECT_MAX_DEPTH}) AS depth,
-       f.start IS NOT NULL AS resolved
-FROM rp r LEFT JOIN fin f ON f.start = r.title""",
+    _redirect_sql(),
 )
 def r1_resolve_redirects(spark, sf_dir):
     return RK.resolve_redirects(TB.fx_pages(spark, sf_dir))

@@ -42,9 +42,10 @@ def t1_refresh_stream_edges(spark, sf_dir):
 @register(
     "t2_changed_content_stream",
     O.cte("fx_updates")
-    + """SELECT title, event_id, fetch_status, updated_at FROM (
-  SELECT *, lag(fetch_status) OVER (PARTITION BY title ORDER BY updated_at, event_id) AS prev FROM fx_updates) z
-WHERE prev IS NULL OR prev <> fetch_status""",
+    + """SELECT title, event_id, content_hash, updated_at FROM (
+  SELECT *, lag(content_hash) OVER (PARTITION BY title ORDER BY updated_at, event_id) AS prev
+  FROM fx_updates WHERE content_hash IS NOT NULL) z
+WHERE prev IS NULL OR prev <> content_hash""",
 )
 def t2_changed_content_stream(spark, sf_dir):
     base, stream = _stream(spark, sf_dir, "t2")

@@ -29,12 +29,18 @@ def export_edges(pages: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _write(df: DataFrame, path: str | None, fmt: str) -> int:
+    """Merge rows into the sink: those it already holds are not written again; returns rows sent."""
+    spark = df.sparkSession
     obs = Observation()
     observed = df.observe(obs, F.count(F.lit(1)).alias("n"))
     if path is None:
         observed.write.format("noop").mode("overwrite").save()
-    else:
-        observed.write.mode("append").format(fmt).save(path)
+        return int(obs.get["n"])
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        held = spark.read.format(fmt).schema(df.schema).load(path)
+        observed = observed.join(held, df.columns, "left_anti")
+    observed.write.mode("append").format(fmt).save(path)
     return int(obs.get["n"])
 
 

@@ -15,6 +15,7 @@ Hadoop-compatible shared file system.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -24,10 +25,16 @@ FORMAT_VERSION = 1
 
 
 def _manifests(spark: SparkSession, root: str) -> DataFrame | None:
-    try:
-        return spark.read.json(f"{root.rstrip('/')}/v=*/manifest")
-    except Exception:  # noqa: BLE001 - no committed version yet
-        return None
+    """All committed manifests; None before the first commit.  Other errors surface."""
+    pattern = f"{root.rstrip('/')}/v=*/manifest-*/part-*"
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return spark.read.json(pattern) if found is not None and len(found) else None
+
+
+def _size(spark: SparkSession, path: str) -> int:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return int(p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength())
 
 
 def latest_version(spark: SparkSession, root: str) -> int | None:
@@ -41,10 +48,16 @@ def latest_version(spark: SparkSession, root: str) -> int | None:
 def write_graph_snapshot(
     nodes: DataFrame, edges: DataFrame, root: str, partitions: int | None = None
 ) -> dict:
-    """A4: write a new version; returns its manifest."""
+    """A4: write a new version; returns its manifest.
+
+    Every attempt writes to folders of its own and the manifest, written last,
+    names them.  What a crashed attempt leaves behind is never read and never
+    in the way of the next one.
+    """
     spark = nodes.sparkSession
     version = (latest_version(spark, root) or 0) + 1
-    base = f"{root.rstrip('/')}/v={version}"
+    attempt = uuid.uuid4().hex
+    base = f"{root.rstrip('/')}/v={version}/data-{attempt}"
     n_obs, e_obs = Observation("nodes"), Observation("edges")
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     nodes.select("title").observe(n_obs, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").parquet(
@@ -62,9 +75,13 @@ def write_graph_snapshot(
         "version": version,
         "node_count": int(n_obs.get["n"]),
         "edge_count": int(e_obs.get["n"]),
+        "size_bytes": _size(spark, base),
+        "attempt": attempt,
         "created_at": dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ"),
     }
-    spark.createDataFrame([manifest]).coalesce(1).write.mode("errorifexists").json(f"{base}/manifest")
+    spark.createDataFrame([manifest]).coalesce(1).write.mode("errorifexists").json(
+        f"{root.rstrip('/')}/v={version}/manifest-{attempt}"
+    )
     return manifest
 
 
@@ -81,13 +98,14 @@ def read_graph_snapshot(
     if m is None:
         raise FileNotFoundError(f"no committed snapshot under {root}")
     v = version if version is not None else latest_version(spark, root)
-    info = m.where(F.col("version") == v)
+    # Two writers that raced to one version: the lesser attempt is the committed one.
+    info = m.where(F.col("version") == v).orderBy("attempt").limit(1)
     row = info.first()
     if row is None:
         raise FileNotFoundError(f"snapshot version {v} not committed under {root}")
     if int(row["format_version"]) != FORMAT_VERSION:
         raise ValueError(f"snapshot format {row['format_version']} != {FORMAT_VERSION}")
-    base = f"{root.rstrip('/')}/v={v}"
+    base = f"{root.rstrip('/')}/v={v}/data-{row['attempt']}"
     nodes = spark.read.parquet(f"{base}/nodes")
     edges = spark.read.parquet(f"{base}/edges")
     edges = edges.join(nodes.select(F.col("title").alias("src")), "src", "left_semi").join(
@@ -98,6 +116,7 @@ def read_graph_snapshot(
         F.col("version").cast("int").alias("version"),
         F.col("node_count").cast("long").alias("node_count"),
         F.col("edge_count").cast("long").alias("edge_count"),
+        F.col("size_bytes").cast("long").alias("size_bytes"),
         F.col("created_at"),
         (F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp(F.to_timestamp("created_at"))).alias(
             "age_seconds"

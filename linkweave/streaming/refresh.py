@@ -138,7 +138,7 @@ def graph_view(nodes: DataFrame, edges: DataFrame, links: DataFrame, flips: Data
 
 
 # ---------------------------------------------------------------- T2
-_CHANGE_OUT = "title string, event_id long, fetch_status string, updated_at timestamp_ntz"
+_CHANGE_OUT = "title string, event_id long, content_hash string, updated_at timestamp_ntz"
 _CHANGE_STATE = "content string, updated_at timestamp_ntz, event_id long"
 
 
@@ -151,18 +151,22 @@ def _changes(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[p
         ts, eid = row.updated_at, row.event_id
         if last_ts is not None and (ts, eid) <= (pd.Timestamp(last_ts), last_id):
             continue  # late or replayed row: older than what this page has seen
-        if row.fetch_status != last_c:
-            out.append((row.title, eid, row.fetch_status, ts))
-        last_c, last_ts, last_id = row.fetch_status, ts, eid
+        if row.content_hash != last_c:
+            out.append((row.title, eid, row.content_hash, ts))
+        last_c, last_ts, last_id = row.content_hash, ts, eid
     if last_ts is not None:
         state.update((last_c, pd.Timestamp(last_ts).to_pydatetime(), int(last_id)))
-    yield pd.DataFrame(out, columns=["title", "event_id", "fetch_status", "updated_at"])
+    yield pd.DataFrame(out, columns=["title", "event_id", "content_hash", "updated_at"])
 
 
 def changed_content_stream(stream: DataFrame, out_dir: str, checkpoint: str) -> DataFrame:
-    """Rows whose content (status) differs from the page's previous one; first row counts."""
+    """Fetched rows whose content hash differs from the page's previous one; the first row counts.
+
+    Updates without content (null hash: redirects, failures) neither change nor
+    forget what a page last held.
+    """
     spark = stream.sparkSession
-    changes = stream.drop("day").groupBy("title").applyInPandasWithState(
+    changes = stream.drop("day").where(F.col("content_hash").isNotNull()).groupBy("title").applyInPandasWithState(
         _changes, _CHANGE_OUT, _CHANGE_STATE, "append", GroupStateTimeout.NoTimeout
     )
     _run(changes.writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", checkpoint))
