@@ -23,22 +23,22 @@ from pyspark.sql import functions as F
 from linkweave.functions import text as X
 from linkweave.sources import schemas as S
 
-# Anchor start tag with an href value in double quotes, single quotes or bare.
-ANCHOR_HREF = r"""(?i)<a\s[^>]*?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
+# One attribute: a name, and a value in double quotes, single quotes or bare.
+_VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
+_ATTRIBUTE = rf"""[^\s"'>=/]+(?:\s*=\s*{_VALUE})?"""
+# Anchor start tag read attribute by attribute, up to the value of its first href.
+ANCHOR_HREF = rf"""(?i)<a(?:[\s/]+{_ATTRIBUTE})*?[\s/]+href\s*=\s*({_VALUE})"""
+# Text that holds no tags: comments, scripts and styles.
+NOT_MARKUP = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
 
 SCOPE_ID = "mw-content-text"
 
 
 def _raw_hrefs_unscoped(pages: DataFrame) -> DataFrame:
-    return pages.select(
-        "page_id",
-        F.explode(F.regexp_extract_all(F.col("html"), F.lit(ANCHOR_HREF), 1)).alias("raw"),
-    ).select(
-        "page_id",
-        X.unescape_html_attr(
-            F.when(F.startswith("raw", F.lit('"')) | F.startswith("raw", F.lit("'")),
-                   F.expr("substr(raw, 2, length(raw) - 2)")).otherwise(F.col("raw"))
-        ).alias("href"),
+    html = F.regexp_replace("html", NOT_MARKUP, "")
+    quoted = F.startswith("raw", F.lit('"')) | F.startswith("raw", F.lit("'"))
+    return pages.select("page_id", F.explode(F.regexp_extract_all(html, F.lit(ANCHOR_HREF), 1)).alias("raw")).select(
+        "page_id", X.unescape_html_attr(F.when(quoted, F.expr("substr(raw, 2, length(raw) - 2)")).otherwise(F.col("raw"))).alias("href")
     )
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from linkweave.operators import graph as G
 from linkweave.operators import traverse as TR
 from linkweave.plans import oracle as O
+from linkweave.sources import schemas as S
 from linkweave.sources import tables as TB
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,14 +68,17 @@ def j1_graph_edges(spark, sf_dir):
 @register(
     "j2_isolated_pages",
     O.cte("fx_pages", "fx_links")
-    + f"""SELECT p.title FROM fx_pages p WHERE p.fetch_status = 'success'
-  AND NOT EXISTS (SELECT 1 FROM fx_links l WHERE l.source_id = p.id
-                  AND l.created_at < TIMESTAMP '{AS_OF}')""",
+    + """SELECT p.title FROM (SELECT id, title, fetch_status FROM fx_pages
+  UNION ALL SELECT -s_suppkey, s_name, 'success' FROM supplier) p
+WHERE p.fetch_status = 'success' AND NOT EXISTS (SELECT 1 FROM fx_links l WHERE l.source_id = p.id)""",
 )
 def j2_isolated_pages(spark, sf_dir):
-    """Pages isolated in the graph as of ``AS_OF`` (links created before it)."""
-    links = TB.fx_links(spark, sf_dir).where(F.col("created_at") < F.lit(AS_OF).cast("timestamp_ntz"))
-    return G.isolated_pages(TB.fx_pages(spark, sf_dir), links)
+    """Isolated pages among all pages and the suppliers, added as pages that link to nothing."""
+    pages = TB.fx_pages(spark, sf_dir).select("id", "title", "fetch_status")
+    lone = TB.read(spark, sf_dir, "supplier").select(
+        (-F.col("s_suppkey")).cast("long").alias("id"), F.col("s_name").alias("title"), F.lit(S.STATUS_SUCCESS).alias("fetch_status")
+    )
+    return G.isolated_pages(pages.unionByName(lone), TB.fx_links(spark, sf_dir))
 
 
 @register("j3_graph_nodes", O.cte("fx_nodes") + "SELECT * FROM fx_nodes")

@@ -53,6 +53,20 @@ def a3_extract_links(spark, sf_dir):
     return html_links(spark, sf_dir)
 
 
+# The corpus marks its link list by element, not by id: give that element the scope's id.
+_SCOPED_CTE = (
+    A3_CTE[0],
+    A3_CTE[1].replace("FROM pages)", "FROM (SELECT page_id, regexp_extract(html, '<nav>.*?</nav>', 0, 's') AS html FROM pages))"),
+)
+
+
+@register("a3_extract_links_scoped", O.cte(extra=[_SCOPED_CTE]) + "SELECT * FROM html_links")
+def a3_extract_links_scoped(spark, sf_dir):
+    """Links inside the marked element only; those of the rest of the page are left out."""
+    pages = TB.read(spark, sf_dir, "pages").withColumn("html", F.replace("html", F.lit("<nav>"), F.lit(f'<nav id="{IN.SCOPE_ID}">')))
+    return IN.extract_links(pages, prefix=HTML_PREFIX, scoped=True)
+
+
 @register(
     "g6_distinct_targets",
     O.cte(extra=[A3_CTE]) + "SELECT DISTINCT target_title AS title FROM html_links",

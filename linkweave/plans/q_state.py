@@ -255,13 +255,14 @@ def v2_uniqueness_violations(spark, sf_dir):
 @register(
     "v3_fk_orphans",
     O.cte("fx_pages", "fx_links")
-    + """SELECT * FROM fx_links WHERE source_id NOT IN
-  (SELECT id FROM fx_pages WHERE fetch_status <> 'not_found')""",
+    + """SELECT * FROM (SELECT source_id, target_title FROM fx_links
+  UNION ALL SELECT -s_suppkey, s_name FROM supplier) l WHERE source_id NOT IN (SELECT id FROM fx_pages)""",
 )
 def v3_fk_orphans(spark, sf_dir):
-    """Links left dangling if ``not_found`` pages were deleted without the cascade."""
-    pages = TB.fx_pages(spark, sf_dir).where(F.col("fetch_status") != S.STATUS_NOT_FOUND)
-    return V.fk_orphans(TB.fx_links(spark, sf_dir), pages)
+    """Orphans among all links and one link per supplier, whose source page does not exist."""
+    links = TB.fx_links(spark, sf_dir).select("source_id", "target_title")
+    stray = TB.read(spark, sf_dir, "supplier").select((-F.col("s_suppkey")).cast("long").alias("source_id"), F.col("s_name").alias("target_title"))
+    return V.fk_orphans(links.unionByName(stray), TB.fx_pages(spark, sf_dir))
 
 
 @register(

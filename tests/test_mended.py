@@ -42,3 +42,21 @@ def test_export_twice_lands_once(spark, tmp_path):
         EX.full_export(pages, links, str(tmp_path / "sink")).collect()
     assert spark.read.parquet(str(tmp_path / "sink/nodes")).count() == 2
     assert spark.read.parquet(str(tmp_path / "sink/edges")).count() == 1
+
+
+def test_unscoped_links_on_real_markup(spark):
+    from linkweave.operators import ingest as IN
+
+    cases = {
+        1: ('<a data-href="/wiki/Wrong" href="/wiki/Right">x</a>', {"Right"}),
+        2: ('<a title="a > b" class=x href=\'/wiki/Quoted\'>x</a><A HREF=/wiki/Bare>y</A>', {"Quoted", "Bare"}),
+        3: ('<a href="/wiki/Caf&eacute;_A&#8211;B&#x21;">x</a>', {"Café A–B!"}),
+        4: ('<!-- <a href="/wiki/Hidden">x</a> --><script>"<a href=\'/wiki/Js\'>"</script><a href="/wiki/Seen">', {"Seen"}),
+        5: ('<abbr href="/wiki/No"><a name="n"><a href="/wiki/Q?x=1&copy=2">', {"Q?x=1&copy=2"}),
+        6: ('<a href="/wiki/A#part"><a href="/wiki/50%"><a href="/wiki/Talk:X"><a href="/wiki/M (disambiguation)">', {"A", "50%"}),
+    }
+    pages = spark.createDataFrame([(k, h) for k, (h, _) in cases.items()], "page_id long, html string")
+    got = {}
+    for r in IN.extract_links(pages, prefix="/wiki/").collect():
+        got.setdefault(r.page_id, set()).add(r.target_title)
+    assert got == {k: want for k, (_, want) in cases.items()}
