@@ -1,8 +1,12 @@
 """The pipeline's stages keep what they should, and the registered queries agree with their SQL."""
 
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
+from linkweave.llm import mixing, packing
 from linkweave.llm.queries import ORACLES, QUERIES
 from tools.compare import digest, duck
 
@@ -36,6 +40,24 @@ def test_run_agrees_with_its_stages(spark):
     assert set(out.doc_id) <= set(best)
 
 
+def test_run_matches_brute_force(spark):
+    from test_operators import brute_join, lower
+
+    docs = spark.read.parquet(f"{SMOKE}/documents.parquet").select("doc_id", "text", "source").collect()
+    rows = [(r.doc_id, r.text) for r in docs if re.search(r"[^\W\d_]", r.text or "")]
+    best = {}
+    for i, t in rows:
+        best[lower(t)] = max(i, best.get(lower(t), i))
+    rows = [(i, t) for i, t in rows if best[lower(t)] == i]
+    kept = {i for i, c, _ in brute_join(rows) if i == c}
+    left = spark.read.parquet(f"{SMOKE}/documents.parquet").where(F.col("doc_id").isin(sorted(kept)))
+    copies = {r.doc_id: r.copies for r in mixing.mix(left).collect() if r.copies}
+    bpe = packing.CachedBpe(packing.tokenizer_path())
+    want = {i: copies[i] * (len(bpe.encode(t)) // 4 + 1) for i, t in rows if i in copies}
+    out = P.run(spark, SMOKE).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id: r.n for r in out} == want
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, name):
     df = QUERIES[name](spark, SMOKE)
