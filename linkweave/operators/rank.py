@@ -6,11 +6,10 @@ lineage stays one iteration deep; only convergence counts reach the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkweave.operators.topk import top_k_per_group
-from linkweave.operators.traverse import _ckpt, symmetrize, union_all
+from linkweave.operators.traverse import KeyedEdges, _ckpt, _ckpt_obs, encode_graph, symmetrize, union_all
 from linkweave.sources import schemas as S
 
 REDIRECT_MAX_DEPTH = 10
@@ -62,71 +61,47 @@ def pagerank(
     damping: float = 0.85,
     top: int | None = 100,
     decimals: int = 9,
-    checkpoint_every: int = 1,
 ) -> DataFrame:
     """K1: PageRank with dangling mass spread uniformly; fixed iterations.
 
-    Weighted edges are cached hash-partitioned by source, so each iteration
-    shuffles only rank contributions.  Ranks carry an ``has_out`` flag, so the
-    dangling mass is a plain aggregate.  Ranks are reliably checkpointed every
-    ``checkpoint_every`` iterations (default: each one -- every iteration
-    reads the previous ranks three times, so an uncut chain re-plans them
-    exponentially).  Returns ``(title, score, rank)`` for the ``top`` nodes (all when
+    Runs on ``long`` ids.  Weighted edges are kept hash-partitioned by source,
+    hubs salted (:class:`KeyedEdges`), so each iteration shuffles only ranks and
+    partial sums: contributions and the old rank rows meet in one aggregation.
+    The dangling mass of the next iteration is observed while the ranks are
+    checkpointed, so only that number reaches the driver.  Returns
+    ``(title, score, rank)`` for the ``top`` nodes (all, without ranks, when
     None), ranked by rounded score then title.
     """
-    from pyspark import StorageLevel
-
-    e = edges.select("src", "dst").distinct()
-    n_nodes = nodes.count()
-    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids, e = encode_graph(edges.select("src", "dst").distinct(), nodes)
+    n_nodes = max(ids.count(), 1)
     outdeg = e.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
-    base = (1.0 - damping) / n_nodes
-    wedges = (
-        _ckpt(e.join(outdeg, "src").select("src", "dst", (1.0 / F.col("deg")).alias("w")))
-        .repartition(parts, "src")
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
-    ranks = _ckpt(
-        nodes.select("title")
-        .join(outdeg.select(F.col("src").alias("title"), F.lit(True).alias("_o")), "title", "left")
-        .select("title", F.col("_o").isNotNull().alias("has_out"), F.lit(1.0 / n_nodes).alias("pr"))
+    keyed = KeyedEdges(_ckpt(e.join(outdeg, "src").select("src", "dst", (1.0 / F.col("deg")).alias("w"))), "src", ("w",), fixed=True)
+    idle = F.sum(F.when(~F.col("has_out"), F.col("pr")))
+    ranks, m = _ckpt_obs(
+        ids.join(outdeg, F.col("id") == F.col("src"), "left").select(
+            F.col("id").alias("node"), F.col("src").isNotNull().alias("has_out"), F.lit(1.0 / n_nodes).alias("pr")
+        ),
+        idle=idle,
     )
-    cached: list[DataFrame] = []
-    for it in range(1, iterations + 1):
-        contrib = (
-            wedges.join(ranks.select(F.col("title").alias("src"), "pr"), "src")
-            .groupBy(F.col("dst").alias("title"))
-            .agg(F.sum(F.col("pr") * F.col("w")).alias("c"))
+    for _ in range(iterations):
+        spread = (1.0 - damping) / n_nodes + damping * float(m["idle"] or 0.0) / n_nodes
+        given = keyed.expand(ranks.select("node", "pr")).select(
+            F.col("dst").alias("node"), F.lit(False).alias("has_out"), (F.col("pr") * F.col("w")).alias("c")
         )
-        dangling = ranks.where(~F.col("has_out")).agg(F.coalesce(F.sum("pr"), F.lit(0.0)).alias("dm"))
-        nxt = (
-            ranks.select("title", "has_out")
-            .join(contrib, "title", "left")
-            .crossJoin(F.broadcast(dangling))  # one-row aggregate
-            .select(
-                "title",
-                "has_out",
-                (F.lit(base) + F.lit(damping) * (F.coalesce("c", F.lit(0.0)) + F.col("dm") / F.lit(n_nodes))).alias(
-                    "pr"
-                ),
-            )
+        ranks, m = _ckpt_obs(
+            given.unionByName(ranks.select("node", "has_out", F.lit(0.0).alias("c")))
+            .groupBy("node")
+            .agg(F.max("has_out").alias("has_out"), (F.lit(spread) + F.lit(damping) * F.sum("c")).alias("pr")),
+            idle=idle,
         )
-        if it % checkpoint_every == 0 or it == iterations:
-            ranks = _ckpt(nxt)
-            for c in cached:
-                c.unpersist()
-            cached = []
-        else:
-            ranks = nxt.persist(StorageLevel.MEMORY_AND_DISK)
-            cached.append(ranks)
-    wedges.unpersist()
-    scored = ranks.select("title", F.round("pr", decimals).alias("score"))
+    keyed.unpersist()
+    scored = ranks.join(ids, F.col("node") == F.col("id")).select("title", F.round("pr", decimals).alias("score"))
     if top is None:
         return scored
-    return top_k_per_group(
-        scored.withColumn("_g", F.lit(0)), ["_g"], [F.col("score").desc(), F.col("title")], top,
-        salt_cols=["title"], salts=64, rank_col="rank",
-    ).select("title", "score", F.col("rank").cast("int").alias("rank"))
+    first = scored.orderBy(F.col("score").desc(), "title").limit(top)  # at most ``top`` rows are ranked
+    return first.select(
+        "title", "score", F.row_number().over(Window.orderBy(F.col("score").desc(), "title")).cast("int").alias("rank")
+    )
 
 
 def communities(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -69,11 +69,17 @@ class KeyedEdges:
     is expanded by ``HOT_SALTS`` tasks instead of one.  Other nodes use salt 0.
     """
 
-    def __init__(self, edges: DataFrame, key: str = "src"):
+    def __init__(self, edges: DataFrame, key: str = "src", extra: tuple[str, ...] = (), fixed: bool = False):
+        """``extra``: further edge columns to keep; ``fixed``: ``edges`` is a checkpoint already."""
         n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         other = "dst" if key == "src" else "src"
-        base, m = _ckpt_obs(edges.select("src", "dst"), n=F.count(F.lit(1)))
-        threshold = max(int(m["n"] or 0) // n, 1)
+        base = edges.select("src", "dst", *extra)
+        if fixed:
+            rows = base.count()
+        else:
+            base, m = _ckpt_obs(base, n=F.count(F.lit(1)))
+            rows = int(m["n"] or 0)
+        threshold = max(rows // n, 1)
         self.key = key
         self.hot, hm = _ckpt_obs(
             base.groupBy(key)
@@ -91,6 +97,7 @@ class KeyedEdges:
         salted = base.join(F.broadcast(self.hot), base[key] == F.col("_hot"), "left").select(
             "src",
             "dst",
+            *extra,
             F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(other), F.lit(HOT_SALTS)))
             .otherwise(F.lit(0))
             .cast("int")
@@ -304,7 +311,7 @@ def shortest_paths(
         return _bfs_paths(edges, queries, nodes, default_depth)
     ids, enc = encode_graph(edges, nodes)
     q = queries.select("query_id", "from", "to", "max_depth")
-    res = _bfs_paths(enc, _encoded_queries(q, ids), ids.select(F.col("id").alias("title")), default_depth)
+    res = _bfs_paths(enc, _encoded_queries(q, ids), ids.select(F.col("id").alias("title")), default_depth, fixed=True)
     return _decode(res, q, ids)
 
 
@@ -320,7 +327,7 @@ def shortest_paths_bidirectional(
         return _bidi_paths(edges, queries, nodes, default_depth)
     ids, enc = encode_graph(edges, nodes)
     q = queries.select("query_id", "from", "to", "max_depth")
-    res = _bidi_paths(enc, _encoded_queries(q, ids), ids.select(F.col("id").alias("title")), default_depth)
+    res = _bidi_paths(enc, _encoded_queries(q, ids), ids.select(F.col("id").alias("title")), default_depth, fixed=True)
     return _decode(res, q, ids)
 
 
@@ -329,6 +336,7 @@ def _bfs_paths(
     queries: DataFrame,
     nodes: DataFrame | None = None,
     default_depth: int = -1,
+    fixed: bool = False,
 ) -> DataFrame:
     """Directed BFS for a table ``(query_id, from, to, max_depth)``.
 
@@ -336,7 +344,7 @@ def _bfs_paths(
     ``<= max_depth``.  ``explored`` counts the nodes expanded, whole levels.
     """
     q, n_frontier, bound = _classified(queries, nodes, edges.select("src", "dst"), default_depth)
-    keyed = KeyedEdges(edges, "src") if n_frontier > 0 else None
+    keyed = KeyedEdges(edges, "src", fixed=fixed) if n_frontier > 0 else None
 
     # Frontier rows carry their query's target and limit, so a level needs no
     # join with the query table.
@@ -400,6 +408,7 @@ def _bidi_paths(
     queries: DataFrame,
     nodes: DataFrame | None = None,
     default_depth: int = -1,
+    fixed: bool = False,
 ) -> DataFrame:
     """Bidirectional BFS, one side per query per step (the smaller frontier; tie -> forward).
 
@@ -411,8 +420,9 @@ def _bidi_paths(
     number of steps (= path length).
     """
     q, n_active, bound = _classified(queries, nodes, edges.select("src", "dst"), default_depth)
-    out_edges = KeyedEdges(edges, "src") if n_active > 0 else None
-    in_edges = KeyedEdges(edges, "dst") if n_active > 0 else None
+    edges = edges.select("src", "dst") if fixed or n_active == 0 else _ckpt(edges.select("src", "dst"))
+    out_edges = KeyedEdges(edges, "src", fixed=True) if n_active > 0 else None
+    in_edges = KeyedEdges(edges, "dst", fixed=True) if n_active > 0 else None
     active = _active(q).select("query_id", "max_depth")
 
     start = _active(q)
@@ -421,6 +431,7 @@ def _bidi_paths(
     ).unionByName(
         start.select("query_id", F.lit("B").alias("dir"), F.col("to").alias("node"), F.array("to").alias("path"))
     )
+    path_type = frontier.schema["path"].dataType
     visited = [frontier]
     found: list[DataFrame] = []
     explored: list[DataFrame] = []
@@ -454,27 +465,40 @@ def _bidi_paths(
             in_edges.expand(expand.where(F.col("dir") == "B"))
             .select("query_id", "dir", F.col("src").alias("node"), F.concat(F.array("src"), "path").alias("path"))
         )
-        seen = union_all(visited)
-        new = _ckpt(
-            fwd.unionByName(bwd)
-            .groupBy("query_id", "dir", "node")
-            .agg(F.min("path").alias("path"))
-            .join(seen.select("query_id", "dir", "node"), ["query_id", "dir", "node"], "left_anti")
-        )
-        other = seen.select(
+        # One shuffle on (query, node) answers three questions: the smallest
+        # path, whether this side has been here, and whether the other one has.
+        # A query expands one side per step, so its new rows share one ``dir``.
+        none = F.lit(None)
+        been = union_all(visited).select(
             "query_id",
-            F.when(F.col("dir") == "F", F.lit("B")).otherwise(F.lit("F")).alias("dir"),
             "node",
-            F.col("path").alias("opath"),
+            none.cast("string").alias("dir"),
+            none.cast(path_type).alias("path"),
+            F.when(F.col("dir") == "F", F.col("path")).alias("pf"),
+            F.when(F.col("dir") == "B", F.col("path")).alias("pb"),
         )
-        meet = (
-            new.join(other, ["query_id", "dir", "node"])
+        cand = fwd.unionByName(bwd).select(
+            "query_id", "node", "dir", "path", none.cast(path_type).alias("pf"), none.cast(path_type).alias("pb")
+        )
+        forward = F.col("dir") == "F"
+        step = _ckpt(
+            cand.unionByName(been)
+            .groupBy("query_id", "node")
+            .agg(*[F.min(c).alias(c) for c in ("dir", "path", "pf", "pb")])
+            .where(F.col("dir").isNotNull() & F.when(forward, F.col("pf")).otherwise(F.col("pb")).isNull())
             .select(
                 "query_id",
-                F.when(F.col("dir") == "F", F.concat("path", tail(F.col("opath"))))
-                .otherwise(F.concat("opath", tail(F.col("path"))))
+                "dir",
+                "node",
+                "path",
+                F.when(forward & F.col("pb").isNotNull(), F.concat("path", tail(F.col("pb"))))
+                .when(~forward & F.col("pf").isNotNull(), F.concat("pf", tail(F.col("path"))))
                 .alias("full"),
             )
+        )
+        new = step.drop("full")
+        meet = (
+            step.where(F.col("full").isNotNull())
             .groupBy("query_id")
             .agg(F.min("full").alias("path"))
             .select("query_id", "path", (F.size("path") - 1).alias("hops"))
@@ -503,32 +527,55 @@ def reachable(
     edges: DataFrame,
     seeds: DataFrame,
     max_depth: int,
+    cap: int | None = None,
 ) -> DataFrame:
-    """Min hop count of every node reachable from each seed within ``max_depth``.
+    """Min hop count of every node reachable from each seed within its depth.
 
-    ``seeds(query_id, title)`` -> ``(query_id, title, hops)`` including the seed
-    at hop 0.  Same level loop as :func:`shortest_paths`, without paths.
+    ``seeds(query_id, title[, depth])`` -> ``(query_id, title, hops)`` including the seed
+    at hop 0; a ``depth`` column overrides ``max_depth`` per question.  With ``cap`` (or a
+    ``max_nodes`` column, which overrides it) a question is expanded no further once it has
+    that many nodes after a whole level: by (hops, title) order, deeper nodes can't be among
+    its first ``cap``.  Same level loop as :func:`shortest_paths`, without paths.
     """
     keyed = KeyedEdges(edges, "src")
+    depth = F.coalesce(F.col("depth"), F.lit(max_depth)) if "depth" in seeds.columns else F.lit(max_depth)
+    most = F.coalesce(F.col("max_nodes"), F.lit(cap)) if "max_nodes" in seeds.columns else F.lit(cap)
     frontier, m = _ckpt_obs(
-        seeds.select("query_id", F.col("title").alias("node")).distinct(), n=F.count(F.lit(1))
+        seeds.select(
+            "query_id", F.col("title").alias("node"), depth.cast("int").alias("_d"), most.cast("long").alias("_cap")
+        ).distinct(),
+        n=F.count_if(F.col("_d") > 0),
+        last=F.max("_d"),
+        caps=F.count("_cap"),
     )
-    levels = [frontier.withColumn("hops", F.lit(0))]
-    visited = [frontier]
+    capped = int(m["caps"] or 0) > 0
+    last = int(m["last"] or 0)
+    levels = [frontier.select("query_id", "node", F.lit(0).alias("hops"))]
+    visited = [frontier.select("query_id", "node")]
     level = 0
     n = int(m["n"] or 0)
-    while n > 0 and level < max_depth:
+    while n > 0 and level < last:
         level += 1
         seen = union_all(visited)
+        grow = frontier.where(F.col("_d") >= level)
+        if capped and level > 1:
+            full = (
+                seen.groupBy("query_id")
+                .agg(F.count(F.lit(1)).alias("_n"))
+                .join(grow.select("query_id", "_cap").distinct(), "query_id")
+                .where(F.col("_n") >= F.col("_cap"))
+                .select("query_id")
+            )
+            grow = grow.join(full, "query_id", "left_anti")
         frontier, m = _ckpt_obs(
-            keyed.expand(frontier)
-            .select("query_id", F.col("dst").alias("node"))
-            .distinct()
+            keyed.expand(grow)
+            .groupBy("query_id", F.col("dst").alias("node"))
+            .agg(F.max("_d").alias("_d"), F.max("_cap").alias("_cap"))
             .join(seen, ["query_id", "node"], "left_anti"),
-            n=F.count(F.lit(1)),
+            n=F.count_if(F.col("_d") > level),
         )
-        levels.append(frontier.withColumn("hops", F.lit(level)))
-        visited.append(frontier)
+        levels.append(frontier.select("query_id", "node", F.lit(level).alias("hops")))
+        visited.append(frontier.select("query_id", "node"))
         if len(visited) >= _VISITED_COMPACT_EVERY:
             visited = [_ckpt(union_all(visited))]
         n = int(m["n"] or 0)
@@ -544,28 +591,39 @@ def neighborhood(
     max_nodes: int = 1000,
     nodes: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Out-edge neighbourhood of each centre ``(query_id, title)``.
+    """Out-edge neighbourhood of each centre ``(query_id, title[, depth][, max_nodes])``.
 
     Nodes: min hop per node, capped at ``max_nodes`` by (hops, title).  Edges:
     every out-edge of a kept node with hops < depth whose target is kept.
-    Centres that are not nodes of the graph give no rows.
+    Centres that are not nodes of the graph give no rows.  ``depth`` and
+    ``max_nodes`` columns override the arguments per centre.
     """
     node_tbl = _nodes_of(edges) if nodes is None else nodes.select(F.col("title").alias("node"))
-    centres = centres.select("query_id", "title").join(
+    limits = [c for c in ("depth", "max_nodes") if c in centres.columns]
+    centres = centres.select("query_id", "title", *limits).join(
         node_tbl.select(F.col("node").alias("title")), "title", "left_semi"
     )
-    reach = reachable(edges, centres, depth)
-    kept = _ckpt(
-        top_k_per_group(reach, ["query_id"], [F.col("hops"), F.col("title")], max_nodes,
-                        salt_cols=["title"])
+    reach = reachable(edges, centres, depth, max_nodes)
+    widest = max_nodes
+    if limits:
+        # One row per question, joined on its id.
+        own = centres.groupBy("query_id").agg(
+            F.coalesce(F.max("depth") if "depth" in limits else F.lit(None), F.lit(depth)).alias("_d"),
+            F.coalesce(F.max("max_nodes") if "max_nodes" in limits else F.lit(None), F.lit(max_nodes)).alias("_cap"),
+        )
+        widest = int(own.agg(F.max("_cap")).first()[0] or max_nodes)
+    kept = top_k_per_group(
+        reach, ["query_id"], [F.col("hops"), F.col("title")], widest, salt_cols=["title"], rank_col="_rk"
     )
-    inner = kept.where(F.col("hops") < depth).select("query_id", F.col("title").alias("src"))
+    kept = kept.withColumns({"_d": F.lit(depth), "_cap": F.lit(max_nodes)}) if not limits else kept.join(own, "query_id")
+    kept = _ckpt(kept.where(F.col("_rk") <= F.col("_cap")).select("query_id", "title", "hops", "_d"))
+    inner = kept.where(F.col("hops") < F.col("_d")).select("query_id", F.col("title").alias("src"))
     sub_edges = (
         inner.join(edges.select("src", "dst"), "src")
         .join(kept.select("query_id", F.col("title").alias("dst")), ["query_id", "dst"], "left_semi")
         .select("query_id", F.col("src").alias("source"), F.col("dst").alias("target"))
     )
-    return kept, sub_edges
+    return kept.drop("_d"), sub_edges
 
 
 def neighborhood_direction(

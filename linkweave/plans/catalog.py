@@ -156,7 +156,7 @@ def p1_shortest_path(spark, sf_dir):
 
 @register(
     "p2_shortest_path_limited",
-    O.bfs_paths_sql("fx_edges", "fx_path_queries", ("fx_edges", "fx_path_queries")),
+    O.bfs_paths_sql("fx_edges", "fx_path_queries", ("fx_edges", "fx_path_queries"), levels=PATH_DEPTH),
 )
 def p2_shortest_path_limited(spark, sf_dir):
     nodes, edges = fx_graph(spark, sf_dir)
@@ -172,7 +172,7 @@ def p3_shortest_path_bidirectional(spark, sf_dir):
     return TR.shortest_paths_bidirectional(edges, _path_queries(spark, sf_dir, PATH_DEPTH), nodes=nodes)
 
 
-_P5_SQL = O.bfs_paths_sql("fx_undirected", "fx_path_queries", ("fx_undirected", "fx_path_queries"))
+_P5_SQL = O.bfs_paths_sql("fx_undirected", "fx_path_queries", ("fx_undirected", "fx_path_queries"), levels=PATH_DEPTH)
 _P5_SQL = (
     "SELECT query_id, \"from\", \"to\", found AND \"from\" <> \"to\" AS found,\n"
     "       CASE WHEN \"from\" <> \"to\" THEN path END AS path,\n"

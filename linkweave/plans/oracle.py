@@ -83,12 +83,16 @@ _CTES["fx_updates"] = """
   LEFT JOIN customer t ON t.c_custkey = (e.user_id * 7 + 3) % (SELECT count(*) FROM customer)"""
 
 _CTES["fx_sparse"] = """
-  SELECT DISTINCT a.c_name AS src, b.c_name AS dst
-  FROM (SELECT o_custkey, lead(o_custkey) OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) AS next_cust
-        FROM orders WHERE o_orderpriority = '1-URGENT') s
+  SELECT a.c_name AS src, b.c_name AS dst
+  FROM (SELECT o_custkey, next_cust,
+               row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn
+        FROM (SELECT o_custkey, o_orderkey,
+                     lead(o_custkey) OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) AS next_cust
+              FROM orders) o
+        WHERE next_cust IS NOT NULL AND next_cust <> o_custkey) s
   JOIN customer a ON a.c_custkey = s.o_custkey
   JOIN customer b ON b.c_custkey = s.next_cust
-  WHERE s.next_cust IS NOT NULL AND s.next_cust <> s.o_custkey"""
+  WHERE s.rn = 1"""
 
 _CTES["fx_parts"] = """
   SELECT DISTINCT 'Part#' || CAST(l_partkey AS VARCHAR) AS src, 'Part#' || CAST(n AS VARCHAR) AS dst
@@ -139,49 +143,69 @@ def cte(*names: str, extra: list[tuple[str, str]] | None = None) -> str:
 # --------------------------------------------------------------------------
 
 
-def bfs_paths_sql(edges: str, queries: str, base: tuple[str, ...], default_depth: int = -1) -> str:
-    """Directed BFS with lexicographically smallest shortest path (keyed recursion)."""
-    body = [
+#: Levels the SQL of an unlimited search is unrolled for; were the last one not
+#: empty, the SQL would return no row at all, which the comparison reports.
+UNLIMITED_LEVELS = 32
+
+
+def bfs_paths_sql(
+    edges: str, queries: str, base: tuple[str, ...], default_depth: int = -1, levels: int = UNLIMITED_LEVELS
+) -> str:
+    """Directed BFS with the smallest shortest path, one CTE per level, on ids in title order."""
+    pieces: list[tuple[str, str]] = [
+        ("nd", f"SELECT src AS title FROM {edges} UNION SELECT dst FROM {edges}"),
+        ("nid", "SELECT title, row_number() OVER (ORDER BY title) AS id FROM nd"),
+        ("ie", f"SELECT s.id AS src, d.id AS dst FROM {edges} e JOIN nid s ON s.title = e.src JOIN nid d ON d.title = e.dst"),
         (
             "q",
-            f"""SELECT query_id, "from", "to", coalesce(max_depth, {default_depth}) AS max_depth,
-                 "from" IN (SELECT title FROM nd) AND "to" IN (SELECT title FROM nd) AS ok
-          FROM {queries}""",
-        ),
-        ("act", """SELECT * FROM q WHERE ok AND "from" <> "to" AND max_depth <> 0"""),
-        (
-            "bfs(query_id, node, path, lvl) USING KEY (query_id, node)",
-            f"""SELECT query_id, "from", ["from"], 0 FROM act
-          UNION
-          SELECT f.query_id, e.dst, min(list_append(f.path, e.dst)), min(f.lvl + 1)
-          FROM bfs f JOIN {edges} e ON e.src = f.node JOIN act a ON a.query_id = f.query_id
-          WHERE (a.max_depth < 0 OR f.lvl < a.max_depth)
-            AND NOT EXISTS (SELECT 1 FROM recurring.bfs v WHERE v.query_id = f.query_id AND v.node = e.dst)
-            AND NOT EXISTS (SELECT 1 FROM recurring.bfs v WHERE v.query_id = f.query_id AND v.node = a."to")
-          GROUP BY f.query_id, e.dst""",
+            f"""SELECT z.query_id, z."from", z."to", coalesce(z.max_depth, {default_depth}) AS max_depth,
+                 f.id AS f, t.id AS t, f.id IS NOT NULL AND t.id IS NOT NULL AS ok
+          FROM {queries} z LEFT JOIN nid f ON f.title = z."from" LEFT JOIN nid t ON t.title = z."to" """,
         ),
+        ("act", """SELECT * FROM q WHERE ok AND f <> t AND max_depth <> 0"""),
+        ("lv0", "SELECT query_id, f AS node, [f] AS path, t, max_depth, 0 AS lvl FROM act"),
     ]
-    nodes = ("nd", f"SELECT src AS title FROM {edges} UNION SELECT dst FROM {edges}")
-    return cte(*base, extra=[nodes] + body) + _paths_tail()
-
-
-def _paths_tail() -> str:
-    return """
-, hit AS (SELECT b.query_id, b.path, b.lvl AS hops FROM bfs b JOIN act a
-          ON a.query_id = b.query_id AND a."to" = b.node)
+    for k in range(1, levels + 1):
+        seen = " UNION ALL ".join(f"SELECT query_id, node FROM lv{j}" for j in range(k))
+        pieces.append(
+            (
+                f"lv{k}",
+                f"""SELECT x.query_id, e.dst AS node, min(list_append(x.path, e.dst)) AS path,
+               any_value(x.t) AS t, any_value(x.max_depth) AS max_depth, {k} AS lvl
+          FROM lv{k - 1} x JOIN ie e ON e.src = x.node
+          WHERE (x.max_depth < 0 OR x.max_depth >= {k})
+            AND x.query_id NOT IN (SELECT query_id FROM lv{k - 1} WHERE node = t)
+            AND NOT EXISTS (SELECT 1 FROM ({seen}) v WHERE v.query_id = x.query_id AND v.node = e.dst)
+          GROUP BY x.query_id, e.dst""",
+            )
+        )
+    pieces.append(("bfs", " UNION ALL ".join(f"SELECT * FROM lv{k}" for k in range(levels + 1))))
+    sql = cte(*base, extra=pieces)
+    for name in ["nid", "ie", "act", *(f"lv{k}" for k in range(levels + 1))]:
+        sql = sql.replace(f"\n{name} AS (", f"\n{name} AS MATERIALIZED (", 1)
+    return sql + _paths_tail(levels)
+
+
+def _paths_tail(levels: int) -> str:
+    return f"""
+, hit AS (SELECT query_id, path, lvl AS hops FROM bfs WHERE node = t)
+, named AS (SELECT u.query_id, list(n.title ORDER BY u.pos) AS path
+            FROM (SELECT query_id, unnest(path) AS id, generate_subscripts(path, 1) AS pos FROM hit) u
+            JOIN nid n ON n.id = u.id GROUP BY u.query_id)
 , expl AS (SELECT b.query_id, count(*) FILTER (WHERE h.hops IS NULL OR b.lvl < h.hops) AS explored
-           FROM bfs b JOIN act a ON a.query_id = b.query_id LEFT JOIN hit h ON h.query_id = b.query_id
-           WHERE a.max_depth < 0 OR b.lvl < a.max_depth
+           FROM bfs b LEFT JOIN hit h ON h.query_id = b.query_id
+           WHERE b.max_depth < 0 OR b.lvl < b.max_depth
            GROUP BY b.query_id)
-SELECT a.query_id, a."from", a."to", h.path IS NOT NULL AS found, h.path, CAST(h.hops AS INTEGER) AS hops,
+SELECT a.query_id, a."from", a."to", h.path IS NOT NULL AS found, n.path, CAST(h.hops AS INTEGER) AS hops,
        CAST(coalesce(x.explored, 0) AS BIGINT) AS explored
-FROM act a LEFT JOIN hit h USING (query_id) LEFT JOIN expl x USING (query_id)
+FROM act a LEFT JOIN hit h USING (query_id) LEFT JOIN named n USING (query_id) LEFT JOIN expl x USING (query_id)
+WHERE NOT EXISTS (SELECT 1 FROM lv{levels} l WHERE l.max_depth < 0)
 UNION ALL
-SELECT query_id, "from", "to", ok AND "from" = "to" AS found,
-       CASE WHEN ok AND "from" = "to" THEN ["from"] END AS path,
-       CASE WHEN ok AND "from" = "to" THEN 0 END AS hops,
-       CAST(CASE WHEN ok AND "from" = "to" THEN 1 ELSE 0 END AS BIGINT) AS explored
-FROM q WHERE NOT ok OR "from" = "to" OR max_depth = 0
+SELECT query_id, "from", "to", ok AND f = t AS found,
+       CASE WHEN ok AND f = t THEN ["from"] END AS path,
+       CASE WHEN ok AND f = t THEN 0 END AS hops,
+       CAST(CASE WHEN ok AND f = t THEN 1 ELSE 0 END AS BIGINT) AS explored
+FROM q WHERE NOT ok OR f = t OR max_depth = 0
 """
 
 
