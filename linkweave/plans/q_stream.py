@@ -17,26 +17,40 @@ def _stream(spark, sf_dir, name):
     return base, ST.read_updates(spark, src)
 
 
-@register(
-    "t1_refresh_stream_edges",
-    O.cte(
-        "fx_edges",
-        "fx_updates",
-        extra=[
-            ("latest", _LATEST),
-            (
-                "fresh",
-                """SELECT u.title AS src, l.target_title AS dst FROM latest u JOIN fx_links l ON l.source_id = u.page_id
+_T1 = O.cte(
+    "fx_nodes",
+    "fx_updates",
+    extra=[
+        ("latest", _LATEST),
+        (
+            "fresh",
+            """SELECT u.title AS src, l.target_title AS dst FROM latest u JOIN fx_links l ON l.source_id = u.page_id
   WHERE u.fetch_status = 'success'""",
-            ),
-        ],
-    )
-    + "SELECT * FROM fx_edges WHERE src NOT IN (SELECT title FROM latest) UNION ALL SELECT * FROM fresh",
+        ),
+    ],
 )
-def t1_refresh_stream_edges(spark, sf_dir):
+
+
+def _t1(spark, sf_dir):
     nodes, edges = fx_graph(spark, sf_dir)
     base, stream = _stream(spark, sf_dir, "t1")
-    return ST.refresh_stream(stream, nodes, edges, TB.fx_links(spark, sf_dir), f"{base}/out", f"{base}/ckpt")[1]
+    return ST.refresh_stream(stream, nodes, edges, TB.fx_links(spark, sf_dir), f"{base}/out", f"{base}/ckpt")
+
+
+@register(
+    "t1_refresh_stream_edges",
+    _T1 + "SELECT * FROM fx_edges WHERE src NOT IN (SELECT title FROM latest) UNION ALL SELECT * FROM fresh",
+)
+def t1_refresh_stream_edges(spark, sf_dir):
+    return _t1(spark, sf_dir)[1]
+
+
+@register(
+    "t1_refresh_stream_nodes",
+    _T1 + "SELECT title FROM fx_nodes UNION SELECT src FROM fresh UNION SELECT dst FROM fresh",
+)
+def t1_refresh_stream_nodes(spark, sf_dir):
+    return _t1(spark, sf_dir)[0]
 
 
 @register(
@@ -66,7 +80,8 @@ def t3_export_stream_nodes(spark, sf_dir):
     O.cte("fx_links", "fx_updates")
     + """SELECT DISTINCT u.title AS src, l.target_title AS dst
 FROM (SELECT DISTINCT title, page_id FROM fx_updates WHERE fetch_status = 'success') u
-JOIN fx_links l ON l.source_id = u.page_id""",
+JOIN fx_links l ON l.source_id = u.page_id
+WHERE l.target_title IN (SELECT title FROM fx_updates WHERE fetch_status = 'success')""",
 )
 def t3_export_stream_edges(spark, sf_dir):
     base, stream = _stream(spark, sf_dir, "t3e")

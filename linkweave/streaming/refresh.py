@@ -7,17 +7,17 @@ a streaming checkpoint, so a restarted job resumes where it stopped; sinks
 written by ``foreachBatch`` are keyed by batch id (a replayed batch overwrites
 its own output), which makes them idempotent.
 
-* T1 ``refresh_stream``        -- M9 under a stream: only success flips are logged per batch
+* T1 ``refresh_stream``        -- M9 under a stream: success flips are logged per batch and folded into snapshots
 * T2 ``changed_content_stream`` -- emit a change only when a page's content differs
   from the last one seen (per-title state, ``applyInPandasWithState``)
-* T3 ``export_stream``          -- append each page once (per-page state) with its edges
+* T3 ``export_stream``          -- append new nodes and the edges whose two ends are exported
 * T4 ``status_counts_stream``   -- per-page status in state, +1/-1 deltas folded into counts
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +27,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from linkweave.operators import graph as G
 from linkweave.operators import maintain as M
 from linkweave.session import checkpoint_dir
+from linkweave.sources.snapshot import read_graph_snapshot, write_graph_snapshot
 
 UPDATE_SCHEMA = (
     "event_id long, title string, page_id long, fetch_status string, content_hash string, "
@@ -68,6 +69,29 @@ def _run(writer, available_now: bool = True, timeout_s: int | None = None):
     return q
 
 
+def _newest(pdfs: Iterator[pd.DataFrame], after: tuple | None):
+    """Latest row of a page's chunks that is later than ``after`` (time, event); None if there is none."""
+    best = None
+    for pdf in pdfs:
+        if after is not None:
+            ts, eid = pdf["updated_at"], pdf["event_id"]
+            pdf = pdf[(ts > after[0]) | ((ts == after[0]) & (eid > after[1]))]
+        if len(pdf):
+            best = pdf.sort_values(ORDER, kind="stable").iloc[-1]
+            after = (best["updated_at"], best["event_id"])
+    return best
+
+
+def _batches_before(spark: SparkSession, folder: str, batch_id: int, schema: str, keep: bool = False) -> DataFrame:
+    """What earlier micro-batches wrote (a replayed batch must not see its own output); ``keep``: with their id."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        out = spark.createDataFrame([], schema + ", batch long")
+    else:
+        out = spark.read.schema(schema + ", batch long").parquet(folder).where(F.col("batch") < batch_id)
+    return out if keep else out.drop("batch")
+
+
 # ---------------------------------------------------------------- T1
 _FLIP_OUT = "title string, page_id long, success boolean, updated_at timestamp_ntz, event_id long"
 _FLIP_STATE = "success boolean, updated_at timestamp_ntz, event_id long"
@@ -81,16 +105,9 @@ def _success_flips(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iter
     The first update of a page is always emitted: it drops or re-adds the
     page's out-edges in the base graph.
     """
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(ORDER, kind="stable")
     last = state.get if state.exists else None
     last_ok = last[0] if last is not None else None
-    last_key = (pd.Timestamp(last[1]), last[2]) if last is not None else None
-    newest = None
-    for row in pdf.itertuples(index=False):
-        k = (row.updated_at, row.event_id)
-        if last_key is not None and k <= last_key:
-            continue  # late or replayed
-        newest, last_key = row, k
+    newest = _newest(pdfs, (pd.Timestamp(last[1]), last[2]) if last is not None else None)  # else late or replayed
     if newest is None:
         yield pd.DataFrame([], columns=["title", "page_id", "success", "updated_at", "event_id"])
         return
@@ -112,20 +129,35 @@ def refresh_stream(
     links: DataFrame,
     out_dir: str,
     checkpoint: str,
+    commit_every: int = 4,
 ) -> tuple[DataFrame, DataFrame]:
     """Keep a projected graph current under a stream of page changes (M9 semantics).
 
-    Each micro-batch appends only the pages whose success-ness flipped (per-page
-    state in the state store), so a batch costs O(batch), never O(graph).  The
-    current graph is ``base`` minus the out-edges of every flipped page, plus
-    the links of pages whose latest flip is to ``success``; :func:`graph_view`
-    derives it, and compaction would fold the flips into a new base.
+    Each micro-batch logs only the pages whose success-ness flipped (per-page
+    state in the state store), so a batch costs O(batch).  Every
+    ``commit_every`` batches, and at the end of a run, the log is folded into a
+    new snapshot version (:func:`graph_view`: base minus the out-edges of every
+    flipped page, plus the links of pages whose latest flip is to ``success``).
+    The fold starts from base and log, so a replayed batch or commit changes
+    nothing.  Returns the last committed snapshot.
     """
+    spark = stream.sparkSession
     flips = stream.drop("day").groupBy("title").applyInPandasWithState(
         _success_flips, _FLIP_OUT, _FLIP_STATE, "append", GroupStateTimeout.NoTimeout
     )
-    _run(flips.writeStream.format("parquet").option("path", f"{out_dir}/flips").option("checkpointLocation", checkpoint))
-    return graph_view(nodes, edges, links, stream.sparkSession.read.schema(_FLIP_OUT).parquet(f"{out_dir}/flips"))
+    log, snapshots = f"{out_dir}/flips", f"{out_dir}/snapshots"
+
+    def commit(up_to: int) -> None:
+        write_graph_snapshot(*graph_view(nodes, edges, links, _batches_before(spark, log, up_to + 1, _FLIP_OUT)), snapshots)
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
+        if (batch_id + 1) % commit_every == 0:
+            commit(batch_id)
+
+    _run(flips.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint))
+    commit(1 << 62)
+    return read_graph_snapshot(spark, snapshots)[:2]
 
 
 def graph_view(nodes: DataFrame, edges: DataFrame, links: DataFrame, flips: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -143,20 +175,18 @@ _CHANGE_STATE = "content string, updated_at timestamp_ntz, event_id long"
 
 
 def _changes(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(ORDER, kind="stable")
+    pdf = pd.concat([p[["title", "event_id", "content_hash", "updated_at"]] for p in pdfs], ignore_index=True)
     last = state.get if state.exists else None
-    last_c, last_ts, last_id = (last[0], last[1], last[2]) if last is not None else (None, None, None)
-    out = []
-    for row in pdf.itertuples(index=False):
-        ts, eid = row.updated_at, row.event_id
-        if last_ts is not None and (ts, eid) <= (pd.Timestamp(last_ts), last_id):
-            continue  # late or replayed row: older than what this page has seen
-        if row.content_hash != last_c:
-            out.append((row.title, eid, row.content_hash, ts))
-        last_c, last_ts, last_id = row.content_hash, ts, eid
-    if last_ts is not None:
-        state.update((last_c, pd.Timestamp(last_ts).to_pydatetime(), int(last_id)))
-    yield pd.DataFrame(out, columns=["title", "event_id", "content_hash", "updated_at"])
+    if last is not None:  # a row older than what this page has seen is late or replayed
+        ts, seen = pdf["updated_at"], pd.Timestamp(last[1])
+        pdf = pdf[(ts > seen) | ((ts == seen) & (pdf["event_id"] > last[2]))]
+    pdf = pdf.sort_values(ORDER, kind="stable")
+    before = pdf["content_hash"].shift(1)
+    if len(pdf):
+        before.iloc[0] = last[0] if last is not None else None
+        newest = pdf.iloc[-1]
+        state.update((newest["content_hash"], newest["updated_at"].to_pydatetime(), int(newest["event_id"])))
+    yield pdf[before.isna() | (pdf["content_hash"] != before)]
 
 
 def changed_content_stream(stream: DataFrame, out_dir: str, checkpoint: str) -> DataFrame:
@@ -174,51 +204,49 @@ def changed_content_stream(stream: DataFrame, out_dir: str, checkpoint: str) ->
 
 
 # ---------------------------------------------------------------- T3
-_NEW_NODE_OUT = "title string, page_id long"
-_EXPORTED_STATE = "exported boolean"
+_NODE, _EDGE = "title string, page_id long", "src string, dst string"
 
 
-def _first_success(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per page: emit it once, on its first ``success`` update."""
-    if state.exists:
-        yield pd.DataFrame([], columns=["title", "page_id"])
-        return
-    pdf = pd.concat(list(pdfs), ignore_index=True)
-    ok = pdf[pdf["fetch_status"] == "success"]
-    if len(ok) == 0:
-        yield pd.DataFrame([], columns=["title", "page_id"])
-        return
-    state.update((True,))
-    first = ok.sort_values(ORDER, kind="stable").iloc[0]
-    yield pd.DataFrame([(first["title"], int(first["page_id"]))], columns=["title", "page_id"])
-
-
-def export_stream(stream: DataFrame, links: DataFrame, out_dir: str, checkpoint: str) -> tuple[DataFrame, DataFrame]:
-    """Append each page once when first seen in ``success``, with its out-edges.
-
-    "Already exported" is per-page state, so a batch never re-reads the sink;
-    its edges come from a stream-static join with the link table.
+def export_stream(
+    stream: DataFrame, links: DataFrame | Callable[[], DataFrame], out_dir: str, checkpoint: str
+) -> tuple[DataFrame, DataFrame]:
+    """Append pages when first seen in ``success``, and edges when both their ends are exported.
+
+    A micro-batch exports (1) the pages of its success updates that are new,
+    (2) the current links of all pages it touched, (3) the links from exported
+    pages to its new ones -- of these only edges between exported pages that
+    earlier batches have not written.  ``links`` may be a function that reads
+    the link table anew, so links added later leave with the next success
+    update of their page.
     """
     spark = stream.sparkSession
-    new_nodes = stream.drop("day").groupBy("title").applyInPandasWithState(
-        _first_success, _NEW_NODE_OUT, _EXPORTED_STATE, "append", GroupStateTimeout.NoTimeout
-    )
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        batch.select("title").write.mode("overwrite").parquet(f"{out_dir}/nodes/batch={batch_id}")
-        edges = links.join(
-            batch.select(F.col("page_id").alias("source_id"), F.col("title").alias("src")), "source_id"
-        ).select("src", F.col("target_title").alias("dst"))
-        edges.write.mode("overwrite").parquet(f"{out_dir}/edges/batch={batch_id}")
-
-    _run(new_nodes.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint))
-    try:
-        return (
-            spark.read.parquet(f"{out_dir}/nodes").select("title"),
-            spark.read.parquet(f"{out_dir}/edges").select("src", "dst"),
+        done = _batches_before(spark, f"{out_dir}/nodes", batch_id, _NODE)
+        touched = batch.where(F.col("fetch_status") == "success").select("title", "page_id").distinct()
+        fresh = f"{out_dir}/nodes/batch={batch_id}"
+        touched.join(done, "title", "left_anti").write.mode("overwrite").parquet(fresh)
+        new = spark.read.schema(_NODE).parquet(fresh)
+        known = done.unionByName(new)
+        current = links() if callable(links) else links
+        src = lambda pages: pages.select(F.col("page_id").alias("source_id"), F.col("title").alias("src"))
+        into_new = current.join(new.select(F.col("title").alias("target_title")), "target_title", "left_semi")
+        edges = (
+            current.join(src(touched), "source_id")
+            .join(known.select(F.col("title").alias("target_title")), "target_title", "left_semi")
+            .select("src", F.col("target_title").alias("dst"))
+            .unionByName(into_new.join(src(done), "source_id").select("src", F.col("target_title").alias("dst")))
+            .distinct()
         )
-    except Exception:  # noqa: BLE001 - empty stream
-        return spark.createDataFrame([], "title string"), spark.createDataFrame([], "src string, dst string")
+        before = _batches_before(spark, f"{out_dir}/edges", batch_id, _EDGE)
+        edges.join(before, ["src", "dst"], "left_anti").write.mode("overwrite").parquet(f"{out_dir}/edges/batch={batch_id}")
+
+    _run(stream.drop("day").writeStream.foreachBatch(append).option("checkpointLocation", checkpoint))
+    every = 1 << 62
+    return (
+        _batches_before(spark, f"{out_dir}/nodes", every, _NODE).select("title"),
+        _batches_before(spark, f"{out_dir}/edges", every, _EDGE),
+    )
 
 
 # ---------------------------------------------------------------- T4
@@ -228,16 +256,9 @@ _STATUS_STATE = "fetch_status string, updated_at timestamp_ntz, event_id long"
 
 def _status_deltas(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Per page: (old status, -1), (new status, +1) when its latest status changes."""
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(ORDER, kind="stable")
     last = state.get if state.exists else None
     old = last[0] if last is not None else None
-    last_key = (pd.Timestamp(last[1]), last[2]) if last is not None else None
-    newest = None
-    for row in pdf.itertuples(index=False):
-        k = (row.updated_at, row.event_id)
-        if last_key is not None and k <= last_key:
-            continue
-        newest, last_key = row, k
+    newest = _newest(pdfs, (pd.Timestamp(last[1]), last[2]) if last is not None else None)
     out = []
     if newest is not None:
         state.update((newest.fetch_status, pd.Timestamp(newest.updated_at).to_pydatetime(), int(newest.event_id)))
@@ -268,12 +289,7 @@ def status_counts_stream(stream: DataFrame, out_dir: str, checkpoint: str) -> Da
             cur = prev.unionByName(cur).groupBy("fetch_status").agg(F.sum("pages").alias("pages"))
         cur.coalesce(1).write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")  # <= 5 rows
 
-    q = _run(deltas.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint))
-    last = int(q.lastProgress["batchId"]) if q.lastProgress else -1
-    for b in range(last, -1, -1):
-        try:
-            counts = spark.read.parquet(f"{out_dir}/batch={b}")
-            return counts.where(F.col("pages") != 0).select("fetch_status", F.col("pages").cast("long"))
-        except Exception:  # noqa: BLE001
-            continue
-    return spark.createDataFrame([], "fetch_status string, pages long")
+    _run(deltas.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint))
+    every = _batches_before(spark, out_dir, 1 << 62, "fetch_status string, pages long", keep=True)
+    last = every.agg(F.max("batch")).first()[0]
+    return every.where((F.col("batch") == F.lit(last)) & (F.col("pages") != 0)).select("fetch_status", "pages")
