@@ -25,6 +25,8 @@ HEADLINE = [
     ("m9_refresh_graph", ["m9_refresh_graph_edges", "m9_refresh_graph_nodes"]),
     ("a8_export_edges", ["a8_export_edges"]),
     ("s2_similar_top10", ["s2_similar_topk"]),
+    ("s7_similar_approx", ["s7_similar_approx"]),
+    ("a5_read_snapshot", ["a5_read_graph_snapshot"]),
     ("k1_pagerank", ["k1_pagerank"]),
     ("a3_extract_links", ["a3_extract_links"]),
 ]

@@ -210,17 +210,21 @@ def embedding_profile(vectors: DataFrame, vec: str = "embedding") -> DataFrame:
     )
 
 
-def embedding_text(pages: DataFrame, edges: DataFrame, with_links: bool = True) -> DataFrame:
-    """Text to embed per page: its title, optionally followed by its sorted out-link titles."""
-    if not with_links:
-        return pages.select("title", F.col("title").alias("text"))
-    outs = edges.groupBy(F.col("src").alias("title")).agg(F.sort_array(F.collect_list("dst")).alias("_l"))
-    return pages.select("title").join(outs, "title", "left").select(
-        "title",
-        F.when(F.col("_l").isNull(), F.col("title"))
-        .otherwise(F.concat_ws(" ", F.col("title"), F.array_join("_l", " ")))
-        .alias("text"),
-    )
+def embedding_text(pages: DataFrame, edges: DataFrame | None = None, paragraphs: DataFrame | None = None) -> DataFrame:
+    """Text to embed per page: its title alone, or followed by its first
+    paragraph (``paragraphs(title, paragraph)``) and / or its sorted out-link titles (``edges``).
+
+    What a page lacks is left out.
+    """
+    out, parts = pages.select("title"), ["title"]
+    if paragraphs is not None:
+        out = out.join(paragraphs.select("title", F.nullif(F.trim("paragraph"), F.lit("")).alias("_p")), "title", "left")
+        parts.append("_p")
+    if edges is not None:
+        links = edges.groupBy(F.col("src").alias("title")).agg(F.sort_array(F.collect_list("dst")).alias("_l"))
+        out = out.join(links.select("title", F.array_join("_l", " ").alias("_l")), "title", "left")
+        parts.append("_l")
+    return out.select("title", F.concat_ws(" ", *parts).alias("text"))
 
 
 # ---------------------------------------------------------------- S4, S5
@@ -286,54 +290,72 @@ def compute_missing_embeddings(
 
 
 # ---------------------------------------------------------------- S7
+FIT_ROWS = 20_000  # vectors the centroids are fitted on; every vector is indexed
+
+
 def similar_approx(
     vectors: DataFrame,
     k: int = 10,
-    bucket_length: float = 1.0,
-    num_tables: int = 4,
+    lists: int = 64,
+    probes: int = 24,
     seed: int = 7,
-    blocks: int = 1,
     block_rows: int = 4096,
 ) -> DataFrame:
-    """Approximate neighbours: exact top-k among vectors sharing an LSH bucket.
-
-    Buckets come from Spark ML's ``BucketedRandomProjectionLSH`` on normalised
-    vectors (one bucket id per hash table).  Inside each (table, bucket) the
-    block kernel of :func:`similar_topk` ranks candidates exactly, so no pair
-    list is ever materialised; per-table lists are merged and re-ranked.
+    """Approximate neighbours by an inverted-list index, candidates ranked exactly.
+
+    Spark ML k-means on unit vectors (fitted on at most ``FIT_ROWS`` rows, chosen
+    by hash order, of the commonest length) gives ``lists`` centroids.  Every
+    vector goes into the list of its nearest centroid and asks the lists of its
+    ``probes`` nearest ones, so pair work is about ``probes / lists`` of all
+    pairs.  Inside a list the block kernel of :func:`similar_topk` ranks exactly,
+    in blocks of about ``block_rows``, so a large list is many tasks and no pair
+    list is materialised.  Vectors of another length than the fitted one form one
+    list per length, asked whole; a null vector has no neighbours.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    from linkweave.operators.traverse import _ckpt
 
+    v = vectors.where(F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    common = v.groupBy(F.size("embedding").alias("n")).count().orderBy(F.col("count").desc(), "n").first()
+    if common is None:
+        return vectors.sparkSession.createDataFrame([], _TOPK_SCHEMA + ", rank int")
+    size = int(common["n"])
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    unit = vectors.select(
-        "vec_id",
-        "embedding",
-        array_to_vector(
-            F.transform("embedding", lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0)))
-        ).alias("features"),
+    fit = (
+        v.where((F.size("embedding") == size) & (norm > 0))
+        .orderBy(F.xxhash64("vec_id"), "vec_id")
+        .limit(FIT_ROWS)
+        .select(array_to_vector(F.transform("embedding", lambda x: x.cast("double") / norm)).alias("features"))
     )
-    model = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=num_tables, seed=seed
-    ).fit(unit)
-    hashed = model.transform(unit).select("vec_id", "embedding", F.posexplode("hashes").alias("tbl", "h"))
-    bucketed = hashed.select(
-        "vec_id", "embedding", "tbl", vector_to_array("h").getItem(0).cast("long").alias("bucket")
-    )
-    # Blocks per bucket grow with the bucket (sqrt of its rows / block_rows),
-    # so a bucket holding a large share of all vectors is spread over many tasks.
-    sizes = bucketed.groupBy("tbl", "bucket").agg(F.count(F.lit(1)).alias("_n"))
-    nblocks = sizes.select(
-        "tbl", "bucket", F.greatest(F.lit(blocks), F.ceil(F.sqrt(F.col("_n") / F.lit(block_rows)))).cast("int").alias("_nb")
-    )
-    # Checkpoint: a clean lineage boundary after joining the table with its own
-    # aggregate, before both cogroup sides are taken from it.
-    from linkweave.operators.traverse import _ckpt
+    if size > 0 and not fit.isEmpty():
+        model = KMeans(k=lists, seed=seed, maxIter=10, distanceMeasure="cosine").fit(_ckpt(fit))
+        centres = _normalise(np.array(model.clusterCenters(), dtype=np.float64))
+    else:
+        centres = np.zeros((1, size))
 
-    bucketed = _ckpt(bucketed.join(nblocks, ["tbl", "bucket"]))
-    q = bucketed.select(F.col("vec_id").alias("query_id"), "embedding", "tbl", "bucket", "_nb")
-    partial = _block_pairs(q, bucketed, k, True, "_nb", group=["tbl", "bucket", "_nb"])
-    merged = partial.dropDuplicates(["query_id", "vec_id"])
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        near = min(probes, len(centres))
+        for b in batches:
+            asked = []
+            for e in b["embedding"]:
+                if len(e) != size:
+                    asked.append([-len(e) - 1])
+                    continue
+                score = centres @ np.asarray(e, dtype=np.float64)
+                asked.append(np.argsort(-score, kind="stable")[:near].tolist())
+            yield b.assign(asked=asked)
+
+    placed = _ckpt(v.mapInPandas(assign, "vec_id long, embedding array<float>, asked array<int>"))
+    own = placed.select("vec_id", "embedding", F.col("asked")[0].alias("list"))
+    asks = placed.select(F.col("vec_id").alias("query_id"), "embedding", F.explode("asked").alias("list"))
+    # One row per list (at most ``lists`` plus one per odd length); queries outnumber members in a list.
+    nb = asks.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("_nb"))
+    # Checkpoints: a clean lineage boundary before both cogroup sides meet.
+    partial = _block_pairs(
+        _ckpt(asks.join(nb, "list")), _ckpt(own.join(nb, "list")), k, True, "_nb", group=["list", "_nb"]
+    )
     return top_k_per_group(
-        merged, ["query_id"], [F.col("score").desc(), F.col("vec_id")], k, salt_cols=["vec_id"], rank_col="rank"
+        partial, ["query_id"], [F.col("score").desc(), F.col("vec_id")], k, salt_cols=["vec_id"], rank_col="rank"
     ).select("query_id", "vec_id", "score", F.col("rank").cast("int").alias("rank"))

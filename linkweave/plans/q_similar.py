@@ -81,6 +81,26 @@ def s8_embedding_text(spark, sf_dir):
     return SIM.embedding_text(TB.fx_pages(spark, sf_dir), edges)
 
 
+@register("s8_embedding_text_title", O.cte("fx_pages") + "SELECT title, title AS text FROM fx_pages")
+def s8_embedding_text_title(spark, sf_dir):
+    return SIM.embedding_text(TB.fx_pages(spark, sf_dir))
+
+
+@register(
+    "s8_embedding_text_paragraph",
+    """SELECT url AS title, url || CASE WHEN trim(p) = '' THEN '' ELSE ' ' || trim(p) END AS text FROM (
+  SELECT url, trim(regexp_replace(regexp_replace(coalesce(regexp_extract(html, '(?is)<p(?:\\s[^>]*)?>(.*?)</p>', 1), ''),
+         '<[^>]*>', '', 'g'), '[ \\t\\r\\n]+', ' ', 'g')) AS p FROM pages WHERE url IS NOT NULL) z""",
+)
+def s8_embedding_text_paragraph(spark, sf_dir):
+    """Title (here the url) and first paragraph of every raw page."""
+    raw = TB.read(spark, sf_dir, "pages").where(F.col("url").isNotNull())
+    body = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<p(?:\s[^>]*)?>(.*?)</p>", 1)
+    plain = F.regexp_replace(F.regexp_replace(body, "<[^>]*>", ""), r"[ \t\r\n]+", " ")
+    pages = raw.select(F.col("url").alias("title"), plain.alias("paragraph"))
+    return SIM.embedding_text(pages, paragraphs=pages)
+
+
 @register("s4_embed_batch")
 def s4_embed_batch(spark, sf_dir):
     """Hashing-encoder vectors for every document's whole text (no SQL form)."""
