@@ -69,10 +69,13 @@ class KeyedEdges:
     is expanded by ``HOT_SALTS`` tasks instead of one.  Other nodes use salt 0.
     """
 
-    def __init__(self, edges: DataFrame, key: str = "src", extra: tuple[str, ...] = (), fixed: bool = False):
-        """``extra``: further edge columns to keep; ``fixed``: ``edges`` is a checkpoint already."""
+    def __init__(self, edges: DataFrame, key: str = "src", extra: tuple[str, ...] = (), fixed: bool = False, also: tuple[str, ...] = ()):
+        """``extra``: further edge columns to keep; ``fixed``: ``edges`` is a checkpoint already;
+        ``also``: edge columns that a frontier row must equal too, under the name without its first letter."""
         n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         other = "dst" if key == "src" else "src"
+        extra = (*extra, *also)
+        self.also = also
         base = edges.select("src", "dst", *extra)
         if fixed:
             rows = base.count()
@@ -91,7 +94,7 @@ class KeyedEdges:
         self.salted = int(hm["n"] or 0) > 0
         if not self.salted:
             # No hub: plain partitioning on the key, plain join per level.
-            self.df = base.repartition(n, key).persist(StorageLevel.MEMORY_AND_DISK)
+            self.df = base.repartition(n, key, *also).persist(StorageLevel.MEMORY_AND_DISK)
             self.df.count()
             return
         salted = base.join(F.broadcast(self.hot), base[key] == F.col("_hot"), "left").select(
@@ -103,13 +106,13 @@ class KeyedEdges:
             .cast("int")
             .alias("_es"),
         )
-        self.df = salted.repartition(n, key, "_es").persist(StorageLevel.MEMORY_AND_DISK)
+        self.df = salted.repartition(n, key, *also, "_es").persist(StorageLevel.MEMORY_AND_DISK)
         self.df.count()
 
     def expand(self, frontier: DataFrame, node_col: str = "node") -> DataFrame:
         """Frontier rows joined with the edges whose ``key`` is the row's node."""
         if not self.salted:
-            return frontier.join(self.df, frontier[node_col] == self.df[self.key])
+            return frontier.join(self.df, self._meets(frontier, node_col)).drop(*self.also)
         salts = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(
             F.array(F.lit(0))
         )
@@ -118,7 +121,13 @@ class KeyedEdges:
             .withColumn("_fs", F.explode(salts))
             .drop("_hot")
         )
-        return f.join(self.df, (f[node_col] == self.df[self.key]) & (f["_fs"] == self.df["_es"])).drop("_fs", "_es")
+        return f.join(self.df, self._meets(f, node_col) & (f["_fs"] == self.df["_es"])).drop("_fs", "_es", *self.also)
+
+    def _meets(self, frontier: DataFrame, node_col: str):
+        cond = frontier[node_col] == self.df[self.key]
+        for c in self.also:
+            cond = cond & (frontier[c[1:]] == self.df[c])
+        return cond
 
     def unpersist(self) -> None:
         self.df.unpersist()
@@ -420,9 +429,11 @@ def _bidi_paths(
     number of steps (= path length).
     """
     q, n_active, bound = _classified(queries, nodes, edges.select("src", "dst"), default_depth)
-    edges = edges.select("src", "dst") if fixed or n_active == 0 else _ckpt(edges.select("src", "dst"))
-    out_edges = KeyedEdges(edges, "src", fixed=True) if n_active > 0 else None
-    in_edges = KeyedEdges(edges, "dst", fixed=True) if n_active > 0 else None
+    # One table for both directions, so a step is one join: forward rows meet
+    # out-edges, backward rows the same edges turned round.
+    turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("B").alias("_dir"))
+    moves = edges.select("src", "dst", F.lit("F").alias("_dir")).unionByName(turned)
+    keyed = KeyedEdges(moves, "src", fixed=fixed, also=("_dir",)) if n_active > 0 else None
     active = _active(q).select("query_id", "max_depth")
 
     start = _active(q)
@@ -457,13 +468,11 @@ def _bidi_paths(
         step_no += 1
         explored.append(pick.select("query_id", "n"))
         expand = frontier.join(pick.select("query_id", "dir"), ["query_id", "dir"], "left_semi")
-        fwd = (
-            out_edges.expand(expand.where(F.col("dir") == "F"))
-            .select("query_id", "dir", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-        )
-        bwd = (
-            in_edges.expand(expand.where(F.col("dir") == "B"))
-            .select("query_id", "dir", F.col("src").alias("node"), F.concat(F.array("src"), "path").alias("path"))
+        reached = keyed.expand(expand).select(
+            "query_id",
+            "dir",
+            F.col("dst").alias("node"),
+            F.when(F.col("dir") == "F", F.concat("path", F.array("dst"))).otherwise(F.concat(F.array("dst"), "path")).alias("path"),
         )
         # One shuffle on (query, node) answers three questions: the smallest
         # path, whether this side has been here, and whether the other one has.
@@ -477,7 +486,7 @@ def _bidi_paths(
             F.when(F.col("dir") == "F", F.col("path")).alias("pf"),
             F.when(F.col("dir") == "B", F.col("path")).alias("pb"),
         )
-        cand = fwd.unionByName(bwd).select(
+        cand = reached.select(
             "query_id", "node", "dir", "path", none.cast(path_type).alias("pf"), none.cast(path_type).alias("pb")
         )
         forward = F.col("dir") == "F"
@@ -517,9 +526,8 @@ def _bidi_paths(
             n=F.count(F.lit(1)),
         )
         n_frontier = int(m["n"] or 0)
-    if out_edges is not None:
-        out_edges.unpersist()
-        in_edges.unpersist()
+    if keyed is not None:
+        keyed.unpersist()
     return _assemble(q, found, explored)
 
 
