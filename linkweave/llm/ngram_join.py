@@ -4,16 +4,22 @@ Steps: (1) one pass over the texts gives every document the 128-bit key of its
 word sequence and one hash per MinHash band; (2) documents with equal keys are
 one class (copies are not expanded); (3) classes meet on band hashes, as a star
 around the least class of each bucket; the stars' connected components hold
-every candidate pair; (4) each component is verified in blocks on the full
-n-gram sets, with counts and a spanning forest as output, never all pairs;
+every candidate pair; (4) candidates are verified in blocks on the full n-gram
+sets, with counts and a spanning forest as output, never all pairs;
 (5) components of the verified links are the result classes.
 
+A component of up to ``BLOCK`` classes is verified as one block.  A larger one,
+which may hang together by chance collisions only, is verified as a whole or
+bucket by bucket, whichever sends fewer texts; in the latter case a pair counts
+in the first band that it shares, and a bucket with the members of an earlier
+band's bucket is left out, so that every pair is still verified exactly once.
+
 Band and row counts follow from the threshold and the target recall
 (:func:`plan_bands`).  The shuffle is on band hashes, sixteen bytes a band; texts travel
 only for documents that share a band with another text.
 
 Skew: a bucket or component of any size is split into blocks of ``BLOCK``
-classes, and each pair of blocks is a task of its own.  Bucket minima are
+classes, and each pair of blocks is a group of its own.  Bucket minima are
 combined before the shuffle.
 """
 
@@ -167,8 +173,12 @@ def _grams_of(texts: list[str], n: int) -> list[np.ndarray]:
     return out
 
 
-def _links(sets_a, sets_b, same: bool, threshold: float):
-    """Yield (i, positions of b linked with a[i]); exact Jaccard on full sets, sizes checked first."""
+def _links(sets_a, sets_b, same: bool, threshold: float, earlier=None):
+    """Yield (i, positions of b linked with a[i]); exact Jaccard on full sets, sizes checked first.
+
+    ``earlier`` holds both sides' hashes of the bands before the bucket's own;
+    a pair that shares one of them is verified there.
+    """
     size_b = np.array([len(s) for s in sets_b])
     names, flat = np.unique(np.concatenate([*sets_a, *sets_b]), return_inverse=True)
     cut = np.cumsum([0, *map(len, sets_a), *map(len, sets_b)])
@@ -181,6 +191,8 @@ def _links(sets_a, sets_b, same: bool, threshold: float):
         if same:
             fits[: i + 1] = False
         near = np.flatnonzero(fits)
+        if earlier is not None and len(near):
+            near = near[~(earlier[1][near] == earlier[0][i]).any(1)]
         if not len(near):
             continue
         mark[idx[i]] = 1
@@ -195,23 +207,24 @@ def _links(sets_a, sets_b, same: bool, threshold: float):
 
 
 def _verify(threshold: float, n: int):
-    """Rows sorted by (comp, i, j): count links and keep a spanning forest of each block pair."""
+    """Rows sorted by (band, grp, i, j): count links and keep a spanning forest of each block pair."""
 
-    def check(rows):
+    def check(band, rows):
         by_key = {}
-        for key, copies, text, side in rows:
-            before = by_key.setdefault((side, key), (copies, text))
+        for key, copies, text, side, sig in rows:
+            before = by_key.setdefault((side, key), (copies, text, sig))
             if before[1] != text and sequence_key(word_hashes([text])[0]) == key:
                 # A doc_id that repeats with several texts brings them all; the class is the one with this key.
-                by_key[side, key] = (copies, text)
+                by_key[side, key] = (copies, text, sig)
         sides = {s: [(k[1], *v) for k, v in sorted(by_key.items()) if k[0] == s] for s in (0, 1)}
         same = not sides[1]
         left, right = sides[0], sides[0] if same else sides[1]
         if not left or not right or (same and len(left) < 2):
             return
-        sets = _grams_of([t for _, _, t in left], n)
-        others = sets if same else _grams_of([t for _, _, t in right], n)
-        docs_l, docs_r = np.array([c for _, c, _ in left]), np.array([c for _, c, _ in right])
+        sets = _grams_of([t for _, _, t, _ in left], n)
+        others = sets if same else _grams_of([t for _, _, t, _ in right], n)
+        earlier = [np.array([sig[:band] for *_, sig in side]) for side in (left, right)] if band > 0 else None
+        docs_l, docs_r = np.array([c for _, c, *_ in left]), np.array([c for _, c, *_ in right])
         n_docs, n_texts = np.zeros(len(left), int), np.zeros(len(left), int)
         m_docs, m_texts = (n_docs, n_texts) if same else (np.zeros(len(right), int), np.zeros(len(right), int))
         parent = list(range(len(left) + (0 if same else len(right))))
@@ -222,7 +235,7 @@ def _verify(threshold: float, n: int):
                 x = parent[x]
             return x
 
-        for i, hit in _links(sets, others, same, threshold):
+        for i, hit in _links(sets, others, same, threshold, earlier):
             n_docs[i] += docs_r[hit].sum()
             n_texts[i] += len(hit)
             m_docs[hit] += docs_l[i]
@@ -245,21 +258,51 @@ def _verify(threshold: float, n: int):
             return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["key", "other", "docs", "texts"])
 
         for batch in batches:
-            for comp, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (comp, i, j) != now:
-                    out.extend(check(held))
-                    now, held = (comp, i, j), []
+            for band, grp, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (band, grp, i, j) != now:
+                    out.extend(check(now[0], held) if now else ())
+                    now, held = (band, grp, i, j), []
                     if len(out) > 20_000:
                         yield batch_of(out)
                         out = []
                 held.append(row)
-        out.extend(check(held))
+        out.extend(check(now[0], held) if now else ())
         if out:
             yield batch_of(out)
 
     return run
 
 
+def _places(cand: DataFrame, named: DataFrame, block: int) -> DataFrame:
+    """(key, rep, copies, sig, place array<struct<band, grp, n_blocks>>): where each candidate class is verified.
+
+    A component as a whole has band -1 and its own name as ``grp``; a class of a
+    component that is verified by buckets has one place per bucket it shares
+    (at most the number of bands) and brings its signature.
+    """
+    sizes = fixed(cand.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).withColumn("n_blocks", F.ceil(F.col("n") / block).cast("int")))
+    whole = cand.join(sizes, "comp").select(
+        "key", "rep", "copies", F.lit(None).cast("array<long>").alias("sig"),
+        F.array(F.struct(F.lit(-1).alias("band"), F.col("comp").alias("grp"), "n_blocks")).alias("place"), "comp",
+    )
+    large = sizes.where("n_blocks > 1")
+    if large.isEmpty():
+        return whole.drop("comp")
+    # Signatures come from the rep's row alone, so that a class of many copies sends one.
+    member = cand.join(large.select("comp"), "comp").join(named.select(F.col("doc_id").alias("rep"), "key", "sig"), ["rep", "key"]).dropDuplicates(["key"])
+    member = fixed(member.select("key", "rep", "copies", "comp", "sig"))
+    shared = member.select("comp", "key", F.posexplode("sig").alias("band", "grp"))
+    buckets = shared.groupBy("comp", "band", "grp").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("key")).alias("members")).where("n > 1")
+    buckets = buckets.groupBy("comp", "n", "members").agg(F.min(F.struct("band", "grp")).alias("b"))
+    buckets = fixed(buckets.select("comp", "b.*", "n", F.ceil(F.col("n") / block).cast("int").alias("n_blocks")))
+    cost = buckets.groupBy(F.col("comp").alias("c")).agg(F.sum(F.col("n") * F.col("n_blocks")).alias("rows"))
+    split = fixed(large.join(cost, F.col("comp") == F.col("c")).where(F.col("rows") < F.col("n") * F.col("n_blocks")).select("comp"))
+    where = shared.join(split, "comp", "left_semi").join(buckets.drop("n", "comp"), ["band", "grp"])
+    where = where.groupBy("key").agg(F.collect_list(F.struct("band", "grp", "n_blocks")).alias("place"))  # at most one per band
+    by_bucket = member.join(where, "key").select("key", "rep", "copies", "sig", "place")
+    return whole.join(split, "comp", "left_anti").select(*by_bucket.columns).unionByName(by_bucket)
+
+
 def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = WORDS, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, class_id, n_links, n_text_links.
 
@@ -288,20 +331,22 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RE
     cand = fixed(classes.join(comps, F.col("k1") == F.col("node")).select("key", "rep", "copies", F.col("component").alias("comp")))
 
     # Texts of the candidates: one row per class, by its least doc_id.
-    ids = cand.select(F.col("rep").alias("rid"), "key", "comp", "copies")
-    n_ids = ids.count()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(small(ids, n_ids, BROADCAST_IDS), F.col("doc_id") == F.col("rid"))
-    texts = texts.select("comp", "key", "copies", "text")
-    sizes = cand.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("n_blocks"))
-    spread = texts.join(sizes, "comp").withColumn("mine", F.pmod(F.xxhash64("key"), F.col("n_blocks")).cast("int"))
+    placed = fixed(_places(cand, named, block)).withColumnRenamed("rep", "rid")
+    n_ids = placed.count()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    bounded = small(placed.drop("sig", "place"), n_ids, BROADCAST_IDS)
+    texts = texts.join(bounded, F.col("doc_id") == F.col("rid")).select("key", "copies", "text")
+    texts = texts.join(placed.select("key", "sig", "place"), "key")
+    spread = texts.select("key", "copies", "text", "sig", F.explode("place").alias("at")).select("key", "copies", "text", "sig", "at.*")
+    spread = spread.withColumn("mine", F.pmod(F.xxhash64("key"), F.col("n_blocks")).cast("int"))
     spread = spread.withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     dealt = (
         spread.select(
-            "comp", F.least("mine", "peer").alias("i"), F.greatest("mine", "peer").alias("j"), "key", "copies", "text",
-            (F.col("mine") > F.col("peer")).cast("int").alias("side"),
+            "band", "grp", F.least("mine", "peer").alias("i"), F.greatest("mine", "peer").alias("j"), "key", "copies", "text",
+            (F.col("mine") > F.col("peer")).cast("int").alias("side"), "sig",
         )
-        .repartition(shuffle_partitions(spark), "comp", "i", "j")
-        .sortWithinPartitions("comp", "i", "j")
+        .repartition(shuffle_partitions(spark), "band", "grp", "i", "j")
+        .sortWithinPartitions("band", "grp", "i", "j")
     )
     found = fixed(dealt.mapInArrow(_verify(threshold, n), "key binary, other binary, docs long, texts long"))
 

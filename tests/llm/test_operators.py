@@ -118,6 +118,24 @@ def test_ngram_join_matches_brute_force(spark, docs, empty):
     assert sorted(r.doc_id for r in kept) == sorted({c for _, c, _ in want})
 
 
+def test_long_chains_are_verified_by_bucket(spark, monkeypatch):
+    """One component of 600 overlapping texts: few pairs share a bucket, so no block pairs of the whole."""
+    words = [f"w{i}" for i in range(1900)]
+    rows = [(k, " ".join(words[3 * k : 3 * k + 60])) for k in range(600)] + [(1000 + k, " ".join(words[3 * k : 3 * k + 60]).upper()) for k in range(0, 600, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    places = ngram_join._places
+
+    def spy(*args):
+        seen.append(places(*args))
+        return seen[-1]
+
+    monkeypatch.setattr(ngram_join, "_places", spy)
+    got = Counter((r.doc_id, r.class_id, r.n_links) for r in ngram_join.ngram_join(docs, block=7).collect())
+    assert seen[0].where("place[0].band >= 0").count() > 500
+    assert got == brute_join(rows)
+
+
 def test_band_plan_reaches_the_recall():
     bands, rows = ngram_join.plan_bands(0.8, 0.999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 and bands * rows <= 160
