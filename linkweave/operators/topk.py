@@ -12,8 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_SALTS = 16
-
 
 def top_k_per_group(
     df: DataFrame,
@@ -21,10 +19,12 @@ def top_k_per_group(
     order: list[Column],
     k: int,
     salt_cols: list[str] | None = None,
-    salts: int = DEFAULT_SALTS,
+    salts: int | None = None,
     rank_col: str | None = None,
 ) -> DataFrame:
     cols = df.columns
+    if salts is None:  # grows with the cluster
+        salts = max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if salts > 1:
         salt_src = salt_cols or cols
         salted = df.withColumn("_salt", F.pmod(F.xxhash64(*salt_src), F.lit(salts)))

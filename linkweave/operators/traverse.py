@@ -49,10 +49,6 @@ def _ckpt_obs(df: DataFrame, **metrics) -> tuple[DataFrame, dict]:
     return out, obs.get
 
 
-# Sub-partitions a hot node's edges are spread over.
-HOT_SALTS = 16
-
-
 class KeyedEdges:
     """Edge table materialised once per traversal, hash-partitioned on (``key``, salt).
 
@@ -64,9 +60,10 @@ class KeyedEdges:
     Skew: a node is *hot* when it holds more than ``1/n`` of all edges (``n``
     = shuffle partitions), so at most ``n`` nodes are hot -- a proven bound
     that makes the hot set safe to broadcast.  A hot node's edges get a salt
-    (hash of the other endpoint, ``HOT_SALTS`` values) and frontier rows at a
-    hot node are replicated once per salt, so a hub with a third of all edges
-    is expanded by ``HOT_SALTS`` tasks instead of one.  Other nodes use salt 0.
+    (hash of the other endpoint) with one value per ``1/n`` of all edges that
+    the node holds, and frontier rows at it are replicated once per salt, so a
+    hub with a third of all edges is expanded by ``n/3`` tasks and the salts of
+    all hot nodes are at most ``2n``.  Other nodes use salt 0.
     """
 
     def __init__(self, edges: DataFrame, key: str = "src", extra: tuple[str, ...] = (), fixed: bool = False, also: tuple[str, ...] = ()):
@@ -88,7 +85,7 @@ class KeyedEdges:
             base.groupBy(key)
             .agg(F.count(F.lit(1)).alias("_deg"))
             .where(F.col("_deg") > threshold)
-            .select(F.col(key).alias("_hot")),
+            .select(F.col(key).alias("_hot"), F.ceil(F.col("_deg") / F.lit(threshold)).cast("int").alias("_salts")),
             n=F.count(F.lit(1)),
         )  # at most n rows
         self.salted = int(hm["n"] or 0) > 0
@@ -101,7 +98,7 @@ class KeyedEdges:
             "src",
             "dst",
             *extra,
-            F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(other), F.lit(HOT_SALTS)))
+            F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(other), F.col("_salts")))
             .otherwise(F.lit(0))
             .cast("int")
             .alias("_es"),
@@ -113,13 +110,13 @@ class KeyedEdges:
         """Frontier rows joined with the edges whose ``key`` is the row's node."""
         if not self.salted:
             return frontier.join(self.df, self._meets(frontier, node_col)).drop(*self.also)
-        salts = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(
+        salts = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.col("_salts") - 1)).otherwise(
             F.array(F.lit(0))
         )
         f = (
             frontier.join(F.broadcast(self.hot), frontier[node_col] == F.col("_hot"), "left")
             .withColumn("_fs", F.explode(salts))
-            .drop("_hot")
+            .drop("_hot", "_salts")
         )
         return f.join(self.df, self._meets(f, node_col) & (f["_fs"] == self.df["_es"])).drop("_fs", "_es", *self.also)
 

@@ -208,26 +208,54 @@ def j9_changed_content(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- validation
+# The stored tables keep every rule: one broken page and link per supplier are added.
+_BROKEN_PAGES = (
+    "broken_pages",
+    """
+  SELECT id, title, fetch_status, redirect_to, fetched_at FROM fx_pages UNION ALL
+  SELECT -s_suppkey, CASE WHEN s_acctbal >= 0 THEN s_name END,
+         CASE WHEN s_acctbal < 0 THEN 'redirect' WHEN s_acctbal < 5000 THEN 'success' ELSE s_name END, NULL, NULL
+  FROM supplier""",
+)
+_BROKEN_LINKS = (
+    "broken_links",
+    """
+  SELECT source_id, target_title FROM fx_links UNION ALL
+  SELECT -s_suppkey, CASE WHEN s_acctbal >= 0 THEN repeat(s_name, 40) END FROM supplier""",
+)
+
+
 @register(
     "v1_constraint_violations",
-    O.cte("fx_pages", "fx_links")
+    O.cte("fx_pages", "fx_links", extra=[_BROKEN_PAGES, _BROKEN_LINKS])
     + """SELECT 'pages' AS table_name, CAST(id AS VARCHAR) AS row_key, rule FROM (
   SELECT id, unnest([
     CASE WHEN fetch_status IS NULL OR fetch_status NOT IN
               ('pending', 'success', 'redirect', 'not_found', 'error') THEN 'status_domain' END,
     CASE WHEN fetch_status = 'redirect' AND redirect_to IS NULL THEN 'redirect_target' END,
     CASE WHEN fetch_status NOT IN ('pending', 'error') AND fetched_at IS NULL THEN 'fetched_at_required' END,
-    CASE WHEN title IS NULL THEN 'title_not_null' END]) AS rule FROM fx_pages) z
+    CASE WHEN title IS NULL THEN 'title_not_null' END]) AS rule FROM broken_pages) z
 WHERE rule IS NOT NULL
 UNION ALL
-SELECT 'links', CAST(source_id AS VARCHAR) || '|' || coalesce(target_title, ''), rule FROM (
+SELECT 'links', concat_ws('|', CAST(source_id AS VARCHAR), target_title), rule FROM (
   SELECT source_id, target_title, unnest([
     CASE WHEN target_title IS NULL THEN 'target_not_null' END,
-    CASE WHEN length(target_title) > 512 THEN 'target_length' END]) AS rule FROM fx_links) z
+    CASE WHEN length(target_title) > 512 THEN 'target_length' END]) AS rule FROM broken_links) z
 WHERE rule IS NOT NULL""",
 )
 def v1_constraint_violations(spark, sf_dir):
-    return V.constraint_violations(TB.fx_pages(spark, sf_dir), TB.fx_links(spark, sf_dir))
+    """All pages and links, and one page and one link per supplier that break the rules."""
+    supplier, no_balance = TB.read(spark, sf_dir, "supplier"), F.col("s_acctbal") < 0
+    bad_pages = supplier.select(
+        (-F.col("s_suppkey")).cast("long").alias("id"),
+        F.when(~no_balance, F.col("s_name")).alias("title"),
+        F.when(no_balance, F.lit(S.STATUS_REDIRECT)).when(F.col("s_acctbal") < 5000, F.lit(S.STATUS_SUCCESS)).otherwise(F.col("s_name")).alias("fetch_status"),
+        F.lit(None).cast("string").alias("redirect_to"),
+        F.lit(None).cast("timestamp_ntz").alias("fetched_at"),
+    )
+    bad_links = supplier.select((-F.col("s_suppkey")).cast("long").alias("source_id"), F.when(~no_balance, F.repeat("s_name", F.lit(40))).alias("target_title"))
+    pages = TB.fx_pages(spark, sf_dir).select(*bad_pages.columns).unionByName(bad_pages)
+    return V.constraint_violations(pages, TB.fx_links(spark, sf_dir).select(*bad_links.columns).unionByName(bad_links))
 
 
 _A3_ALL_CTE = (
@@ -561,3 +589,23 @@ WHERE p.fetch_status <> 'pending'""",
 )
 def x7_classify_fetches(spark, sf_dir):
     return IN.classify_fetches(_fetch_results(spark, sf_dir), TB.fx_pages(spark, sf_dir)).drop("html")
+
+
+@register(
+    "g5_fetch_stats",
+    O.cte("fx_pages", "fx_links")
+    + """, o AS (
+  SELECT p.id, p.fetch_status, p.fetch_status = 'success' AND md5(coalesce(d.text, p.title)) <> p.content_hash AS fetched
+  FROM fx_pages p LEFT JOIN documents d ON d.doc_id = p.id WHERE p.fetch_status <> 'pending')
+SELECT count(*) FILTER (WHERE fetched) AS pages_fetched,
+       count(*) FILTER (WHERE NOT fetched AND fetch_status <> 'error') AS pages_skipped,
+       (SELECT count(*) FROM fx_links WHERE source_id IN (SELECT id FROM o WHERE fetched)) AS links_found,
+       count(*) FILTER (WHERE fetch_status = 'error') AS errors
+FROM o""",
+)
+def g5_fetch_stats(spark, sf_dir):
+    """G5 over the classified fetches (X7): links are those of the fetched pages."""
+    pages = TB.fx_pages(spark, sf_dir)
+    n_links = TB.fx_links(spark, sf_dir).groupBy(F.col("source_id").alias("id")).agg(F.count(F.lit(1)).alias("n_links"))
+    found = pages.select("id", "title").join(n_links, "id", "left").select("title", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return ST.crawl_stats(IN.classify_fetches(_fetch_results(spark, sf_dir), pages).join(found, "title"))

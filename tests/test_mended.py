@@ -60,3 +60,21 @@ def test_unscoped_links_on_real_markup(spark):
     for r in IN.extract_links(pages, prefix="/wiki/").collect():
         got.setdefault(r.page_id, set()).add(r.target_title)
     assert got == {k: want for k, (_, want) in cases.items()}
+
+
+def test_hub_edges_are_spread_by_their_share(spark):
+    from linkweave.operators.traverse import KeyedEdges
+
+    n = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        edges = spark.range(6000).selectExpr("if(id < 2000, 7L, id) as src", "id + 1 as dst")
+        keyed = KeyedEdges(edges)
+        salts = {r["src"]: r["n"] for r in keyed.df.groupBy("src").agg({"_es": "max"}).withColumnRenamed("max(_es)", "n").collect()}
+        assert salts[7] + 1 > 16 and max(s for node, s in salts.items() if node != 7) == 0
+        frontier = spark.createDataFrame([(1, 7), (2, 7), (2, 3000), (3, 100_000)], "query_id long, node long")
+        got = sorted((r.query_id, r.dst) for r in keyed.expand(frontier).collect())
+        assert got == sorted([(q, k + 1) for q in (1, 2) for k in range(2000)] + [(2, 3001)])
+        keyed.unpersist()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", n)
