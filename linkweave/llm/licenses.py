@@ -1,9 +1,11 @@
 """License scan by an exact set-similarity join with license templates (operator 7).
 
-A text block (a line) matches a template when at least ``THRESHOLD`` of the
-template's distinct tokens occur in it.  The join is exact: tokens are ordered
-by their frequency over the whole corpus, rarest first, and three filters
-discard blocks before any set is intersected.
+A text block matches a template when at least ``THRESHOLD`` of the template's
+distinct tokens occur in it.  Blocks are all windows of ``TemplateIndex.width``
+consecutive words, wherever lines break: the longest template's words and as
+many foreign ones as it may miss.  The join is exact: tokens are ordered by
+their frequency over the whole corpus, rarest first, and three filters discard
+the stretches around prefix tokens before any window is slid over them.
 
 * prefix: a block with overlap t of n template tokens must hold one of the
   template's first n - t + 1 tokens;
@@ -48,7 +50,7 @@ _LOWER = str.maketrans(UPPER, LOWER)
 
 
 def token_frequencies(docs: DataFrame, templates=TEMPLATES) -> dict[str, int]:
-    """Number of blocks of the corpus with each template token; as many rows as the templates have tokens."""
+    """Number of lines of the corpus with each template token; as many rows as the templates have tokens."""
     vocab = sorted({w for _, t in templates for w in t.split()})
     lines = docs.select(F.explode(F.split(lower_ascii(text_of()), "\n")).alias("line"))
     words = lines.select(F.explode(F.array_distinct(F.split("line", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"))).alias("w")).where(F.col("w").isin(vocab))
@@ -71,24 +73,83 @@ class TemplateIndex:
             for place, w in enumerate(tokens[: len(tokens) - need + 1]):
                 self.by_token.setdefault(w, []).append((k, place))
         self.prefix = frozenset(self.by_token)
+        self.width = max((2 * len(text.split()) - need for (_, text), (*_, need) in zip(templates, self.sets, strict=True)), default=0)
 
     def match(self, block: set[str]) -> dict[str, float]:
         """Label -> containment of every template that the block's token set reaches."""
+        out: dict[str, float] = {}
+        for k, both in self.reached(block).items():
+            label, tokens, *_ = self.sets[k]
+            out[label] = max(out.get(label, 0.0), both / len(tokens))
+        return out
+
+    def reached(self, block: set[str]) -> dict[int, int]:
+        """Template -> number of its tokens in the block, for every template that the block reaches."""
         own = block & self.vocab
         first: dict[int, int] = {}
         for w in own & self.prefix:
             for k, place in self.by_token[w]:
                 first[k] = min(place, first.get(k, place))
-        out: dict[str, float] = {}
+        out: dict[int, int] = {}
         for k, place in first.items():
-            label, tokens, whole, need = self.sets[k]
+            _, tokens, whole, need = self.sets[k]
             if len(own) < need or len(tokens) - place < need:
                 continue
             both = len(whole & own)
             if both >= need:
-                out[label] = max(out.get(label, 0.0), both / len(tokens))
+                out[k] = both
         return out
 
+    def search(self, words: list[str]) -> tuple[dict[str, float], int]:
+        """(label -> best containment over all windows, number of disjoint matching passages)."""
+        best: dict[str, float] = {}
+        found: list[tuple[int, int]] = []
+        for low, high in self._stretches(words):
+            part = words[low:high]
+            for k in self.reached(set(part)):
+                label, tokens, whole, need = self.sets[k]
+                at = [i for i, w in enumerate(part) if w in whole]
+                both, spans = _slide(part, at, self.width, need)
+                if both >= need:
+                    best[label] = max(best.get(label, 0.0), both / len(tokens))
+                    found += [(low + end, low + start) for start, end in spans]
+        n, free = 0, 0
+        for end, start in sorted(found):  # the earliest end first: as many disjoint passages as there can be
+            if start >= free:
+                n, free = n + 1, end + 1
+        return best, n
+
+    def _stretches(self, words: list[str]) -> Iterator[tuple[int, int]]:
+        """Word ranges that hold every window with a prefix token; each such window lies in one of them."""
+        prefix, reach, start, last = self.prefix, self.width - 1, None, 0
+        for i, w in enumerate(words):
+            if w in prefix:
+                if start is None:
+                    start = i
+                elif i - last > reach:
+                    yield max(0, start - reach), last + reach + 1
+                    start = i
+                last = i
+        if start is not None:
+            yield max(0, start - reach), last + reach + 1
+
+
+def _slide(words: list[str], at: list[int], width: int, need: int) -> tuple[int, list[tuple[int, int]]]:
+    """Most distinct words at the places ``at`` inside one window, and the shortest passage of ``need`` per end."""
+    held: dict[str, int] = {}  # word -> its last place
+    best, spans, left = 0, [], 0
+    for i in at:
+        held.pop(words[i], None)
+        held[words[i]] = i  # so the words stand in the order of their last places
+        while at[left] <= i - width:
+            if held.get(words[at[left]]) == at[left]:
+                del held[words[at[left]]]
+            left += 1
+        best = max(best, len(held))
+        if len(held) >= need:
+            spans.append((list(held.values())[-need], i))
+    return best, spans
+
 
 def _spots(words: list[str], phrase: list[str]) -> list[int]:
     """Places where the phrase's words stand consecutively."""
@@ -121,12 +182,9 @@ def _scan(index: TemplateIndex, phrases: dict[str, str]):
                         base.add(label)
                 labels, best, n_blocks = set(base), 1.0 if base else 0.0, 0
                 if not index.prefix.isdisjoint(words):
-                    for line in text.split("\n"):
-                        block = set(_WORD.findall(line))
-                        if not index.prefix.isdisjoint(block) and (got := index.match(block)):
-                            n_blocks += 1
-                            labels |= set(got)
-                            best = max(best, *got.values())
+                    got, n_blocks = index.search(words)
+                    labels |= set(got)
+                    best = max(best, *got.values()) if got else best
                 out.append((len(words), len(spots), min(spots, default=None), max(spots, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), best, n_blocks))
             frame = pd.DataFrame(out, columns=["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "n_blocks"])
             yield frame.astype({"first_word": "Int64", "last_word": "Int64"})
@@ -139,8 +197,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=None, threshold: float =
 
     Base: places where a phrase's words stand consecutively.  ``labels`` adds
     the templates that a block contains; ``score`` is 1 with a base phrase, else
-    the best containment (0 without a match); ``n_blocks`` counts matching
-    blocks.  Null text counts as empty: no words, empty labels, null places.
+    the best containment (0 without a match); ``n_blocks`` counts the matching
+    passages that do not overlap.  Null text counts as empty: no words, empty labels, null places.
     Repeated rows are scanned alike; an empty table gives an empty result.
     """
     index = TemplateIndex(templates, token_frequencies(docs, templates), threshold)

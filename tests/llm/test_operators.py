@@ -247,6 +247,33 @@ def test_licenses_match_brute_force(spark, docs, empty):
         assert index.match(block) == pytest.approx(want)
 
 
+def test_license_blocks_do_not_follow_line_breaks(spark):
+    gpl = "# This program is free software; you can redistribute it\n# and/or modify it under the terms of the\n# GNU General Public License"
+    parts = ["released", "under", "the", "mit", "license"]
+    long = " ".join(x for w in parts for x in ["word"] * 200 + [w])  # one line; the words of a notice, far apart
+    wrapped = "Permission is hereby granted,\nfree of charge, to any person obtaining\na copy of this software"
+    texts = [gpl, wrapped, long, long + " released under the MIT license " + long, "all rights reserved\n" * 2]
+    rows = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert (rows[0].base_labels, rows[0].labels, rows[0].n_blocks) == ("gpl", "gpl,gpl-redistribute", 1)
+    assert (rows[1].labels, rows[1].score, rows[1].n_blocks) == ("mit-text", 1.0, 1)
+    assert (rows[2].labels, rows[2].score, rows[2].n_blocks) == ("", 0.0, 0)
+    assert (rows[3].base_labels, rows[3].labels, rows[3].n_blocks) == ("mit", "mit", 1)
+    assert (rows[4].labels, rows[4].n_blocks) == ("all-rights-reserved", 2)
+    # The search finds what every window of that many words holds.
+    freq = {w: k * 5 % 11 for k, w in enumerate(sorted({w for _, t in licenses.TEMPLATES for w in t.split()}))}
+    index, rng = licenses.TemplateIndex(licenses.TEMPLATES, freq), np.random.default_rng(6)
+    for _ in range(60):
+        words = []
+        for _ in range(rng.integers(1, 6)):
+            words += rng.choice([*sorted(freq), *["other"] * 40], rng.integers(0, 50)).tolist()
+            words += [w for w in licenses.TEMPLATES[rng.integers(len(licenses.TEMPLATES))][1].split() if rng.random() < 0.85]
+        want = {}
+        for i in range(max(1, len(words) - index.width + 1)):
+            for label, x in index.match(set(words[i : i + index.width])).items():
+                want[label] = max(x, want.get(label, 0))
+        assert index.search(words)[0] == pytest.approx(want)
+
+
 def _draw(i, label):
     h = xxhash.xxh64_intdigest(struct.pack("<q", i), 42)
     return ((xxhash.xxh64_intdigest(label.encode(), h) >> 12) + 0.5) / (1 << 52)
