@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkweave.llm import langid, mixing, ngram_join, packing, trie_dedup
-from linkweave.llm.common import one_row_per_id, table, text_of
+from linkweave.llm.common import one_row_per_text, table, text_of
 from linkweave.session import checkpoint_dir
 
 
@@ -27,11 +27,11 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Exact dedup: of texts equal up to A-Z case the row with the largest doc_id stays."""
     found = trie_dedup.exact_dedup(docs, keep="max")
-    return one_row_per_id(docs, found.where("kept"))
+    return one_row_per_text(docs, found.where("kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: of each class of linked documents the least doc_id stays."""
+    """N-gram Jaccard join: of each class of linked documents the least doc_id stays (a null one is the greatest)."""
     return ngram_join.one_per_class(docs)
 
 

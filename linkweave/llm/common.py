@@ -57,27 +57,39 @@ def small(df: DataFrame, rows: int, max_rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= max_rows else df
 
 
-def one_row_per_id(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``ids``; of repeated ids one row (the smallest text) stays.
+def text_hash(col: str = "text") -> Column:
+    """SHA-256 of a text with A-Z lower-cased; a null text counts as empty."""
+    return F.sha2(lower_ascii(text_of(col)).cast("binary"), 256)
 
-    Rows with a null doc_id have no identity to choose by and are all returned.
+
+def one_row_per_text(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose (doc_id, text hash) is in ``chosen`` (doc_id, text_sha256), one row for each.
+
+    A null doc_id is an identity like any other here.  Of rows with one doc_id
+    and equal texts up to A-Z case the least by text, then by the other columns,
+    stays.
     """
-    ids = fixed(ids.select("doc_id").where(F.col("doc_id").isNotNull()).distinct())
-    kept = docs.join(ids, "doc_id", "left_semi").select(*docs.columns)
-    repeated = fixed(docs.select("doc_id").join(ids, "doc_id", "left_semi").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    nameless = docs.where(F.col("doc_id").isNull())
+    on = ["_lw_id", "_lw_sha"]
+
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.withColumns({"_lw_id": F.col("doc_id").cast("long"), "_lw_sha": text_hash()})
+
+    def same(a: DataFrame, b: DataFrame) -> Column:
+        return a["_lw_id"].eqNullSafe(b["_id"]) & (a["_lw_sha"] == b["_sha"])
+
+    pairs = fixed(chosen.select(F.col("doc_id").cast("long").alias("_id"), F.col("text_sha256").alias("_sha")).distinct())
+    all_rows = keyed(docs)
+    kept = all_rows.join(pairs, same(all_rows, pairs), "left_semi")
+    short = keyed(docs).select(*on)
+    repeated = short.join(pairs, same(short, pairs), "left_semi").groupBy(*on).count().where("count > 1")
+    repeated = fixed(repeated.select(F.col("_lw_id").alias("_id"), F.col("_lw_sha").alias("_sha")))
     if repeated.isEmpty():
-        return kept.unionByName(nameless)
+        return kept.select(*docs.columns)
     # min over a struct keeps whole rows and is combined before the shuffle.
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    cols = [*(["text"] if "text" in docs.columns else []), *rest]
-    chosen = (
-        kept.join(repeated, "doc_id", "left_semi")
-        .groupBy("doc_id")
-        .agg(F.min(F.struct(*cols)).alias("row"))
-        .select("doc_id", *[F.col("row")[c].alias(c) for c in cols])
-    )
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(chosen.select(*docs.columns)).unionByName(nameless)
+    cols = ["text", *[c for c in docs.columns if c != "text"]]
+    chosen_rows = kept.join(repeated, same(kept, repeated), "left_semi").groupBy(*on).agg(F.min(F.struct(*cols)).alias("row"))
+    chosen_rows = chosen_rows.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    return kept.join(repeated, same(kept, repeated), "left_anti").select(*docs.columns).unionByName(chosen_rows)
 
 
 def blocks(items: Iterable, sizes: Iterable[int], limit: int) -> Iterator[list]:

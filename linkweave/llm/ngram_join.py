@@ -33,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkweave.llm.common import blocks, components, fixed, one_row_per_id, shuffle_partitions, small, text_of
+from linkweave.llm.common import blocks, components, fixed, one_row_per_text, shuffle_partitions, small, text_hash, text_of
+from linkweave.operators.ranking import dense_rank_table
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -364,6 +365,19 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RE
 
 
 def one_per_class(docs: DataFrame, **options) -> DataFrame:
-    """Rows of ``docs`` with the least doc_id of each class; all columns kept."""
-    found = ngram_join(docs, **options)
-    return one_row_per_id(docs, found.where(F.col("doc_id") == F.col("class_id")))
+    """One row of ``docs`` per class, that of the least doc_id (null last), then text hash; all columns kept.
+
+    Texts are decided one by one: a doc_id with several texts, or a null one,
+    is joined under a number per (doc_id, text hash).
+    """
+    pairs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_sha256"))
+    pairs = fixed(pairs.distinct().withColumn("nameless", F.col("doc_id").isNull()))
+    if pairs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
+        pairs, numbered = pairs.withColumn("number", F.col("doc_id")), docs
+    else:
+        pairs = fixed(dense_rank_table(pairs, ["nameless", "doc_id", "text_sha256"], name="number"))
+        rows = docs.select(F.col("doc_id").cast("long").alias("_id"), text_hash().alias("_sha"), text_of().alias("text"))
+        numbered = rows.join(pairs, rows["_id"].eqNullSafe(pairs["doc_id"]) & (rows["_sha"] == pairs["text_sha256"])).select(F.col("number").alias("doc_id"), "text")
+    found = ngram_join(numbered, **options)
+    least = found.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("number"))
+    return one_row_per_text(docs, pairs.join(least, "number", "left_semi"))

@@ -30,6 +30,24 @@ def test_stages_on_awkward_rows(spark):
         assert f(spark, docs.limit(0), SMOKE).count() == 0, name
 
 
+def test_stages_decide_each_text_of_a_doc_id(spark):
+    near = "the cat sat on the mat and looked at the dog while rain fell over every roof in town today and all night long"
+    rows = [(7, "aaa"), (7, "bbb"), (9, "aaa"), (9, "AAA"), (None, "aaa"), (None, "ccc"), (None, "CCC"), (None, "ccc"), (None, None), (5, "!!"), (5, "??"), (5, "!!")]
+    rows += [(None, near), (None, near + " again"), (20, near + " at last"), (20, "other words than those of the cat"), (21, "Other words than those of the cat!")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stage = dict(P.STAGES)
+    once = stage["exact_dedup"](spark, docs, SMOKE)
+    got = sorted((str(r.doc_id), (r.text or "").lower()) for r in once.collect())
+    alone = [("None", near), ("None", near + " again"), ("20", near + " at last"), ("20", "other words than those of the cat"), ("21", "other words than those of the cat!")]
+    assert got == sorted([("7", "bbb"), ("9", "aaa"), ("None", "ccc"), ("None", ""), ("5", "!!"), ("5", "??"), *alone])
+    for given in (docs, once):
+        left = stage["ngram_jaccard_join"](spark, given, SMOKE)
+        assert left.columns == docs.columns
+        got = sorted((str(r.doc_id), (r.text or "").lower()) for r in left.collect())
+        first = "7" if given is docs else "9"
+        assert got == sorted([(first, "aaa"), ("7", "bbb"), ("None", "ccc"), ("None", ""), ("5", "!!"), ("5", "??"), ("20", near + " at last"), ("20", "other words than those of the cat")])
+
+
 def test_run_agrees_with_its_stages(spark):
     out = P.run(spark, SMOKE).toPandas()
     whole = out.groupby(["doc_id", "sequence_id", "start"])["length"].sum()
