@@ -57,7 +57,7 @@ def op9_spot_signatures(spark, sf_dir):
 
 @register("op10_url_filter")
 def op10_url_filter(spark, sf_dir):
-    return url_filter.judge(table(spark, sf_dir, "pages"))
+    return url_filter.judge(table(spark, sf_dir, "pages"), whole_url=True)
 
 
 @register("op1_toxicity")

@@ -1,9 +1,10 @@
 """URL filter by the ratio of two character language models (operator 10), DataFrame functions only.
 
-Rules decide the URLs they fit.  The URLs that rules accept and reject train
-two smoothed variable-order Markov models over characters; every URL without a
-rule gets the mean per-character difference of the two models' log-likelihoods
-and is allowed when it reaches a threshold calibrated on the ruled URLs.
+Rules decide the URLs they fit, by host and path.  The URLs that rules accept
+and reject train two smoothed variable-order Markov models over characters;
+every URL without a rule gets the mean per-character difference of the two
+models' log-likelihoods and is allowed when it reaches a threshold calibrated on
+the ruled URLs.
 
 Counts are taken over all URLs.  Equal model strings are merged first (digits
 are read as one class), positions are pre-aggregated to distinct n-grams, and
@@ -82,19 +83,22 @@ def model(strings: DataFrame) -> DataFrame:
     return fixed(out.select("gram", (F.log("p_allow") - F.log("p_block")).alias("ratio")))
 
 
-def judge(pages: DataFrame, rules=RULES) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, whole_url: bool = False) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, ratio.
 
-    ``ratio`` is the mean per-character log-likelihood difference (null when a
-    class has no ruled URL to learn from; such URLs are allowed).  Null URLs
-    have empty host and path and are judged like the empty string.  Repeated
-    rows are judged alike; an empty table gives an empty result.
+    The models read host and path, or with ``whole_url`` (as the query does) the
+    URL as it stands, scheme, query string and fragment included.  ``ratio``
+    is the mean per-character log-likelihood difference (null when a class has
+    no ruled URL to learn from; such URLs are allowed).  Null URLs have
+    empty host and path and are judged like the empty string.  Repeated rows are
+    judged alike; an empty table gives an empty result.
     """
     rows = pages.select(F.col("page_id").alias("page_id"), F.col("url").cast("string").alias("url"))
     host, path = host_and_path(F.col("url"))
-    rows = rows.select("page_id", host.alias("host"), path.alias("path"))
+    read = F.coalesce("url", F.lit("")) if whole_url else F.concat("host", "path")
+    rows = rows.select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, verdict = best_rule(F.col("host"), F.col("path"), rules)
-    text = F.concat(F.lit("\x02"), F.regexp_replace(F.concat("host", "path"), "[0-9]", "0"), F.lit("\x03"))
+    text = F.concat(F.lit("\x02"), F.regexp_replace(read, "[0-9]", "0"), F.lit("\x03"))
     rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), text.alias("s"))
     strings = fixed(rows.groupBy("s").agg(F.count_if(F.col("ruled") == "allow").alias("n_allow"), F.count_if(F.col("ruled") == "block").alias("n_block")))
     ratios = model(strings)

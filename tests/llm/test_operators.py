@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from linkweave.llm import langid, licenses, mixing, ngram_join, packing, sharding, spotsigs, toxicity, trie_dedup, url_filter
+from linkweave.llm import langid, licenses, mixing, ngram_join, packing, queries, sharding, spotsigs, toxicity, trie_dedup, url_filter
 from linkweave.llm.common import components
 
 SMOKE = "/root/testdata/sf0.001"
@@ -427,3 +427,37 @@ def test_url_ratio_matches_brute_force(spark):
         s = "\x02" + re.sub("[0-9]", "0", r.host + r.path) + "\x03"
         grams = [s[max(0, i - 4) : i + 1] for i in range(1, len(s))]
         assert r.ratio == pytest.approx(np.mean([np.log(p(0, g)) - np.log(p(1, g)) for g in grams]), rel=1e-9)
+
+
+def test_url_query_judges_the_whole_url(spark, tmp_path):
+    urls = [u for u, *_ in URLS] + ["http://x.net/de/1?utm_source=feed", "http://x.net/de/1#top", "other words", "http://x.net/de/2"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r for r in queries.QUERIES["op10_url_filter"](spark, str(tmp_path)).collect()}
+    for k, (_, host, path, rule) in enumerate(URLS):
+        assert (got[k].host, got[k].path, got[k].rule) == (host, path, rule)
+    n = len(URLS)
+    assert len({got[k].ratio for k in (4, n, n + 1)}) == 3 and got[7].ratio != got[n + 2].ratio  # x.net/de/1 and two texts without a scheme
+    assert got[8].ratio == got[9].ratio and got[4].ratio == got[n + 3].ratio  # null is empty, digits are one class
+
+    # Every ratio against two models counted over the whole URLs.
+    strings = {k: "\x02" + re.sub("[0-9]", "0", u or "") + "\x03" for k, u in enumerate(urls)}
+    counts, contexts = [Counter(), Counter()], [Counter(), Counter()]
+    letters = {c for s in strings.values() for c in s[1:]}
+    for k, s in strings.items():
+        if got[k].rule:
+            c = int(got[k].verdict == "block")
+            for i in range(1, len(s)):
+                for m in range(1, min(5, i + 1) + 1):
+                    counts[c][s[i - m + 1 : i + 1]] += 1
+                    contexts[c][m, s[i - m + 1 : i]] += 1
+
+    def p(c, gram):
+        v = 1 / len(letters)
+        for m in range(1, len(gram) + 1):
+            v = (counts[c][gram[-m:]] + 2 * v) / (contexts[c][m, gram[-m:-1]] + 2)
+        return v
+
+    for k, s in strings.items():
+        grams = [s[max(0, i - 4) : i + 1] for i in range(1, len(s))]
+        assert got[k].ratio == pytest.approx(np.mean([np.log(p(0, g)) - np.log(p(1, g)) for g in grams]), rel=1e-9)
