@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from linkweave.llm import langid, licenses, mixing, ngram_join, packing, sharding, spotsigs, toxicity, trie_dedup, url_filter
+from linkweave.llm import langid, licenses, lm_scoring, mixing, ngram_join, packing, sharding, spotsigs, toxicity, trie_dedup, url_filter
 from linkweave.llm.common import table
 from linkweave.llm.registry import ORACLES, QUERIES, register
 
@@ -68,3 +68,8 @@ def op1_toxicity(spark, sf_dir):
 @register("op7_license_scan")
 def op7_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@register("op11_backoff_automaton")
+def op11_backoff_automaton(spark, sf_dir):
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
