@@ -17,9 +17,11 @@ from linkweave.session import checkpoint_dir
 _ROW_BITS = 33  # monotonically_increasing_id: partition << 33 | row
 
 
-def dense_rank_table(df: DataFrame, order: list[str], within: list[str] | None = None, name: str = "rank") -> DataFrame:
+def dense_rank_table(df: DataFrame, order: list[str], within: list[str] | None = None, name: str = "rank", size: str | None = None) -> DataFrame:
     """``df`` plus ``name``: 0-based, gapless rank by ``order`` inside each ``within`` group.
 
+    With ``size`` a column of that name holds the number of rows of the group.
+
     Ties in ``order`` get distinct consecutive ranks.  Add a column that tells
     equal rows apart to ``order`` if many rows can tie, so that they can be cut
     into several partitions.  Null keys form a group of their own and sort first.
@@ -39,9 +41,11 @@ def dense_rank_table(df: DataFrame, order: list[str], within: list[str] | None =
     # One row per partition and group touched there: as small as partitions + groups.
     before = Window.partitionBy(*within).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    stats = stats.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(within)], F.col("_pid").alias("_p"), "_first", "_base")
+    stats = stats.withColumn("_size", F.sum("_n").over(Window.partitionBy(*within)))
+    stats = stats.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(within)], F.col("_pid").alias("_p"), "_first", "_base", "_size")
     cond = ranged["_pid"] == stats["_p"]
     for i, c in enumerate(within):
         cond = cond & ranged[c].eqNullSafe(stats[f"_k{i}"])
     out = ranged.join(stats, cond)
-    return out.select(*[ranged[c] for c in df.columns], (ranged["_mid"] - stats["_first"] + stats["_base"]).alias(name))
+    extra = [stats["_size"].alias(size)] if size else []
+    return out.select(*[ranged[c] for c in df.columns], (ranged["_mid"] - stats["_first"] + stats["_base"]).alias(name), *extra)
