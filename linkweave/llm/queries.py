@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from linkweave.llm import langid, licenses, lm_scoring, mixing, ngram_join, packing, sharding, spotsigs, toxicity, trie_dedup, url_filter
+from linkweave.llm import langid, licenses, lm_scoring, merkle, mixing, ngram_join, packing, sharding, spotsigs, toxicity, trie_dedup, url_filter
 from linkweave.llm.common import table
 from linkweave.llm.registry import ORACLES, QUERIES, register
 
@@ -73,3 +73,9 @@ def op7_license_scan(spark, sf_dir):
 @register("op11_backoff_automaton")
 def op11_backoff_automaton(spark, sf_dir):
     return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
+@register("op12_merkle_manifest")
+def op12_merkle_manifest(spark, sf_dir):
+    proved = merkle.prove(table(spark, sf_dir, "documents"))
+    return proved.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
