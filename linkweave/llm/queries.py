@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from linkweave.llm import langid, licenses, lm_scoring, merkle, mixing, ngram_join, packing, sharding, spotsigs, toxicity, trie_dedup, url_filter
+from linkweave.llm import conversations, langid, licenses, lm_scoring, merkle, mixing, ngram_join, packing, sharding, spotsigs, toxicity, trie_dedup, url_filter
 from linkweave.llm.common import table
 from linkweave.llm.registry import ORACLES, QUERIES, register
 
@@ -79,3 +79,8 @@ def op11_backoff_automaton(spark, sf_dir):
 def op12_merkle_manifest(spark, sf_dir):
     proved = merkle.prove(table(spark, sf_dir, "documents"))
     return proved.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@register("op13_conversation_repair")
+def op13_conversation_repair(spark, sf_dir):
+    return conversations.repair(table(spark, sf_dir, "conversations"))
