@@ -40,7 +40,7 @@ from linkweave.llm.common import blocks, fixed, shuffle_partitions, text_of
 ORDER = 3
 PRIOR = 64.0  # K: pseudo-counts that a context gives to the shorter one
 FOLDS, HELD_OUT = 7, 2
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 21
 OWNER_ENTRIES = 1 << 20
 SEGMENT = 256  # tokens of a text that are walked in one step sequence
 LOOK_SMALL = 32  # entries that a block sends to one owner range, at least on average
@@ -177,27 +177,29 @@ class _Block:
 
     def __init__(self, a: bytes, b: bytes, c: bytes, order: int):
         self.pieces = np.frombuffer(a, _PIECE)
-        self.ids = _unpack(b).astype(np.int64)
+        self.ids = _unpack(b).astype(np.int32)
         vocab = np.frombuffer(c, np.uint64)
         self.n_words = len(vocab)
         length = self.pieces["pre"] + self.pieces["n"]
         self.start = np.r_[0, np.cumsum(length)]
-        first = np.repeat(self.start[:-1], length)
-        self.place = np.arange(len(self.ids)) - first  # tokens of the same text before this one, as far as the piece goes
-        self.own = self.place >= np.repeat(self.pieces["pre"], length)
+        # Tokens of the same text before each one, as far as the piece goes.
+        place = np.arange(len(self.ids), dtype=np.int32) - np.repeat(self.start[:-1].astype(np.int32), length)
+        self.own = place >= np.repeat(self.pieces["pre"], length)
         self.learns = self.own & np.repeat(self.pieces["train"], length)
         words = vocab[self.ids]
         gram, self.grams, self.at, self.where = words, [], [], []
         for k in range(1, order + 1):
             if k > 1:
                 gram = np.r_[np.uint64(0), _mix(gram[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:] + np.uint64(k))]
-            fits = np.flatnonzero(self.place >= k - 1)
-            names, index, inverse = np.unique(gram[fits], return_index=True, return_inverse=True)
-            at = np.full(len(gram), -1, np.int64)
-            at[fits] = inverse
-            self.grams.append(names)
+            fits = np.flatnonzero(place >= k - 1).astype(np.int32)
+            order_of = np.argsort(gram[fits])
+            names = gram[fits[order_of]]
+            new = np.r_[True, names[1:] != names[:-1]] if len(names) else np.zeros(0, bool)
+            at = np.full(len(gram), -1, np.int32)
+            at[fits[order_of]] = np.cumsum(new, dtype=np.int32) - 1
+            self.grams.append(names[new])
             self.at.append(at)  # position -> place among the names
-            self.where.append(fits[index])  # name -> one position
+            self.where.append(fits[order_of[new]])  # name -> one position
 
 
 def _ask(order: int, buckets: int):
@@ -275,10 +277,10 @@ class Automaton:
         state, size = [], 1  # per order: name -> state, 0 if the context was not seen
         for k in range(order - 1):
             seen = counts[k] > 0
-            state.append(np.where(seen, size + np.cumsum(seen) - 1, 0))
+            state.append(np.where(seen, size + np.cumsum(seen, dtype=np.int32) - 1, 0).astype(np.int32))
             size += int(seen.sum())
-        state.append(np.zeros(len(counts[-1]), np.int64))
-        self.fail, self.fail_weight = np.zeros(size, np.int64), np.zeros(size)
+        state.append(np.zeros(len(counts[-1]), np.int32))
+        self.fail, self.fail_weight = np.zeros(size, np.int32), np.zeros(size)
         # The state after an n-gram: its own, or that of its longest seen suffix.
         after, keys, weights, targets = [state[0]], [], [], []
         for k in range(1, order):
@@ -287,7 +289,7 @@ class Automaton:
             prob.append((counts[k] + prior * prob[k - 1][suffix]) / (counts[k - 1][context] + prior))
             after.append(np.where(state[k] > 0, state[k], after[k - 1][suffix]))
             arc = counts[k] > 0
-            keys.append(state[k - 1][context[arc]] * block.n_words + block.ids[where[arc]])
+            keys.append(state[k - 1][context[arc]].astype(np.int64) * block.n_words + block.ids[where[arc]])
             weights.append(np.log10(prob[k][arc]))
             targets.append(after[k][arc])
             own = state[k] > 0
@@ -299,9 +301,9 @@ class Automaton:
         by_key = np.argsort(keys, kind="stable")
         self.keys = np.r_[keys[by_key], np.iinfo(np.int64).max]
         self.weights = np.r_[np.concatenate([np.zeros(0), *weights])[by_key], 0.0]
-        self.targets = np.r_[np.concatenate([np.zeros(0, np.int64), *targets])[by_key], 0]
+        self.targets = np.r_[np.concatenate([np.zeros(0, np.int32), *targets])[by_key], np.int32(0)]
         self.n_words = block.n_words
-        self.root_weight, self.root_target = np.full(block.n_words, -np.log10(n + v + 1)), np.zeros(block.n_words, np.int64)
+        self.root_weight, self.root_target = np.full(block.n_words, -np.log10(n + v + 1)), np.zeros(block.n_words, np.int32)
         words = block.ids[block.where[0]]
         self.root_weight[words], self.root_target[words] = np.log10(prob[0]), state[0]
         self.known = np.zeros(block.n_words, bool)
@@ -312,7 +314,7 @@ class Automaton:
         weight, out = np.zeros(len(word)), state.copy()
         todo = np.flatnonzero(state > 0)
         while len(todo):
-            key = out[todo] * self.n_words + word[todo]
+            key = out[todo].astype(np.int64) * self.n_words + word[todo]
             at = np.searchsorted(self.keys, key)
             hit = self.keys[at] == key
             done, at = todo[hit], at[hit]
@@ -341,7 +343,7 @@ class Automaton:
         begin, length = begin - warm, own + warm
         by_length = np.argsort(-length, kind="stable")
         owner, begin, warm, length = owner[by_length], begin[by_length], warm[by_length], length[by_length]
-        state, total = np.zeros(len(owner), np.int64), np.zeros(len(owner))
+        state, total = np.zeros(len(owner), np.int32), np.zeros(len(owner))
         active = np.searchsorted(-length, -np.arange(length[0] if len(length) else 0), side="left")
         for t, n in enumerate(active):
             state[:n], weight = self.step(state[:n], block.ids[begin[:n] + t])
