@@ -16,6 +16,8 @@ from linkweave.session import checkpoint_dir
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FOLDS = 5
+BROADCAST_PAIRS = 400_000  # id and digest: some 100 bytes each as a hash table
+ARROW_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +50,11 @@ def fixed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``ARROW_BYTES`` for the session's Python stages: texts have any length."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -67,29 +74,36 @@ def one_row_per_text(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 
     A null doc_id is an identity like any other here.  Of rows with one doc_id
     and equal texts up to A-Z case the least by text, then by the other columns,
-    stays.
+    stays.  The decision is made on the pairs; the rows themselves only lose
+    those of the pairs that go, so that whole texts are not shuffled while these
+    are few (at most ``BROADCAST_PAIRS``, counted).
     """
     on = ["_lw_id", "_lw_sha"]
 
     def keyed(df: DataFrame) -> DataFrame:
-        return df.withColumns({"_lw_id": F.col("doc_id").cast("long"), "_lw_sha": text_hash()})
+        return df.withColumns({"_lw_id": F.col("doc_id").cast("long"), "_lw_sha": F.unhex(text_hash())})
 
     def same(a: DataFrame, b: DataFrame) -> Column:
         return a["_lw_id"].eqNullSafe(b["_id"]) & (a["_lw_sha"] == b["_sha"])
 
-    pairs = fixed(chosen.select(F.col("doc_id").cast("long").alias("_id"), F.col("text_sha256").alias("_sha")).distinct())
+    pairs = chosen.select(F.col("doc_id").cast("long").alias("_id"), F.unhex("text_sha256").alias("_sha")).distinct()
+    short = keyed(docs).select(*on).groupBy(*on).count()
+    # Per pair that does not pass as it is: 0 if it goes, else how often it is there.
+    judged = short.join(pairs, same(short, pairs), "left")
+    left = F.when(F.col("_sha").isNull(), 0).otherwise(F.col("count"))
+    judged = fixed(judged.select(F.col("_lw_id").alias("_id"), F.col("_lw_sha").alias("_sha"), left.alias("left")).where("left != 1"))
+    n, repeats = judged.agg(F.count(F.lit(1)), F.count_if(F.col("left") > 1)).first()
+    touched = small(judged.select("_id", "_sha"), n, BROADCAST_PAIRS)
+    all_rows = keyed(docs)
+    kept = all_rows.join(touched, same(all_rows, touched), "left_anti").select(*docs.columns)
+    if not repeats:
+        return kept
+    repeated = judged.where("left > 1").select("_id", "_sha")
     all_rows = keyed(docs)
-    kept = all_rows.join(pairs, same(all_rows, pairs), "left_semi")
-    short = keyed(docs).select(*on)
-    repeated = short.join(pairs, same(short, pairs), "left_semi").groupBy(*on).count().where("count > 1")
-    repeated = fixed(repeated.select(F.col("_lw_id").alias("_id"), F.col("_lw_sha").alias("_sha")))
-    if repeated.isEmpty():
-        return kept.select(*docs.columns)
     # min over a struct keeps whole rows and is combined before the shuffle.
     cols = ["text", *[c for c in docs.columns if c != "text"]]
-    chosen_rows = kept.join(repeated, same(kept, repeated), "left_semi").groupBy(*on).agg(F.min(F.struct(*cols)).alias("row"))
-    chosen_rows = chosen_rows.select(*[F.col("row")[c].alias(c) for c in docs.columns])
-    return kept.join(repeated, same(kept, repeated), "left_anti").select(*docs.columns).unionByName(chosen_rows)
+    one = all_rows.join(repeated, same(all_rows, repeated), "left_semi").groupBy(*on).agg(F.min(F.struct(*cols)).alias("row"))
+    return kept.unionByName(one.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
 
 
 def blocks(items: Iterable, sizes: Iterable[int], limit: int) -> Iterator[list]:

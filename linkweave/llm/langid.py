@@ -14,14 +14,15 @@ windows, whatever the length of a text.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkweave.llm.common import blocks, fixed, held_out, small, text_of, uniform
+from linkweave.llm.common import blocks, bounded_batches, fixed, held_out, small, text_of, uniform
 
 HIDDEN = 8
 WINDOW = 128
@@ -30,7 +31,16 @@ MAX_DOCS = 1600  # labelled documents in the training sample, over all languages
 SLICES, SLICE_CHARS = 2, 90
 STEPS, BATCH, TRAIN_LEN, RATE = 260, 128, 64, 0.02
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_MAYBE = re.compile(r"[^\W\d_]")  # letters, and numbers such as ² or Ⅳ
+
+
+def _lettered(text: str) -> bool:
+    """Whether a character of the text has a letter category of Unicode (L*)."""
+    return any(unicodedata.category(m.group())[0] == "L" for m in _MAYBE.finditer(text))
+
+
+def has_letter(text: Column) -> Column:
+    return text.rlike(r"\p{L}")
 
 
 class ByteGRU:
@@ -179,7 +189,7 @@ class ByteGRU:
         names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
         if not self.labels:
             return names, scores
-        todo = [i for i, t in enumerate(texts) if _LETTER.search(t)]
+        todo = [i for i, t in enumerate(texts) if _lettered(t)]
         pooled = {i: np.zeros(len(self.labels)) for i in todo}
         raw = ((i, texts[i].encode("utf-8", "replace")) for i in todo)
         windows = ((i, b[at : at + WINDOW]) for i, b in raw for at in range(0, len(b), WINDOW))
@@ -215,9 +225,11 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS, steps: int = STEPS) -> Byte
     gives ``SLICES`` slices of ``SLICE_CHARS`` characters, so that what reaches
     the driver is bounded by the parameters.
     """
+    bounded_batches(docs.sparkSession)
     known = docs.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), text_of().alias("text"))
     known = known.where(F.col("lang").isNotNull() & ~held_out())
-    counts = fixed(known.groupBy("lang").count())
+    # Copies don't count: the draw below is by text, so the rate is over distinct texts.
+    counts = fixed(known.select("lang", F.xxhash64("text").alias("t")).distinct().groupBy("lang").count())
     n = counts.count()
     if n == 0:
         return ByteGRU([])

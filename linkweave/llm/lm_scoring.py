@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkweave.llm.common import blocks, fixed, shuffle_partitions, text_of
+from linkweave.llm.common import blocks, bounded_batches, fixed, shuffle_partitions, text_of
 
 ORDER = 3
 PRIOR = 64.0  # K: pseudo-counts that a context gives to the shorter one
@@ -403,6 +403,7 @@ def score(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, block_token
     probability is 1.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~held_out()).alias("train"), text_of().alias("text"))
     records = fixed(given.mapInArrow(_to_blocks(order, block_tokens), _SCHEMA))
     n_blocks, in_bytes = records.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("b") + F.octet_length("c")), F.lit(0))).first()

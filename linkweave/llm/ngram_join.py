@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkweave.llm.common import blocks, components, fixed, one_row_per_text, shuffle_partitions, small, text_hash, text_of
+from linkweave.llm.common import blocks, bounded_batches, components, fixed, one_row_per_text, shuffle_partitions, small, text_hash, text_of
 from linkweave.operators.ranking import dense_rank_table
 
 WORDS = 5
@@ -161,6 +161,7 @@ def _signatures(bands: int, rows: int, n: int):
 def signatures(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = WORDS) -> DataFrame:
     """(doc_id, key, k1, sig) per row of ``docs``; sig is null for a text without words."""
     bands, rows = plan_bands(threshold, recall)
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(
         _signatures(bands, rows, n), "doc_id long, key binary, k1 long, sig array<long>"
     )

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkweave.llm.common import fixed, text_of
+from linkweave.llm.common import bounded_batches, fixed, text_of
 from linkweave.operators.ranking import dense_rank_table
 
 CAPACITY = 1024
@@ -114,12 +114,12 @@ def cut_lengths(n: int, capacity: int = CAPACITY, tolerance: int = TOLERANCE) ->
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def _cutter(ranks_path: str, capacity: int, tolerance: int):
+def _cutter(ranks_path: str | None, capacity: int, tolerance: int):
     names = [c.split()[0] for c in _PIECE.split(", ")]
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        bpe = CachedBpe(ranks_path)
+        bpe = CachedBpe(ranks_path or tokenizer_path())  # the worker's own path
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             texts = batch.column(1)
@@ -140,8 +140,9 @@ def _cutter(ranks_path: str, capacity: int, tolerance: int):
 
 def pieces(docs: DataFrame, ranks_path: str | None = None, capacity: int = CAPACITY, tolerance: int = TOLERANCE) -> DataFrame:
     """Cut pieces of every document: doc_id, start, length, ids_crc32, doc_tokens."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return rows.mapInArrow(_cutter(ranks_path or tokenizer_path(), capacity, tolerance), _PIECE)
+    return rows.mapInArrow(_cutter(ranks_path, capacity, tolerance), _PIECE)
 
 
 def _first_fit(capacity: int):

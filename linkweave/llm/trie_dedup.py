@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkweave.llm.common import lower_ascii, shuffle_partitions, text_of
+from linkweave.llm.common import bounded_batches, lower_ascii, shuffle_partitions, text_of
 
 TRIE_BYTES = 32 << 20
 _PARTIAL = "text string, text_sha256 string, n_bytes int, ident long, copies long"
@@ -185,6 +185,7 @@ def owners(docs: DataFrame, keep: str = "min", trie_bytes: int = TRIE_BYTES) ->
     ``keep`` says which identifier a terminal stores: ``min`` or ``max`` doc_id.
     """
     best = {"min": min, "max": max}[keep]
+    bounded_batches(docs.sparkSession)
     rows = docs.select(lower_ascii(text_of()).alias("text"), F.col("doc_id").cast("long").alias("ident")).select(
         "text", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), F.octet_length("text").cast("int").alias("n_bytes"), "ident", F.lit(1).cast("long").alias("copies")
     )
