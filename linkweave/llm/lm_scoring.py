@@ -37,10 +37,10 @@ from pyspark.sql import functions as F
 
 from linkweave.llm.common import blocks, bounded_batches, fixed, shuffle_partitions, text_of
 
-ORDER = 3
+ORDER = 2
 PRIOR = 64.0  # K: pseudo-counts that a context gives to the shorter one
 FOLDS, HELD_OUT = 7, 2
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 1 << 20
 OWNER_ENTRIES = 1 << 20
 SEGMENT = 256  # tokens of a text that are walked in one step sequence
 LOOK_SMALL = 32  # entries that a block sends to one owner range, at least on average
