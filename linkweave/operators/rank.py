@@ -9,49 +9,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkweave.operators.traverse import KeyedEdges, _ckpt, _ckpt_obs, encode_graph, symmetrize, union_all
+from linkweave.operators.traverse import KeyedEdges, _ckpt, _ckpt_obs, encode_graph, symmetrize
 from linkweave.sources import schemas as S
 
 REDIRECT_MAX_DEPTH = 10
 
 
-def resolve_redirects(pages: DataFrame, max_depth: int = REDIRECT_MAX_DEPTH) -> DataFrame:
-    """Final target of every redirect page.
+def redirect_ends(pages: DataFrame) -> DataFrame:
+    """Where every redirect page ends, by pointer doubling: ``(title, final_title, hops, cyclic)``.
 
-    Follows ``redirect_to`` while the target is itself a redirect page, at most
-    ``max_depth`` steps.  Output ``(title, final_title, depth, resolved)``;
-    ``resolved`` is false for chains that do not end within the bound (cycles).
+    A pointer spans one redirect at first and twice as many after each round (a
+    page takes its target's pointer), so chains of n redirects need log2(n)
+    joins on the title.  A page that has not ended after as many rounds as the
+    number of redirect pages has bits runs into a cycle: ``cyclic``, no end.
+    ``hops`` counts the redirects followed (null if cyclic).  A redirect without
+    a target ends at once with a null title.
     """
-    rp = pages.where(F.col("fetch_status") == S.STATUS_REDIRECT).select("title", "redirect_to")
-    nxt = rp.select(F.col("title").alias("_t"), F.col("redirect_to").alias("_next"))
-    state = _ckpt(rp.select(F.col("title").alias("start"), "redirect_to"))
-    done: list[DataFrame] = []
-    depth = 0
-    while True:
-        step = state.join(nxt, state["redirect_to"] == nxt["_t"], "left")
-        done.append(
-            step.where(F.col("_t").isNull()).select(
-                F.col("start").alias("title"),
-                F.col("redirect_to").alias("final_title"),
-                F.lit(depth).alias("depth"),
-                F.lit(True).alias("resolved"),
-            )
-        )
-        if depth >= max_depth:
-            done.append(
-                step.where(F.col("_t").isNotNull()).select(
-                    F.col("start").alias("title"),
-                    F.lit(None).cast("string").alias("final_title"),
-                    F.lit(depth).alias("depth"),
-                    F.lit(False).alias("resolved"),
-                )
-            )
-            break
-        state = _ckpt(step.where(F.col("_t").isNotNull()).select("start", F.col("_next").alias("redirect_to")))
-        depth += 1
-        if state.count() == 0:
+    first = pages.where(F.col("fetch_status") == S.STATUS_REDIRECT).select("title", F.col("redirect_to").alias("to"))
+    first = first.groupBy("title").agg(F.min("to").alias("to"))  # repeated rows are one page
+    known = first.select(F.col("title").alias("t"), F.lit(True).alias("goes_on"))
+    state = first.join(known, first["to"] == known["t"], "left").select("title", "to", F.lit(1).cast("long").alias("hops"), F.coalesce("goes_on", F.lit(False)).alias("open"))
+    state, m = _ckpt_obs(state, n=F.count(F.lit(1)), left=F.count_if("open"))
+    for _ in range(max(int(m["n"] or 0), 1).bit_length()):
+        if not m["left"]:
             break
-    return union_all(done)
+        step = state.select(F.col("title").alias("t"), F.col("to").alias("to2"), F.col("hops").alias("hops2"), F.col("open").alias("open2"))
+        moving = state.where("open").join(step, F.col("to") == F.col("t")).select("title", F.col("to2").alias("to"), (F.col("hops") + F.col("hops2")).alias("hops"), F.col("open2").alias("open"))
+        state, m = _ckpt_obs(state.where("NOT open").unionByName(moving), left=F.count_if("open"))
+    return state.select("title", F.when(~F.col("open"), F.col("to")).alias("final_title"), F.when(~F.col("open"), F.col("hops")).alias("hops"), F.col("open").alias("cyclic"))
+
+
+def resolve_redirects(pages: DataFrame, max_depth: int = REDIRECT_MAX_DEPTH) -> DataFrame:
+    """Final target of every redirect page within ``max_depth`` further redirects.
+
+    Output ``(title, final_title, depth, resolved)``; ``depth`` counts the
+    redirects after the first.  ``resolved`` is false for chains that are longer
+    (their depth is the bound) and for cycles; :func:`redirect_ends` tells these
+    two apart.
+    """
+    ends = redirect_ends(pages)
+    within = ~F.col("cyclic") & (F.col("hops") <= max_depth + 1)
+    return ends.select(
+        "title", F.when(within, F.col("final_title")).alias("final_title"),
+        F.when(within, F.col("hops") - 1).otherwise(max_depth).cast("int").alias("depth"), within.alias("resolved"),
+    )
 
 
 def pagerank(

@@ -8,8 +8,8 @@ multiplies a block of candidates with a block of queries in NumPy and emits at
 most ``k`` rows per query; a salted two-stage top-k then merges the partial
 lists.  Queries reach the tasks in one of two ways:
 
-* broadcast -- when the query table has at most ``broadcast_max`` rows (counted
-  first, so the broadcast size is bounded by that check);
+* broadcast -- when the query table has at most ``broadcast_max`` rows and
+  ``BROADCAST_MAX_BYTES`` (counted first, so the broadcast is bounded by that check);
 * block pairs -- otherwise both sides are split into ``blocks`` hash blocks and
   each (query block, candidate block) pair meets in one cogroup task.
 """
@@ -28,6 +28,8 @@ from linkweave.operators.topk import top_k_per_group
 
 SCORE_DECIMALS = 6
 BROADCAST_MAX_QUERIES = 4096
+BROADCAST_MAX_BYTES = 64 << 20  # of the query matrix in double precision
+SCORE_CELLS = 4 << 20  # cells of one score matrix, 32 MB
 
 
 # ---------------------------------------------------------------- S1
@@ -106,6 +108,13 @@ def _local_topk(qids, qmat, cids, cmat, k: int, exclude_self: bool) -> pd.DataFr
     )
 
 
+def _sliced_topk(qids, qmat, cids, cmat, k: int, exclude_self: bool) -> pd.DataFrame:
+    """:func:`_local_topk` over slices of candidates, so that a score matrix has at most ``SCORE_CELLS`` cells."""
+    step = max(k, SCORE_CELLS // max(1, len(qids)))
+    parts = [_local_topk(qids, qmat, cids[at : at + step], cmat[at : at + step], k, exclude_self) for at in range(0, len(cids), step)]
+    return pd.concat(parts, ignore_index=True) if parts else _local_topk(qids, qmat, cids, cmat, k, exclude_self)
+
+
 def _topk_any(queries: dict, candidates: dict, k: int, exclude_self: bool) -> pd.DataFrame:
     """Exact top-k per query over candidates of every length; a length mismatch scores 0.
 
@@ -115,7 +124,7 @@ def _topk_any(queries: dict, candidates: dict, k: int, exclude_self: bool) -> pd
     parts = []
     for n, (qids, qmat) in queries.items():
         if n in candidates:
-            parts.append(_local_topk(qids, qmat, *candidates[n], k, exclude_self))
+            parts.append(_sliced_topk(qids, qmat, *candidates[n], k, exclude_self))
         other = [ids for m, (ids, _) in candidates.items() if m != n]
         if other:
             ids = np.sort(np.concatenate(other))[: k + 1]
@@ -125,24 +134,32 @@ def _topk_any(queries: dict, candidates: dict, k: int, exclude_self: bool) -> pd
 
 
 def _block_pairs(
-    q: DataFrame, c: DataFrame, k: int, exclude_self: bool, nb, group: list[str] | None = None
+    q: DataFrame, c: DataFrame, k: int, exclude_self: bool, nb, group: list[str] | None = None, kernel: Callable | None = None
 ) -> DataFrame:
     """Partial top-k per (group, query block, candidate block) via cogroup.
 
+    ``kernel(query frame, candidate frame)`` scores a block pair; by default
+    every pair exactly.
+
     Each side is replicated ``nb`` times so that every pair of blocks meets in
     exactly one task; tasks emit at most ``k`` rows per query.  ``nb`` is an
     int or the name of a column present on both sides (a per-group count, so
     a hot group is cut into more blocks).
     """
     group = group or []
-    nbc = F.col(nb) if isinstance(nb, str) else F.lit(nb)
+    nbc = (F.col(nb) if isinstance(nb, str) else F.lit(nb)).cast("int")
     ids = F.sequence(F.lit(0), nbc - 1)
-    q_rep = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), nbc)).withColumn("cb", F.explode(ids))
+
+    def block_of(key: str) -> Column:
+        # int on both sides: a cogroup compares hashes of its keys and does not bring them to one type.
+        return F.pmod(F.xxhash64(key), nbc.cast("long")).cast("int")
+
+    q_rep = q.withColumn("qb", block_of("query_id")).withColumn("cb", F.explode(ids))
     # Distinct column names on the two sides: a cogroup drops right-side
     # columns whose names repeat the left side's.
     c_rep = (
         c.withColumnRenamed("embedding", "c_embedding")
-        .withColumn("cb", F.pmod(F.xxhash64("vec_id"), nbc))
+        .withColumn("cb", block_of("vec_id"))
         .withColumn("qb", F.explode(ids))
     )
 
@@ -152,7 +169,7 @@ def _block_pairs(
         )
 
     keys = [*group, "qb", "cb"]
-    return q_rep.groupBy(*keys).cogroup(c_rep.groupBy(*keys)).applyInPandas(pair, _TOPK_SCHEMA)
+    return q_rep.groupBy(*keys).cogroup(c_rep.groupBy(*keys)).applyInPandas(kernel or pair, _TOPK_SCHEMA)
 
 
 _TOPK_SCHEMA = "query_id long, vec_id long, score double"
@@ -174,9 +191,9 @@ def similar_topk(
     spark = queries.sparkSession
     q = queries.select(F.col("query_id").cast("long"), F.col("embedding"))
     c = candidates.select(F.col("vec_id").cast("long"), F.col("embedding"))
-    n_q = q.count()
-    if n_q <= broadcast_max:
-        pdf = q.toPandas()  # bounded by the check above
+    n_q, cells = q.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()
+    if n_q <= broadcast_max and 8 * cells <= BROADCAST_MAX_BYTES:
+        pdf = q.toPandas()  # bounded by the check above, in rows and in bytes
         bq = spark.sparkContext.broadcast(_by_length(pdf["query_id"], pdf["embedding"]))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -186,7 +203,8 @@ def similar_topk(
         partial = c.mapInPandas(run, _TOPK_SCHEMA)
     else:
         # Blocks of at most about ``broadcast_max`` rows on the larger side.
-        nb = blocks or max(2, math.ceil(max(n_q, c.count()) / broadcast_max))
+        n_c, more = c.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()
+        nb = blocks or max(2, math.ceil(max(n_q, n_c) / broadcast_max), math.ceil(8 * max(cells, more) / BROADCAST_MAX_BYTES))
         partial = _block_pairs(q, c, k, exclude_self, nb)
     return top_k_per_group(
         partial, ["query_id"], [F.col("score").desc(), F.col("vec_id")], k, salt_cols=["vec_id"], rank_col="rank"
@@ -290,72 +308,166 @@ def compute_missing_embeddings(
 
 
 # ---------------------------------------------------------------- S7
-FIT_ROWS = 20_000  # vectors the centroids are fitted on; every vector is indexed
+FIT_ROWS = 20_000  # vectors the quantisers are fitted on; every vector is indexed
+PROBES = 32  # lists a query asks
+CODE_DIMS, CODE_SIZE = 2, 16  # dimensions per code and centroids per code: four bits
+BLOCK_ROWS = 4096
 
 
-def similar_approx(
-    vectors: DataFrame,
-    k: int = 10,
-    lists: int = 64,
-    probes: int = 24,
-    seed: int = 7,
-    block_rows: int = 4096,
-) -> DataFrame:
-    """Approximate neighbours by an inverted-list index, candidates ranked exactly.
-
-    Spark ML k-means on unit vectors (fitted on at most ``FIT_ROWS`` rows, chosen
-    by hash order, of the commonest length) gives ``lists`` centroids.  Every
-    vector goes into the list of its nearest centroid and asks the lists of its
-    ``probes`` nearest ones, so pair work is about ``probes / lists`` of all
-    pairs.  Inside a list the block kernel of :func:`similar_topk` ranks exactly,
-    in blocks of about ``block_rows``, so a large list is many tasks and no pair
-    list is materialised.  Vectors of another length than the fitted one form one
-    list per length, asked whole; a null vector has no neighbours.
+def _kmeans(rows: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
+    """Lloyd's algorithm on a bounded sample; an empty cell keeps its centre."""
+    k = max(1, min(k, len(rows)))
+    centres = rows[rng.choice(len(rows), k, replace=False)].copy()
+    for _ in range(rounds):
+        near = _nearest(rows, centres)
+        count = np.bincount(near, minlength=k)
+        total = np.zeros_like(centres)
+        np.add.at(total, near, rows)
+        centres = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], centres)
+    return centres
+
+
+def _nearest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    half = 0.5 * (centres * centres).sum(1)
+    return np.concatenate([(half - rows[at : at + 8192] @ centres.T).argmin(1) for at in range(0, len(rows), 8192)] or [np.zeros(0, int)])
+
+
+class ListIndex:
+    """Two-level quantiser and residual codes, fitted on a bounded sample of unit vectors.
+
+    A list is a pair (cell of the first quantiser, cell of the second, which
+    quantises what the first leaves over), so ``cells ** 2`` lists need twice
+    ``cells`` centres.  What both leave over is coded in groups of ``CODE_DIMS``
+    dimensions, four bits each.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
 
+    def __init__(self, sample: np.ndarray, cells: int, seed: int = 7):
+        rng = np.random.default_rng(seed)
+        self.size = sample.shape[1]
+        self.first = _kmeans(sample, cells, rng)
+        left = sample - self.first[_nearest(sample, self.first)]
+        self.second = _kmeans(left, cells, rng)
+        left = left - self.second[_nearest(left, self.second)]
+        groups = self._groups(left)
+        self.books = np.stack([_kmeans(groups[:, g], CODE_SIZE, rng) if len(left) > CODE_SIZE else np.resize(groups[:, g], (CODE_SIZE, CODE_DIMS)) for g in range(groups.shape[1])]).astype(np.float32)
+
+    def _groups(self, rows: np.ndarray) -> np.ndarray:
+        pad = -self.size % CODE_DIMS
+        return np.pad(rows, ((0, 0), (0, pad))).reshape(len(rows), -1, CODE_DIMS)
+
+    def place(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(list, codes) of unit vectors."""
+        a = _nearest(rows, self.first)
+        left = rows - self.first[a]
+        b = _nearest(left, self.second)
+        groups = self._groups(left - self.second[b])
+        codes = np.stack([_nearest(groups[:, g], self.books[g]) for g in range(groups.shape[1])], axis=1) if len(rows) else np.zeros((0, groups.shape[1]), int)
+        return a * len(self.second) + b, codes.astype(np.uint8)
+
+    def asked(self, rows: np.ndarray, probes: int) -> np.ndarray:
+        """Lists with the largest inner product of centre and vector, best first."""
+        score = (rows @ self.first.T)[:, :, None] + (rows @ self.second.T)[:, None, :]
+        return np.argsort(-score.reshape(len(rows), -1), axis=1, kind="stable")[:, :probes]
+
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        """Residuals that the codes stand for; the list's centre is the same for all of a list."""
+        groups = np.stack([self.books[g][codes[:, g]] for g in range(codes.shape[1])], axis=1)
+        return groups.reshape(len(codes), -1)[:, : self.size]
+
+
+def rerank_rows(nth: int, k: int) -> int:
+    """Members of the nth list asked (from 0) that are scored exactly: most in the nearest lists."""
+    return max(5 * k >> min(nth, 20), (k + 1) // 2 + 1)
+
+
+def list_index(vectors: DataFrame, probes: int = PROBES, seed: int = 7) -> tuple[DataFrame, ListIndex | None]:
+    """Every vector's place: (vec_id, embedding, list, codes, asked), and the index.
+
+    ``embedding`` is made a unit vector; there are about sqrt(n) lists.  Vectors
+    of another length than the commonest form one list per length.
+    """
     from linkweave.operators.traverse import _ckpt
 
     v = vectors.where(F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    common = v.groupBy(F.size("embedding").alias("n")).count().orderBy(F.col("count").desc(), "n").first()
+    sizes = v.groupBy(F.size("embedding").alias("n")).count().orderBy(F.col("count").desc(), "n")
+    common = sizes.first()
+    schema = "vec_id long, embedding array<double>, list int, codes binary, asked array<int>"
     if common is None:
-        return vectors.sparkSession.createDataFrame([], _TOPK_SCHEMA + ", rank int")
-    size = int(common["n"])
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    fit = (
-        v.where((F.size("embedding") == size) & (norm > 0))
-        .orderBy(F.xxhash64("vec_id"), "vec_id")
-        .limit(FIT_ROWS)
-        .select(array_to_vector(F.transform("embedding", lambda x: x.cast("double") / norm)).alias("features"))
-    )
-    if size > 0 and not fit.isEmpty():
-        model = KMeans(k=lists, seed=seed, maxIter=10, distanceMeasure="cosine").fit(_ckpt(fit))
-        centres = _normalise(np.array(model.clusterCenters(), dtype=np.float64))
-    else:
-        centres = np.zeros((1, size))
+        return vectors.sparkSession.createDataFrame([], schema), None
+    size, rows = int(common["n"]), int(common["count"])
+    # Bounded: FIT_ROWS vectors, chosen by hash order.
+    sample = v.where(F.size("embedding") == size).orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("embedding").toPandas()
+    fit = _normalise(np.stack([np.asarray(e, dtype=np.float64) for e in sample["embedding"]]))
+    index = ListIndex(fit, math.ceil(rows**0.25), seed) if size else None
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        near = min(probes, len(centres))
         for b in batches:
-            asked = []
-            for e in b["embedding"]:
-                if len(e) != size:
-                    asked.append([-len(e) - 1])
-                    continue
-                score = centres @ np.asarray(e, dtype=np.float64)
-                asked.append(np.argsort(-score, kind="stable")[:near].tolist())
-            yield b.assign(asked=asked)
-
-    placed = _ckpt(v.mapInPandas(assign, "vec_id long, embedding array<float>, asked array<int>"))
-    own = placed.select("vec_id", "embedding", F.col("asked")[0].alias("list"))
-    asks = placed.select(F.col("vec_id").alias("query_id"), "embedding", F.explode("asked").alias("list"))
-    # One row per list (at most ``lists`` plus one per odd length); queries outnumber members in a list.
+            ids, places, codes, asked, units = [], [], [], [], []
+            for n, (part, mat) in _by_length(b["vec_id"], b["embedding"]).items():
+                ids += part.tolist()
+                units += list(mat)
+                if index is None or n != index.size:
+                    places += [-n - 1] * len(part)
+                    codes += [b""] * len(part)
+                    asked += [[-n - 1]] * len(part)
+                else:
+                    at, code = index.place(mat)
+                    places += at.tolist()
+                    codes += [c.tobytes() for c in code]
+                    asked += index.asked(mat, probes).tolist()
+            yield pd.DataFrame({"vec_id": ids, "embedding": units, "list": places, "codes": codes, "asked": asked})
+
+    return _ckpt(v.mapInPandas(assign, schema)), index
+
+
+def similar_approx(vectors: DataFrame, k: int = 10, probes: int = PROBES, seed: int = 7, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Approximate neighbours by an inverted-list index with residual codes and exact re-ranking.
+
+    A vector asks ``probes`` of about sqrt(n) lists (:class:`ListIndex`).  In a
+    list its members are ranked by their codes, the best :func:`rerank_rows` of
+    them scored exactly, and at most ``k`` rows leave.  A list is cut into blocks
+    of about ``block_rows`` on either side, so a list that holds a third of all
+    vectors is many tasks.  Vectors of another length than the fitted one form
+    one list per length, scored exactly; a null vector has no neighbours, a zero
+    vector scores 0.
+    """
+    from linkweave.operators.traverse import _ckpt
+
+    placed, index = list_index(vectors, probes, seed)
+    own = placed.select("vec_id", "embedding", "codes", "list")
+    asks = placed.select(F.col("vec_id").alias("query_id"), "embedding", F.posexplode("asked").alias("nth", "list"))
+    # One row per list; queries outnumber members in a list.
     nb = asks.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("_nb"))
-    # Checkpoints: a clean lineage boundary before both cogroup sides meet.
-    partial = _block_pairs(
-        _ckpt(asks.join(nb, "list")), _ckpt(own.join(nb, "list")), k, True, "_nb", group=["list", "_nb"]
-    )
+
+    def kernel(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        if q.empty or c.empty:
+            return empty
+        qids, cids = q["query_id"].to_numpy(np.int64), c["vec_id"].to_numpy(np.int64)
+        if int(c["list"].iloc[0]) < 0:
+            return _topk_any(_by_length(qids, q["embedding"]), _by_length(cids, c["c_embedding"]), k, True)
+        qmat, cmat = np.stack(list(q["embedding"])), np.stack(list(c["c_embedding"]))
+        rough = index.decode(np.frombuffer(b"".join(c["codes"]), np.uint8).reshape(len(c), -1)).astype(np.float32).T
+        parts = []
+        for nth, at in q.groupby("nth").indices.items():
+            r = min(rerank_rows(int(nth), k) + 1, len(cids))  # one more: the query itself may be among them
+            step = max(1, SCORE_CELLS // len(cids))
+            for low in range(0, len(at), step):
+                rows = at[low : low + step]
+                near = qmat[rows].astype(np.float32) @ rough
+                best = np.argpartition(-near, r - 1, axis=1)[:, :r] if r < len(cids) else np.tile(np.arange(len(cids)), (len(rows), 1))
+                score = np.round(np.einsum("qrd,qd->qr", cmat[best], qmat[rows]), SCORE_DECIMALS)
+                score[cids[best] == qids[rows][:, None]] = -np.inf
+                kk = min(k, r)
+                order = np.lexsort((cids[best], -score), axis=1)[:, :kk]
+                score, ids = np.take_along_axis(score, order, 1), np.take_along_axis(cids[best], order, 1)
+                keep = np.isfinite(score)
+                parts.append(pd.DataFrame({"query_id": np.repeat(qids[rows], kk)[keep.ravel()], "vec_id": ids[keep], "score": score[keep]}))
+        return pd.concat(parts, ignore_index=True) if parts else empty
+
+    # The two cogroup sides stem from one frame: columns of the query side get names of their own anew.
+    questions = asks.join(nb.select(F.col("list").alias("_l"), (F.col("_nb") + 0).alias("_nb")), F.col("list") == F.col("_l")).drop("_l")
+    partial = _block_pairs(questions, _ckpt(own.join(nb, "list")), k, True, "_nb", group=["list", "_nb"], kernel=kernel)
     return top_k_per_group(
         partial, ["query_id"], [F.col("score").desc(), F.col("vec_id")], k, salt_cols=["vec_id"], rank_col="rank"
     ).select("query_id", "vec_id", "score", F.col("rank").cast("int").alias("rank"))

@@ -83,16 +83,11 @@ _CTES["fx_updates"] = """
   LEFT JOIN customer t ON t.c_custkey = (e.user_id * 7 + 3) % (SELECT count(*) FROM customer)"""
 
 _CTES["fx_sparse"] = """
-  SELECT a.c_name AS src, b.c_name AS dst
-  FROM (SELECT o_custkey, next_cust,
-               row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn
-        FROM (SELECT o_custkey, o_orderkey,
-                     lead(o_custkey) OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) AS next_cust
-              FROM orders) o
-        WHERE next_cust IS NOT NULL AND next_cust <> o_custkey) s
-  JOIN customer a ON a.c_custkey = s.o_custkey
-  JOIN customer b ON b.c_custkey = s.next_cust
-  WHERE s.rn = 1"""
+  SELECT DISTINCT a.c_name AS src, b.c_name AS dst
+  FROM (SELECT o_custkey, lead(o_custkey) OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) AS next_cust FROM orders) o
+  JOIN customer a ON a.c_custkey = o.o_custkey
+  JOIN customer b ON b.c_custkey = o.next_cust
+  WHERE o.next_cust <> o.o_custkey"""
 
 _CTES["fx_parts"] = """
   SELECT DISTINCT 'Part#' || CAST(l_partkey AS VARCHAR) AS src, 'Part#' || CAST(n AS VARCHAR) AS dst

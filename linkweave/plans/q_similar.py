@@ -56,6 +56,13 @@ def s2_similar_topk(spark, sf_dir):
     )
 
 
+@register("s2_similar_topk_blocks", _TOPK_SQL)
+def s2_similar_topk_blocks(spark, sf_dir):
+    """The same by block pairs, the way of query tables that are too large to broadcast."""
+    vec = _vectors(spark, sf_dir)
+    return SIM.similar_topk(vec.select(F.col("vec_id").alias("query_id"), "embedding"), vec, TOP_K, exclude_self=True, broadcast_max=200)
+
+
 @register("s3_find_similar", f"SELECT * FROM ({_TOPK_SQL}) t WHERE score >= {SIMILAR_THRESHOLD}")
 def s3_find_similar(spark, sf_dir):
     return SIM.find_similar(_vectors(spark, sf_dir), TOP_K, SIMILAR_THRESHOLD)

@@ -176,14 +176,13 @@ def fx_all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_sparse_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One edge per customer, from all orders: the customer after its last order of a day (FIXTURES.md B.3)."""
+    """Successor customer per order day: every distinct pair of consecutive orders (FIXTURES.md B.3)."""
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     w = Window.partitionBy("o_orderdate").orderBy("o_orderkey")
     pairs = (
-        orders.select("o_orderkey", "o_custkey", F.lead("o_custkey").over(w).alias("next_cust"))
+        orders.select("o_custkey", F.lead("o_custkey").over(w).alias("next_cust"))
         .where(F.col("next_cust").isNotNull() & (F.col("next_cust") != F.col("o_custkey")))
-        .groupBy("o_custkey")
-        .agg(F.max_by("next_cust", "o_orderkey").alias("next_cust"))
+        .distinct()
     )
     cust = read(spark, sf_dir, "customer").select("c_custkey", "c_name")
     src = cust.select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("src"))

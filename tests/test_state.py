@@ -172,7 +172,7 @@ def test_similar_approx_scores_are_exact(spark):
     assert checked.where(F.abs(F.col("score") - F.col("a")) > 1e-6).count() == 0
     exact = SIM.similar_topk(vec.select(F.col("vec_id").alias("query_id"), "embedding"), vec, 10, exclude_self=True)
     hit = exact.join(approx.select("query_id", "vec_id"), ["query_id", "vec_id"], "left_semi").count()
-    assert hit / exact.count() >= 0.8  # near-random 64-d vectors: a hard case for any index
+    assert hit / exact.count() >= 0.9  # near-random 64-d vectors: a hard case for any index
     odd = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [1.0]), (4, [2.0]), (5, None)], "vec_id long, embedding array<float>")
     near = {(r["query_id"], r["vec_id"]) for r in SIM.similar_approx(odd, k=3).collect()}
     assert near >= {(1, 2), (2, 1), (3, 4), (4, 3)} and not any(5 in p for p in near)
