@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from linkweave.plans import oracle as O
 from linkweave.plans.catalog import fx_graph, register
 from linkweave.sources import tables as TB
@@ -66,13 +68,64 @@ def t2_changed_content_stream(spark, sf_dir):
     return ST.changed_content_stream(stream, f"{base}/out", f"{base}/ckpt")
 
 
+_LINKS_AT = """SELECT u.title, u.event_id, u.updated_at, l.target_title AS target FROM changed u
+  JOIN fx_links l ON l.source_id = u.page_id AND substr(md5(u.content_hash || l.target_title), 1, 1) < '8'"""
+
+
+@register(
+    "t2_link_delta_stream",
+    O.cte(
+        "fx_links",
+        "fx_updates",
+        extra=[
+            (
+                "content",
+                """SELECT *, lag(content_hash) OVER w AS prev FROM fx_updates WHERE content_hash IS NOT NULL
+  WINDOW w AS (PARTITION BY title ORDER BY updated_at, event_id)""",
+            ),
+            (
+                "changed",
+                """SELECT *, lag(event_id) OVER (PARTITION BY title ORDER BY updated_at, event_id) AS prev_event,
+  lead(event_id) OVER (PARTITION BY title ORDER BY updated_at, event_id) AS next_event
+  FROM content WHERE prev IS NULL OR prev <> content_hash""",
+            ),
+            ("held", _LINKS_AT),
+        ],
+    )
+    + """SELECT h.title, h.event_id, h.updated_at, h.target, 'added' AS change FROM held h JOIN changed c USING (event_id)
+WHERE NOT EXISTS (SELECT 1 FROM held p WHERE p.event_id = c.prev_event AND p.target = h.target)
+UNION ALL
+SELECT n.title, n.event_id, n.updated_at, h.target, 'removed' FROM held h JOIN changed c USING (event_id)
+JOIN changed n ON n.event_id = c.next_event
+WHERE NOT EXISTS (SELECT 1 FROM held p WHERE p.event_id = n.event_id AND p.target = h.target)""",
+)
+def t2_link_delta_stream(spark, sf_dir):
+    """Links that every content change adds and removes; a content shows about half of its page's links, by hash."""
+    updates = TB.fx_page_updates(spark, sf_dir)
+    shown = TB.fx_links(spark, sf_dir).select(F.col("source_id").alias("page_id"), "target_title")
+    pairs = updates.where(F.col("content_hash").isNotNull()).select("event_id", "page_id", "content_hash").join(shown, "page_id")
+    pairs = pairs.where(F.substring(F.md5(F.concat("content_hash", "target_title")), 1, 1) < "8")
+    lists = pairs.groupBy("event_id").agg(F.collect_set("target_title").alias("links"))  # one page's links
+    base = ST.scratch(spark, "t2links")
+    rows = updates.join(lists, "event_id", "left").select("event_id", "title", "updated_at", "content_hash", "links")
+    rows.withColumn("day", F.to_date("updated_at")).write.partitionBy("day").parquet(f"{base}/source")
+    schema = "event_id long, title string, updated_at timestamp_ntz, content_hash string, links array<string>, day date"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(f"{base}/source")
+    return ST.link_delta_stream(stream, f"{base}/out", f"{base}/ckpt")
+
+
+def _t3(spark, sf_dir, name):
+    base, stream = _stream(spark, sf_dir, name)
+    links = ST.read_links(spark, ST.stage_links(TB.fx_links(spark, sf_dir), f"{base}/links"))
+    return ST.export_stream(stream, links, f"{base}/out", f"{base}/ckpt")
+
+
 @register(
     "t3_export_stream_nodes",
     O.cte("fx_updates") + "SELECT DISTINCT title FROM fx_updates WHERE fetch_status = 'success'",
 )
 def t3_export_stream_nodes(spark, sf_dir):
-    base, stream = _stream(spark, sf_dir, "t3n")
-    return ST.export_stream(stream, TB.fx_links(spark, sf_dir), f"{base}/out", f"{base}/ckpt")[0]
+    return _t3(spark, sf_dir, "t3n")[0]
 
 
 @register(
@@ -84,8 +137,7 @@ JOIN fx_links l ON l.source_id = u.page_id
 WHERE l.target_title IN (SELECT title FROM fx_updates WHERE fetch_status = 'success')""",
 )
 def t3_export_stream_edges(spark, sf_dir):
-    base, stream = _stream(spark, sf_dir, "t3e")
-    return ST.export_stream(stream, TB.fx_links(spark, sf_dir), f"{base}/out", f"{base}/ckpt")[1]
+    return _t3(spark, sf_dir, "t3e")[1]
 
 
 @register(

@@ -10,18 +10,21 @@ its own output), which makes them idempotent.
 * T1 ``refresh_stream``        -- M9 under a stream: success flips are logged per batch and folded into snapshots
 * T2 ``changed_content_stream`` -- emit a change only when a page's content differs
   from the last one seen (per-title state, ``applyInPandasWithState``)
-* T3 ``export_stream``          -- append new nodes and the edges whose two ends are exported
+* T2 ``link_delta_stream``     -- and the links that it adds and removes (value and map state, ``transformWithState``)
+* T3 ``export_stream``          -- stream-stream joins: append new nodes and the edges whose two ends are exported
 * T4 ``status_counts_stream``   -- per-page status in state, +1/-1 deltas folded into counts
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from linkweave.operators import graph as G
@@ -203,50 +206,124 @@ def changed_content_stream(stream: DataFrame, out_dir: str, checkpoint: str) ->
     return spark.read.schema(_CHANGE_OUT).parquet(out_dir)
 
 
-# ---------------------------------------------------------------- T3
-_NODE, _EDGE = "title string, page_id long", "src string, dst string"
+_DELTA_LINKS = "title string, event_id long, updated_at timestamp_ntz, target string, change string"
 
 
-def export_stream(
-    stream: DataFrame, links: DataFrame | Callable[[], DataFrame], out_dir: str, checkpoint: str
-) -> tuple[DataFrame, DataFrame]:
-    """Append pages when first seen in ``success``, and edges when both their ends are exported.
-
-    A micro-batch exports (1) the pages of its success updates that are new,
-    (2) the current links of all pages it touched, (3) the links from exported
-    pages to its new ones -- of these only edges between exported pages that
-    earlier batches have not written.  ``links`` may be a function that reads
-    the link table anew, so links added later leave with the next success
-    update of their page.
+class LinkDeltas(StatefulProcessor):
+    """Per page: its last content (a value) and its links (a map); emits links added and removed.
+
+    Rows that are not later than the page's last one are late or replayed and
+    change nothing; a row with the same content changes nothing but the time.
+    A page's rows of one micro-batch are put in order in memory, which the
+    files per trigger bound.
     """
-    spark = stream.sparkSession
 
-    def append(batch: DataFrame, batch_id: int) -> None:
-        done = _batches_before(spark, f"{out_dir}/nodes", batch_id, _NODE)
-        touched = batch.where(F.col("fetch_status") == "success").select("title", "page_id").distinct()
-        fresh = f"{out_dir}/nodes/batch={batch_id}"
-        touched.join(done, "title", "left_anti").write.mode("overwrite").parquet(fresh)
-        new = spark.read.schema(_NODE).parquet(fresh)
-        known = done.unionByName(new)
-        current = links() if callable(links) else links
-        src = lambda pages: pages.select(F.col("page_id").alias("source_id"), F.col("title").alias("src"))
-        into_new = current.join(new.select(F.col("title").alias("target_title")), "target_title", "left_semi")
-        edges = (
-            current.join(src(touched), "source_id")
-            .join(known.select(F.col("title").alias("target_title")), "target_title", "left_semi")
-            .select("src", F.col("target_title").alias("dst"))
-            .unionByName(into_new.join(src(done), "source_id").select("src", F.col("target_title").alias("dst")))
-            .distinct()
-        )
-        before = _batches_before(spark, f"{out_dir}/edges", batch_id, _EDGE)
-        edges.join(before, ["src", "dst"], "left_anti").write.mode("overwrite").parquet(f"{out_dir}/edges/batch={batch_id}")
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "content string, updated_at timestamp_ntz, event_id long")
+        self.links = handle.getMapState("links", "target string", "event_id long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last = self.seen.get() if self.seen.exists() else None
+        content, after = (last[0], (pd.Timestamp(last[1]), last[2])) if last is not None else (None, None)
+        held = {k[0] for k in self.links.keys()} if self.links.exists() else set()
+        stored, out = set(held), []
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(ORDER, kind="stable")
+        for r in pdf.itertuples(index=False):
+            at = (r.updated_at, r.event_id)
+            if after is not None and at <= after:
+                continue
+            after = at
+            if r.content_hash == content:
+                continue
+            content, now = r.content_hash, {x for x in r.links if x is not None}
+            out += [(key[0], r.event_id, r.updated_at, x, "added") for x in sorted(now - held)]
+            out += [(key[0], r.event_id, r.updated_at, x, "removed") for x in sorted(held - now)]
+            held = now
+        if after is not None:
+            self.seen.update((content, after[0].to_pydatetime(), int(after[1])))
+        for x in held - stored:
+            self.links.updateValue((x,), (int(after[1]),))
+        for x in stored - held:
+            self.links.removeKey((x,))
+        yield pd.DataFrame(out, columns=["title", "event_id", "updated_at", "target", "change"])
 
-    _run(stream.drop("day").writeStream.foreachBatch(append).option("checkpointLocation", checkpoint))
-    every = 1 << 62
-    return (
-        _batches_before(spark, f"{out_dir}/nodes", every, _NODE).select("title"),
-        _batches_before(spark, f"{out_dir}/edges", every, _EDGE),
+    def close(self) -> None:
+        pass
+
+
+def link_delta_stream(stream: DataFrame, out_dir: str, checkpoint: str) -> DataFrame:
+    """Links that a content change adds to or removes from its page.
+
+    ``stream`` has ``title, event_id, updated_at, content_hash, links
+    array<string>``; rows without content (null hash) change nothing.  Returns
+    ``(title, event_id, updated_at, target, change)`` with change ``added`` or
+    ``removed``; the first content of a page adds all its links.
+    """
+    spark = stream.sparkSession
+    rows = stream.where(F.col("content_hash").isNotNull()).select(
+        "title", "event_id", "updated_at", "content_hash", F.coalesce("links", F.array().cast("array<string>")).alias("links")
     )
+    deltas = rows.groupBy("title").transformWithStateInPandas(LinkDeltas(), _DELTA_LINKS, "Append", "None")
+    with _rocksdb(spark):
+        _run(deltas.writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", checkpoint))
+    return spark.read.schema(_DELTA_LINKS).parquet(out_dir)
+
+
+@contextmanager
+def _rocksdb(spark: SparkSession):
+    """State of any size per task: RocksDB on disk instead of the heap, for the queries started inside."""
+    key, held = "spark.sql.streaming.stateStore.providerClass", None
+    held = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if held is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, held)
+
+
+# ---------------------------------------------------------------- T3
+_NODE, _EDGE = "title string, page_id long", "src string, dst string"
+LINK_SCHEMA = "source_id long, target_title string, created_at timestamp_ntz"
+
+
+def stage_links(links: DataFrame, folder: str) -> str:
+    """Write links as one folder of files per month, as a producer of new links would."""
+    rows = links.select("source_id", "target_title", F.col("created_at").cast("timestamp_ntz").alias("created_at"))
+    rows.withColumn("month", F.date_format("created_at", "yyyy-MM")).write.mode("append").partitionBy("month").parquet(folder)
+    return folder
+
+
+def read_links(spark: SparkSession, folder: str, files_per_trigger: int = 64) -> DataFrame:
+    return spark.readStream.schema(LINK_SCHEMA + ", month string").option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+
+
+def export_stream(pages: DataFrame, links: DataFrame, out_dir: str, checkpoint: str) -> tuple[DataFrame, DataFrame]:
+    """Append pages on their first success, and edges once both their ends are exported.
+
+    Two streams are joined in state: page updates and links.  A page leaves
+    once, a link waits in the state of two joins (source, then target) until
+    both its pages have succeeded, and leaves with whatever comes last, a page
+    or the link itself.  Nothing that was written is read again, so a batch
+    costs what it brings.  No watermark bounds the state: a link may come years
+    after its pages and must still leave, so state stays as large as the exported
+    tables, on disk (RocksDB) and spread over the shuffle partitions.
+    """
+    spark = pages.sparkSession
+
+    def first_success() -> DataFrame:
+        return pages.where(F.col("fetch_status") == "success").select("title", "page_id").dropDuplicates(["title", "page_id"])
+
+    linked = links.select("source_id", "target_title").dropDuplicates(["source_id", "target_title"])
+    sources = first_success().select(F.col("page_id").alias("source_id"), F.col("title").alias("src"))
+    targets = first_success().select(F.col("title").alias("target_title"))
+    edges = linked.join(sources, "source_id").join(targets, "target_title").select("src", F.col("target_title").alias("dst"))
+    with _rocksdb(spark):
+        for name, out in (("nodes", first_success()), ("edges", edges)):
+            _run(out.writeStream.format("parquet").option("path", f"{out_dir}/{name}").option("checkpointLocation", f"{checkpoint}/{name}"))
+    return spark.read.schema(_NODE).parquet(f"{out_dir}/nodes").select("title"), spark.read.schema(_EDGE).parquet(f"{out_dir}/edges")
 
 
 # ---------------------------------------------------------------- T4
