@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from linkweave.llm import conversations, langid, licenses, lm_scoring, merkle, mixing, ngram_join, packing, sharding, spotsigs, toxicity, trie_dedup, url_filter
+from linkweave.llm import conversations, langid, licenses, lm_scoring, merkle, mixing, ngram_join, oracles, packing, sharding, spotsigs, toxicity, trie_dedup, url_filter
 from linkweave.llm.common import table
 from linkweave.llm.registry import ORACLES, QUERIES, register
 
@@ -70,17 +70,17 @@ def op7_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-@register("op11_backoff_automaton")
+@register("op11_backoff_automaton", oracles.LM_SQL)
 def op11_backoff_automaton(spark, sf_dir):
     return lm_scoring.score(table(spark, sf_dir, "documents"))
 
 
-@register("op12_merkle_manifest")
+@register("op12_merkle_manifest", oracles.MERKLE_SQL)
 def op12_merkle_manifest(spark, sf_dir):
     proved = merkle.prove(table(spark, sf_dir, "documents"))
     return proved.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
-@register("op13_conversation_repair")
+@register("op13_conversation_repair", oracles.REPAIR_SQL)
 def op13_conversation_repair(spark, sf_dir):
     return conversations.repair(table(spark, sf_dir, "conversations"))
