@@ -8,9 +8,9 @@ the doc_id and a seed.  All candidate seeds of a source are summed in one
 aggregate and the one that lands nearest its target is taken, so small sources
 with a few long documents stay near their targets as well.
 
-Scale: documents are shuffled by (source, salt) as partial sums only; the
-source table meets the documents in a join that Spark broadcasts when it is
-small and can split when one source is hot.
+Scale: documents leave their tasks as partial sums per source only.  The source
+table is broadcast while it is small (counted); beyond that it meets the
+documents in a shuffled join, which Spark can split when one source is hot.
 """
 
 from __future__ import annotations
@@ -18,12 +18,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkweave.llm.common import fixed, text_of
+from linkweave.llm.common import fixed, small, text_of
 from linkweave.operators.ranking import dense_rank_table
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
 SEEDS = 64
+BROADCAST_SOURCES = 200_000  # a name and six numbers each: some tens of MB
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -57,49 +58,76 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFra
     return src.select("source", "source_size", target.cast("double").alias("target"))
 
 
+def _draw_key():
+    """What a document's draw is made from: its doc_id, or a digest of the text where it has none."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.md5(text_of().cast("binary")))
+
+
 def _draw(seed):
     """Hash draw in [0, 1) of the document: 52 bits of an md5, which other engines can repeat."""
-    digest = F.md5(F.concat_ws(":", seed.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    digest = F.md5(F.concat_ws(":", seed.cast("string"), F.col("key")).cast("binary"))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seeds: int = SEEDS) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken.
+def _with_source(rows: DataFrame, table: DataFrame) -> DataFrame:
+    return rows.join(table, rows["source"].eqNullSafe(table["s"]))
 
-    Null text has size 0; a null source is a source of its own, last in order;
-    null ids share one draw; rows that repeat a doc_id share its draw.  Sources
-    of size 0 get target 0.  An empty table gives an empty result.
+
+def source_rates(sized: DataFrame, weights=WEIGHTS, cap: int = CAP, seeds: int = SEEDS) -> DataFrame:
+    """Per source (``s``): source_size, target, whole and part of the rate, and the seed whose draws land nearest the target.
+
+    ``sized`` has (key, source, size).  The frame carries a broadcast hint while
+    there are at most ``BROADCAST_SOURCES`` sources (counted).
     """
-    sized = fixed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words().alias("size")))
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = fixed(source_targets(sizes, weights, cap))
+    n = targets.count()
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(0.0)
     rates = targets.select(F.col("source").alias("s"), "source_size", "target", F.floor(rate).alias("whole"), (rate - F.floor(rate)).alias("part"))
-
-    def with_rates(x: DataFrame, r: DataFrame) -> DataFrame:
-        return x.join(r, x["source"].eqNullSafe(r["s"]))
-
     tries = [F.sum(F.when(_draw(F.lit(k)) < F.col("part"), F.col("size")).otherwise(0)).alias(f"s{k}") for k in range(seeds)]
-    trial = with_rates(sized, rates).groupBy("s", "source_size", "target", "whole", "part").agg(*tries)
+    trial = _with_source(sized, small(rates, n, BROADCAST_SOURCES)).groupBy("s", "source_size", "target", "whole", "part").agg(*tries)
     miss = F.array(*[F.struct(F.abs(F.col("whole") * F.col("source_size") + F.col(f"s{k}") - F.col("target")).alias("miss"), F.lit(k).alias("seed")) for k in range(seeds)])
     chosen = fixed(trial.select("s", "source_size", "target", "whole", "part", F.array_min(miss)["seed"].alias("seed")))
-    copies = F.col("whole") + F.when(_draw(F.col("seed")) < F.col("part"), 1).otherwise(0)
-    out = with_rates(sized, chosen).withColumn("copies", copies.cast("long"))
+    return small(chosen, n, BROADCAST_SOURCES)
+
+
+def _copies():
+    return (F.col("whole") + F.when(_draw(F.col("seed")) < F.col("part"), 1).otherwise(0)).cast("long")
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    return fixed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _draw_key().alias("key"), F.col("source").cast("string").alias("source"), n_words().alias("size")))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seeds: int = SEEDS) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, copies, taken.
+
+    Null text has size 0; a null source is a source of its own, last in order;
+    a document without an id is drawn by its text; rows that repeat a doc_id (or
+    an id-less text) share a draw.  Sources of size 0 get target 0.  An empty
+    table gives an empty result.
+    """
+    sized = _sized(docs)
+    out = _with_source(sized, source_rates(sized, weights, cap, seeds)).withColumn("copies", _copies())
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every document row ``copies`` times, with the columns of ``docs``."""
-    plan = mix(docs, **options).where(F.col("copies") > 0)
-    # Copies depend on (doc_id, source) only, so repeated rows need one plan row.
-    plan = plan.groupBy(F.col("doc_id").alias("_lw_id"), F.col("source").alias("_lw_source")).agg(F.max("copies").cast("int").alias("_lw_copies"))
-    joined = docs.join(plan, docs["doc_id"].cast("long").eqNullSafe(plan["_lw_id"]) & docs["source"].cast("string").eqNullSafe(plan["_lw_source"]))
-    repeated = joined.withColumn("_lw_nth", F.explode(F.sequence(F.lit(1), F.col("_lw_copies"))))
-    return repeated.select(*[docs[c] for c in docs.columns])
+    """The mix itself: every document row ``copies`` times, with the columns of ``docs``.
+
+    A row's copies follow from its source's rate and its own draw, so texts stay
+    where they are while the sources are few enough to broadcast.
+    """
+    rates = source_rates(_sized(docs), **options)
+    names = {c: f"_lw_{i}" for i, c in enumerate(docs.columns)}
+    keep = docs.select(*[F.col(c).alias(n) for c, n in names.items()], _draw_key().alias("key"), F.col("source").cast("string").alias("source"))
+    drawn = _with_source(keep, rates).withColumn("copies", _copies()).where("copies > 0")
+    repeated = drawn.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return repeated.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 MIX_SQL = f"""WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+  SELECT doc_id, coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) AS key, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 w AS (SELECT *, [{", ".join(f"{x}.0" for x in WEIGHTS)}][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1)::INT]::DOUBLE AS weight FROM src),
 -- Sources reach their cap in the order of cap / weight.
@@ -111,8 +139,8 @@ lv AS (SELECT (total - used)::DOUBLE / free AS level FROM c WHERE (total - used)
 t AS (SELECT source, source_size, CASE WHEN weight * level >= {CAP} * source_size THEN ({CAP} * source_size)::DOUBLE ELSE weight * level END AS target
       FROM w LEFT JOIN lv ON true),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, {CAP}.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate FROM t),
-d AS (SELECT s.doc_id, s.size, r.*, floor(rate) AS whole, rate - floor(rate) AS part FROM sized s JOIN r ON s.source IS NOT DISTINCT FROM r.source),
-k AS (SELECT d.*, seed, ('0x' || substr(md5(seed::VARCHAR || ':' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / {float(1 << 52)!r} < part AS extra
+d AS (SELECT s.doc_id, s.key, s.size, r.*, floor(rate) AS whole, rate - floor(rate) AS part FROM sized s JOIN r ON s.source IS NOT DISTINCT FROM r.source),
+k AS (SELECT d.*, seed, ('0x' || substr(md5(seed::VARCHAR || ':' || key), 1, 13))::BIGINT::DOUBLE / {float(1 << 52)!r} < part AS extra
       FROM d, range({SEEDS}) q(seed)),
 m AS (SELECT source, seed, abs(max(whole) * max(source_size) + sum(CASE WHEN extra THEN size ELSE 0 END) - max(target)) AS miss FROM k GROUP BY source, seed),
 b AS (SELECT source, seed FROM m QUALIFY row_number() OVER (PARTITION BY source ORDER BY miss, seed) = 1)
