@@ -2,16 +2,18 @@
 
 Texts are equal when identical after lower-casing A-Z.  Each map task first
 merges its own copies in a compressed radix trie over the full byte strings;
-what is left is partitioned by (byte length, content hash), and the owner task
-of a key inserts the byte strings into a trie whose terminal nodes store the
-chosen identifier and the number of copies.
+what is left is partitioned by (byte length, bucket of the content hash), and
+the owner of a partition inserts all its byte strings into one trie, whose
+terminal nodes store the chosen identifier and the number of copies; the trie's
+terminals are the groups.
 
 Bounded memory: a map trie above ``trie_bytes`` spills its largest root subtree
-as partial rows to the next stage (Spark's shuffle files are the spill store);
-an owner task receives its rows sorted by (length, hash), so the tries of
-earlier keys are complete and leave memory as soon as the key moves on.  A text
-that a third of all rows share reaches its owner as one row per map task and
-spill, not as one row per document.
+as partial rows to the next stage (Spark's shuffle files are the spill store).
+An owner's rows come in byte order inside (length, bucket), so every subtree
+left of the last key's path is complete: above ``trie_bytes`` these leave memory
+as results.  A text that a third of all rows share reaches its owner as one row
+per map task and spill, not as one row per document, and a length that a third
+of all rows share is ``HASH_BUCKETS`` owners.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from linkweave.llm.common import bounded_batches, lower_ascii, shuffle_partitions, text_of
 
 TRIE_BYTES = 32 << 20
+HASH_BUCKETS = 1 << 12
 _PARTIAL = "text string, text_sha256 string, n_bytes int, ident long, copies long"
 
 
@@ -102,6 +105,18 @@ class PatriciaTrie:
         yield from self.walk(node, b"")
         self.size = sum(len(x.label) + 200 for kid in self.root.kids.values() for x in _nodes(kid))
 
+    def settle(self, last: bytes) -> Iterator[tuple[bytes, object, int | None, int]]:
+        """With keys in byte order, take all but the last key out of memory: they cannot come again."""
+        held = None
+        for key, payload, ident, copies in self.walk(self.root, b""):
+            if key == last:
+                held = (key, payload, ident, copies)
+            else:
+                yield key, payload, ident, copies
+        self.root, self.size = _Node(b""), 0
+        if held is not None:
+            self.insert(*held)
+
     def drain(self) -> Iterator[tuple[bytes, object, int | None, int]]:
         yield from self.walk(self.root, b"")
         self.root, self.size = _Node(b""), 0
@@ -154,31 +169,41 @@ def _map_side(best, trie_bytes: int):
     return run
 
 
-def _owner_side(best):
+def _owner_side(best, trie_bytes: int):
     def run(batches):
-        trie, done, key_now = PatriciaTrie(best), [], None
+        trie, done, now = PatriciaTrie(best), [], None
 
-        def flush():
+        def take(found):
             # A terminal's string is its text; owners return the digest, not the text.
-            for key, (sha,), ident, copies in trie.drain():
-                done.append(("", sha, len(key), ident, copies))
+            done.extend(("", sha, len(key), ident, copies) for key, (sha,), ident, copies in found)
 
         for batch in batches:
             for key, sha, n, ident, copies in _rows(batch):
-                if (n, sha) != key_now:  # sorted input: the tries of earlier keys are complete
-                    flush()
-                    key_now = (n, sha)
-                    if len(done) >= 4096:
-                        yield _batches(done)
-                        done.clear()
+                part = (n, _bucket_of(sha))
+                if part != now:  # rows come by (length, bucket): the trie before is complete
+                    take(trie.drain())
+                    now = part
                 trie.insert(key, (sha,), ident, copies)
-        flush()
+                if trie.size > trie_bytes:
+                    take(trie.settle(key))
+                if len(done) >= 4096:
+                    yield _batches(done)
+                    done.clear()
+        take(trie.drain())
         if done:
             yield _batches(done)
 
     return run
 
 
+def _bucket_of(sha: str) -> int:
+    return int(sha[:8], 16) % HASH_BUCKETS
+
+
+def _bucket_column():
+    return (F.conv(F.substring("text_sha256", 1, 8), 16, 10).cast("long") % HASH_BUCKETS).cast("int")
+
+
 def owners(docs: DataFrame, keep: str = "min", trie_bytes: int = TRIE_BYTES) -> DataFrame:
     """One row per distinct normalised text: text_sha256, n_bytes, keep_id, group_size.
 
@@ -190,8 +215,9 @@ def owners(docs: DataFrame, keep: str = "min", trie_bytes: int = TRIE_BYTES) ->
         "text", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), F.octet_length("text").cast("int").alias("n_bytes"), "ident", F.lit(1).cast("long").alias("copies")
     )
     partial = rows.mapInArrow(_map_side(best, trie_bytes), _PARTIAL)
-    dealt = partial.repartition(shuffle_partitions(docs.sparkSession), "n_bytes", "text_sha256").sortWithinPartitions("n_bytes", "text_sha256")
-    own = dealt.mapInArrow(_owner_side(best), _PARTIAL)
+    dealt = partial.withColumn("bucket", _bucket_column()).repartition(shuffle_partitions(docs.sparkSession), "n_bytes", "bucket")
+    dealt = dealt.sortWithinPartitions("n_bytes", "bucket", "text").drop("bucket")
+    own = dealt.mapInArrow(_owner_side(best, trie_bytes), _PARTIAL)
     return own.select("text_sha256", "n_bytes", F.col("ident").alias("keep_id"), F.col("copies").alias("group_size"))
 
 
