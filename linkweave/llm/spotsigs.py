@@ -2,9 +2,10 @@
 
 A spot signature is a common-word anchor followed by a chain of the next
 content words; a document's fingerprint is the set of its signatures (32-bit
-hashes, sorted, written in hexadecimal).  Sets are partitioned by length: two
-sets whose length ratio is below ``PRUNE`` cannot be alike beyond it and are
-given likeness 0 without a comparison; the rest get their exact Jaccard value.
+hashes, sorted, written in hexadecimal).  Sets are partitioned by length, in
+partitions of a ratio of ``1 / PRUNE``: sets of the same or neighbouring
+partitions get their exact Jaccard value, two that lie further apart cannot be
+alike beyond ``PRUNE`` and get likeness 0 without a comparison.
 
 Each text meets the next document's by one shuffle of the texts: ranges of
 doc_id (bounds from quantiles) are window partitions, and the first document of
@@ -66,10 +67,10 @@ def length_class(sigs: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Pruned Jaccard of two signature sets; two empty sets are equal (1)."""
-    short, long = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
     both = F.size(F.array_intersect(a, b))
-    far = (F.abs(length_class(a) - length_class(b)) > 1) | (short < long * PRUNE)
-    return F.when(long == 0, F.lit(1.0)).when(far, F.lit(0.0)).otherwise(both / (short + long - both)).cast("double")
+    apart = F.abs(length_class(a) - length_class(b)) > 1
+    empty = (F.size(a) == 0) & (F.size(b) == 0)
+    return F.when(empty, F.lit(1.0)).when(apart, F.lit(0.0)).otherwise(both / (F.size(a) + F.size(b) - both)).cast("double")
 
 
 def _range_of(key: Column, bounds: list[int]) -> Column:
@@ -111,7 +112,9 @@ def fingerprints(docs: DataFrame, anchors=ANCHORS) -> DataFrame:
     first = first.groupBy("before").agg(F.min(F.struct("at", "text", "doc_id")).alias("r"))
     copies = first.select("r.doc_id", "r.text", "r.at", F.col("before").alias("range"), F.lit(1).alias("extra"))
 
-    both = with_signatures(rows.unionByName(copies).select("doc_id", "text", "at", "range", "extra"), "text", "sigs", anchors)
+    # Texts are shuffled, signatures made where they are compared.
+    dealt = rows.unionByName(copies).select("doc_id", "text", "at", "range", "extra").repartition(shuffle_partitions(spark), "range")
+    both = with_signatures(dealt, "text", "sigs", anchors)
     inside = Window.partitionBy("range").orderBy("extra", "at", "text")
     both = both.withColumn("next", F.lead(F.struct("text", "sigs")).over(inside)).where(F.col("extra") == 0)
     n_chars = F.length("text")
