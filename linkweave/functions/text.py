@@ -1,4 +1,4 @@
-"""Column expressions for titles, hrefs and URLs (JVM-side, but for character references).
+"""Column expressions for titles, hrefs and URLs (JVM-side).
 
 These are the per-row rules of the link model written as Spark expressions so
 they run inside whole-stage codegen over whole tables.
@@ -6,10 +6,6 @@ they run inside whole-stage codegen over whole tables.
 
 from __future__ import annotations
 
-import html
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,22 +92,6 @@ def href_to_title(href: Column | str, prefix: str = ARTICLE_PREFIX) -> Column:
     return F.when(under, decode_title(path))
 
 
-def unescape_html_attr(col: Column | str) -> Column:
-    """Decode every character reference (named, decimal, hexadecimal) that ends in ``;``.
-
-    The table of names has over two thousand entries, so this is the one text
-    rule that leaves the JVM: an Arrow batch of attribute values at a time.
-    """
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("string")
-    def decode(values: pd.Series) -> pd.Series:
-        one = re.compile(r"&(?:#\d+|#[xX][0-9a-fA-F]+|\w+);")
-        return values.map(lambda v: one.sub(lambda m: html.unescape(m.group()), v) if v and "&" in v else v)
-
-    return decode(_c(col))
-
-
 def content_hash(col: Column | str) -> Column:
     """Lower-case hex MD5 of the UTF-8 bytes."""
     return F.md5(_c(col))

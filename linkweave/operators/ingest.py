@@ -1,13 +1,11 @@
 """A3 link extraction and X7 fetch-outcome classification over whole tables.
 
-Two extraction modes:
+Two extraction modes, one tokenizer (:mod:`linkweave.functions.markup`), run in
+Arrow batches of pages:
 
-* ``unscoped`` -- every ``<a href>`` of the page via ``regexp_extract_all`` +
-  ``explode``; stays in codegen, no Python.
+* ``unscoped`` -- every ``<a href>`` of the page;
 * ``scoped``   -- only anchors inside the element whose id is ``scope_id``
-  (default ``mw-content-text``).  Needs an HTML tokenizer, so it runs the
-  standard-library parser in ``mapInPandas`` (Arrow batches; one page is one
-  row, so no page is ever split or merged).
+  (default ``mw-content-text``).
 
 Both then apply the same column rules (X1-X5) and de-duplicate per page.
 """
@@ -21,73 +19,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkweave.functions import text as X
+from linkweave.functions.markup import anchor_hrefs
 from linkweave.sources import schemas as S
 
-# One attribute: a name, and a value in double quotes, single quotes or bare.
-_VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
-_ATTRIBUTE = rf"""[^\s"'>=/]+(?:\s*=\s*{_VALUE})?"""
-# Anchor start tag read attribute by attribute, up to the value of its first href.
-ANCHOR_HREF = rf"""(?i)<a(?:[\s/]+{_ATTRIBUTE})*?[\s/]+href\s*=\s*({_VALUE})"""
-# Text that holds no tags: comments, scripts and styles.
-NOT_MARKUP = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
-
 SCOPE_ID = "mw-content-text"
 
 
-def _raw_hrefs_unscoped(pages: DataFrame) -> DataFrame:
-    html = F.regexp_replace("html", NOT_MARKUP, "")
-    quoted = F.startswith("raw", F.lit('"')) | F.startswith("raw", F.lit("'"))
-    return pages.select("page_id", F.explode(F.regexp_extract_all(html, F.lit(ANCHOR_HREF), 1)).alias("raw")).select(
-        "page_id", X.unescape_html_attr(F.when(quoted, F.expr("substr(raw, 2, length(raw) - 2)")).otherwise(F.col("raw"))).alias("href")
-    )
-
-
-def _scoped_hrefs(scope_id: str):
+def _hrefs(scope_id: str | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from html.parser import HTMLParser
-
-        # HTML void elements (never closed).
-        void = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
-                "param", "source", "track", "wbr"}
-
-        class Scoped(HTMLParser):
-            def __init__(self):
-                super().__init__(convert_charrefs=True)
-                self.stack: list[str] = []
-                self.scope_depth: int | None = None
-                self.hrefs: list[str] = []
-
-            def handle_starttag(self, tag, attrs):
-                a = dict(attrs)
-                if self.scope_depth is not None and tag == "a" and a.get("href") is not None:
-                    self.hrefs.append(a["href"])
-                if tag in void:
-                    return
-                self.stack.append(tag)
-                if self.scope_depth is None and a.get("id") == scope_id:
-                    self.scope_depth = len(self.stack)
-
-            def handle_endtag(self, tag):
-                if tag in void or tag not in self.stack:
-                    return
-                while self.stack:
-                    top = self.stack.pop()
-                    if self.scope_depth is not None and len(self.stack) < self.scope_depth:
-                        self.scope_depth = None
-                    if top == tag:
-                        break
-
         for pdf in batches:
             ids, hrefs = [], []
-            for pid, html in zip(pdf["page_id"], pdf["html"]):
-                if html is None:
-                    continue
-                p = Scoped()
-                p.feed(html)
-                p.close()
-                ids.extend([pid] * len(p.hrefs))
-                hrefs.extend(p.hrefs)
-            yield pd.DataFrame({"page_id": pd.Series(ids, dtype="int64"), "href": pd.Series(hrefs, dtype="object")})
+            for page, text in zip(pdf["page_id"], pdf["html"], strict=True):
+                found = list(anchor_hrefs(text, scope_id)) if text else []
+                ids += [page] * len(found)
+                hrefs += found
+                if len(hrefs) > 100_000:
+                    yield pd.DataFrame({"page_id": pd.Series(ids, dtype="Int64"), "href": pd.Series(hrefs, dtype="object")})
+                    ids, hrefs = [], []
+            yield pd.DataFrame({"page_id": pd.Series(ids, dtype="Int64"), "href": pd.Series(hrefs, dtype="object")})
 
     return run
 
@@ -104,10 +53,7 @@ def extract_links(
     ``distinct=False`` keeps one row per anchor (for duplicate reports).
     """
     src = pages.select("page_id", "html")
-    if scoped:
-        hrefs = src.mapInPandas(_scoped_hrefs(scope_id), "page_id long, href string")
-    else:
-        hrefs = _raw_hrefs_unscoped(src)
+    hrefs = src.mapInPandas(_hrefs(scope_id if scoped else None), "page_id long, href string")
     titles = hrefs.select("page_id", X.href_to_title("href", prefix).alias("target_title"))
     kept = titles.where(F.col("target_title").isNotNull() & X.is_article_title("target_title"))
     return kept.dropDuplicates(["page_id", "target_title"]) if distinct else kept
