@@ -445,7 +445,7 @@ def m8_remove_out_edges(spark, sf_dir):
     return G.remove_out_edges(edges, latest.where(F.col("fetch_status") != S.STATUS_SUCCESS).select("title"))
 
 
-_M9_CTES = [
+M9_CTES = [
     PAGES_UPDATED_CTE,
     ("changed", f"SELECT * FROM pages_updated WHERE updated_at > TIMESTAMP '{SINCE}'"),
     (
@@ -460,6 +460,14 @@ _M9_CTES = [
 ]
 
 
+def m9_changes(spark, sf_dir):
+    """(titles changed since, the current edges of those that are a success)."""
+    changed = pages_updated(spark, sf_dir).where(F.col("updated_at") > F.lit(SINCE).cast("timestamp_ntz"))
+    ok = changed.where(F.col("fetch_status") == S.STATUS_SUCCESS).select(F.col("id").alias("source_id"), F.col("title").alias("src"))
+    fresh = TB.fx_links(spark, sf_dir).join(ok, "source_id").select("src", F.col("target_title").alias("dst"))
+    return changed.select("title"), fresh
+
+
 def _m9(spark, sf_dir):
     nodes, edges = fx_graph(spark, sf_dir)
     return G.refresh_graph(nodes, edges, pages_updated(spark, sf_dir), TB.fx_links(spark, sf_dir), SINCE)
@@ -467,7 +475,7 @@ def _m9(spark, sf_dir):
 
 @register(
     "m9_refresh_graph_edges",
-    O.cte("fx_nodes", "fx_updates", extra=_M9_CTES) + "SELECT * FROM new_edges",
+    O.cte("fx_nodes", "fx_updates", extra=M9_CTES) + "SELECT * FROM new_edges",
 )
 def m9_refresh_graph_edges(spark, sf_dir):
     return _m9(spark, sf_dir)[1]
@@ -475,7 +483,7 @@ def m9_refresh_graph_edges(spark, sf_dir):
 
 @register(
     "m9_refresh_graph_nodes",
-    O.cte("fx_nodes", "fx_updates", extra=_M9_CTES)
+    O.cte("fx_nodes", "fx_updates", extra=M9_CTES)
     + "SELECT title FROM fx_nodes UNION SELECT src FROM fresh UNION SELECT dst FROM fresh",
 )
 def m9_refresh_graph_nodes(spark, sf_dir):

@@ -4,7 +4,7 @@ The reference pushes nodes and edges to an external property graph in
 batches; here the sink is any Spark writer (parquet by default).  Semantics
 kept: nodes are success pages; an edge lands only if both ends are nodes;
 duplicates merge; counts are reported as *submitted* and as *landed*.
-Counting rides on the write itself through ``Observation`` (no extra pass).
+What lands is counted on the write itself through ``Observation``.
 """
 
 from __future__ import annotations
@@ -29,18 +29,19 @@ def export_edges(pages: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _write(df: DataFrame, path: str | None, fmt: str) -> int:
-    """Merge rows into the sink: those it already holds are not written again; returns rows sent."""
+    """Merge rows into the sink: those it already holds are not written again; returns rows landed."""
     spark = df.sparkSession
-    obs = Observation()
-    observed = df.observe(obs, F.count(F.lit(1)).alias("n"))
+    obs, rows = Observation(), df
+    if path is not None:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+            rows = df.join(spark.read.format(fmt).schema(df.schema).load(path), df.columns, "left_anti")
+    # Counted where it lands: after what the sink already holds has gone.
+    landing = rows.observe(obs, F.count(F.lit(1)).alias("n"))
     if path is None:
-        observed.write.format("noop").mode("overwrite").save()
-        return int(obs.get["n"])
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        held = spark.read.format(fmt).schema(df.schema).load(path)
-        observed = observed.join(held, df.columns, "left_anti")
-    observed.write.mode("append").format(fmt).save(path)
+        landing.write.format("noop").mode("overwrite").save()
+    else:
+        landing.write.mode("append").format(fmt).save(path)
     return int(obs.get["n"])
 
 
@@ -51,15 +52,16 @@ def full_export(
     spark = pages.sparkSession
     t0 = time.perf_counter()
     submitted_edges = G.graph_edges(pages, links)
-    n_obs, e_obs = Observation(), Observation()
-    nodes = export_nodes(pages.observe(n_obs, F.count_if(F.col("fetch_status") == S.STATUS_SUCCESS).alias("n")))
-    landed_nodes = _write(nodes, None if sink is None else f"{sink}/nodes", fmt)
-    edges = G.closed_edges(submitted_edges.observe(e_obs, F.count(F.lit(1)).alias("n")), pages).distinct()
+    # Counted by themselves: an export that lands nothing may skip reading its input.
+    nodes_submitted = pages.where(F.col("fetch_status") == S.STATUS_SUCCESS).count()
+    edges_submitted = submitted_edges.count()
+    landed_nodes = _write(export_nodes(pages), None if sink is None else f"{sink}/nodes", fmt)
+    edges = G.closed_edges(submitted_edges, pages).distinct()
     landed_edges = _write(edges, None if sink is None else f"{sink}/edges", fmt)
     secs = time.perf_counter() - t0
     row = {
-        "nodes_submitted": int(n_obs.get["n"]),
-        "edges_submitted": int(e_obs.get["n"]),
+        "nodes_submitted": nodes_submitted,
+        "edges_submitted": edges_submitted,
         "nodes_landed": landed_nodes,
         "edges_landed": landed_edges,
         "duration_sec": round(secs, 3),

@@ -7,7 +7,7 @@ a streaming checkpoint, so a restarted job resumes where it stopped; sinks
 written by ``foreachBatch`` are keyed by batch id (a replayed batch overwrites
 its own output), which makes them idempotent.
 
-* T1 ``refresh_stream``        -- M9 under a stream: success flips are logged per batch and folded into snapshots
+* T1 ``refresh_stream``        -- M9 under a stream: success flips are committed per batch as deltas of a graph log
 * T2 ``changed_content_stream`` -- emit a change only when a page's content differs
   from the last one seen (per-title state, ``applyInPandasWithState``)
 * T2 ``link_delta_stream``     -- and the links that it adds and removes (value and map state, ``transformWithState``)
@@ -27,10 +27,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from linkweave.operators import graph as G
 from linkweave.operators import maintain as M
 from linkweave.session import checkpoint_dir
-from linkweave.sources.snapshot import read_graph_snapshot, write_graph_snapshot
+from linkweave.sources import graph_log
 
 UPDATE_SCHEMA = (
     "event_id long, title string, page_id long, fetch_status string, content_hash string, "
@@ -132,44 +131,37 @@ def refresh_stream(
     links: DataFrame,
     out_dir: str,
     checkpoint: str,
-    commit_every: int = 4,
+    fold_every: int = 8,
 ) -> tuple[DataFrame, DataFrame]:
     """Keep a projected graph current under a stream of page changes (M9 semantics).
 
-    Each micro-batch logs only the pages whose success-ness flipped (per-page
-    state in the state store), so a batch costs O(batch).  Every
-    ``commit_every`` batches, and at the end of a run, the log is folded into a
-    new snapshot version (:func:`graph_view`: base minus the out-edges of every
-    flipped page, plus the links of pages whose latest flip is to ``success``).
-    The fold starts from base and log, so a replayed batch or commit changes
-    nothing.  Returns the last committed snapshot.
+    Each micro-batch brings only the pages whose success-ness flipped (per-page
+    state in the state store) and commits them as a delta version of the graph
+    log: a tombstone for every flipped page, and the links of those that flipped
+    to ``success``.  Every ``fold_every`` batches the deltas are folded into a
+    full version.  A replayed batch commits the same tombstones and edges once
+    more, which changes nothing: its tombstones take out its own first copy.
+    Returns the last version.
     """
     spark = stream.sparkSession
     flips = stream.drop("day").groupBy("title").applyInPandasWithState(
         _success_flips, _FLIP_OUT, _FLIP_STATE, "append", GroupStateTimeout.NoTimeout
     )
-    log, snapshots = f"{out_dir}/flips", f"{out_dir}/snapshots"
-
-    def commit(up_to: int) -> None:
-        write_graph_snapshot(*graph_view(nodes, edges, links, _batches_before(spark, log, up_to + 1, _FLIP_OUT)), snapshots)
-
-    def append(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
-        if (batch_id + 1) % commit_every == 0:
-            commit(batch_id)
-
-    _run(flips.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint))
-    commit(1 << 62)
-    return read_graph_snapshot(spark, snapshots)[:2]
-
-
-def graph_view(nodes: DataFrame, edges: DataFrame, links: DataFrame, flips: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Current (nodes, edges) from a base graph and the flip log (latest flip per page wins)."""
-    latest = M.latest_per_title(flips, ORDER)
-    changed = latest.select(F.col("page_id").alias("id"), "title",
-                            F.when(F.col("success"), F.lit("success")).otherwise(F.lit("changed")).alias("fetch_status"),
-                            "updated_at")
-    return G.refresh_graph(nodes, edges, changed, links, None)
+    log = f"{out_dir}/graph"
+    if not graph_log.versions(spark, log):
+        graph_log.write_full(nodes, edges, log)
+
+    def commit(batch: DataFrame, batch_id: int) -> None:
+        latest = M.latest_per_title(batch, ORDER).persist()
+        ok = latest.where("success").select(F.col("page_id").alias("source_id"), F.col("title").alias("src"))
+        fresh = links.join(ok, "source_id").select("src", F.col("target_title").alias("dst")).distinct()
+        graph_log.write_delta(latest.select("title"), nodes.select("title").limit(0), fresh, log)
+        latest.unpersist()
+        if (batch_id + 1) % fold_every == 0:
+            graph_log.fold(spark, log)
+
+    _run(flips.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint))
+    return graph_log.read(spark, log)
 
 
 # ---------------------------------------------------------------- T2
