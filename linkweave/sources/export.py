@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from linkweave.operators import graph as G
+from linkweave.session import checkpoint_dir
 from linkweave.sources import schemas as S
 
 
@@ -98,6 +99,44 @@ def delta_export(
     return new_nodes, new_edges
 
 
+DIGEST_RANGES = 4096
+
+
+def _digests(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(range, n, mixed, total) per range of the key hash: equal rows in equal numbers give equal digests."""
+    h = F.xxhash64(*keys)
+    ranged = rows.select(F.shiftrightunsigned(h, 52).cast("int").alias("range"), F.xxhash64(h, *keys).alias("h"))
+    return ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h").alias("mixed"), F.sum(F.col("h").cast("decimal(20,0)")).alias("total"))
+
+
+def compare_rows(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:
+    """One row (expected, actual, missing, extra): row counts of both sides, and rows that only one of them has.
+
+    Each side is read once for the digests of ``DIGEST_RANGES`` hash ranges (a
+    count, a xor and a sum of 64-bit hashes); only the ranges that differ are
+    read again, row by row.  Repeated rows count as often as they occur.
+    """
+    spark = expected.sparkSession
+    checkpoint_dir(spark)
+    a, b = _digests(expected, keys), _digests(actual, keys)
+    both = a.join(b.select(F.col("range").alias("r2"), F.col("n").alias("n2"), F.col("mixed").alias("m2"), F.col("total").alias("t2")), F.col("range") == F.col("r2"), "full")
+    same = F.col("n").eqNullSafe(F.col("n2")) & F.col("mixed").eqNullSafe(F.col("m2")) & F.col("total").eqNullSafe(F.col("t2"))
+    ranges = both.select(F.coalesce("range", "r2").alias("range"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n2", F.lit(0)).alias("n2"), same.alias("same")).checkpoint()  # at most DIGEST_RANGES rows
+    counts = ranges.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("expected"), F.coalesce(F.sum("n2"), F.lit(0)).alias("actual"))
+    differing = ranges.where("NOT same").select("range")
+    zero = F.lit(0).cast("long")
+    if differing.isEmpty():
+        return counts.select("expected", "actual", zero.alias("missing"), zero.alias("extra"))
+
+    def rows_of(side: DataFrame, sign: int) -> DataFrame:
+        ranged = side.select(*keys, F.shiftrightunsigned(F.xxhash64(*keys), 52).cast("int").alias("range"))
+        return ranged.join(F.broadcast(differing), "range", "left_semi").select(*keys, F.lit(sign).cast("long").alias("sign"))
+
+    off = rows_of(expected, 1).unionByName(rows_of(actual, -1)).groupBy(*keys).agg(F.sum("sign").alias("off"))
+    off = off.agg(F.coalesce(F.sum(F.greatest("off", zero)), zero).alias("missing"), F.coalesce(F.sum(F.greatest(-F.col("off"), zero)), zero).alias("extra"))
+    return counts.crossJoin(off)  # one row each
+
+
 def verify_export(
     pages: DataFrame, links: DataFrame, exported_nodes: DataFrame, exported_edges: DataFrame
 ) -> DataFrame:
@@ -105,36 +144,25 @@ def verify_export(
 
     ``literal`` checks compare with all success pages and *all* links, as the
     reference does (so they flag false alarms); ``strict`` checks compare with
-    what an export should contain and count rows missing or extra both ways.
+    what an export should contain and count rows missing or extra both ways
+    (:func:`compare_rows`).
     """
-    exp_nodes = export_nodes(pages)
-    exp_edges = export_edges(pages, links)
-    n_success = G.success_pages(pages).agg(F.count(F.lit(1)).alias("v"))
-    n_links = links.agg(F.count(F.lit(1)).alias("v"))
-    n_nodes = exported_nodes.agg(F.count(F.lit(1)).alias("v"))
-    n_edges = exported_edges.agg(F.count(F.lit(1)).alias("v"))
-    n_exp_edges = exp_edges.agg(F.count(F.lit(1)).alias("v"))
-    missing_nodes = exp_nodes.exceptAll(exported_nodes.select("title")).agg(F.count(F.lit(1)).alias("v"))
-    extra_nodes = exported_nodes.select("title").exceptAll(exp_nodes).agg(F.count(F.lit(1)).alias("v"))
-    missing_edges = exp_edges.exceptAll(exported_edges.select("src", "dst")).agg(F.count(F.lit(1)).alias("v"))
-    extra_edges = exported_edges.select("src", "dst").exceptAll(exp_edges).agg(F.count(F.lit(1)).alias("v"))
-
-    def check(name, expected, actual):
-        return expected.select(F.col("v").alias("expected")).crossJoin(  # 1 x 1 rows
-            actual.select(F.col("v").alias("actual"))
-        ).select(F.lit(name).alias("check"), "expected", "actual", (F.col("expected") == F.col("actual")).alias("ok"))
-
-    zero = n_nodes.select(F.lit(0).cast("long").alias("v"))
-    parts = [
-        check("literal_nodes", n_success, n_nodes),
-        check("literal_edges", n_links, n_edges),
-        check("strict_edges", n_exp_edges, n_edges),
-        check("strict_missing_nodes", zero, missing_nodes),
-        check("strict_extra_nodes", zero, extra_nodes),
-        check("strict_missing_edges", zero, missing_edges),
-        check("strict_extra_edges", zero, extra_edges),
+    nodes = compare_rows(export_nodes(pages), exported_nodes, ["title"])
+    edges = compare_rows(export_edges(pages, links), exported_edges, ["src", "dst"])
+    n_success = G.success_pages(pages).agg(F.count(F.lit(1)).alias("success"))
+    n_links = links.agg(F.count(F.lit(1)).alias("links"))
+    one = nodes.select(F.col("actual").alias("nodes"), F.col("missing").alias("lost_nodes"), F.col("extra").alias("new_nodes")).crossJoin(
+        edges.select(F.col("expected").alias("wanted"), F.col("actual").alias("edges"), F.col("missing").alias("lost_edges"), F.col("extra").alias("new_edges"))
+    ).crossJoin(n_success).crossJoin(n_links)  # one row each
+    zero = F.lit(0).cast("long")
+    checks = [
+        ("literal_nodes", F.col("success"), F.col("nodes")),
+        ("literal_edges", F.col("links"), F.col("edges")),
+        ("strict_edges", F.col("wanted"), F.col("edges")),
+        ("strict_missing_nodes", zero, F.col("lost_nodes")),
+        ("strict_extra_nodes", zero, F.col("new_nodes")),
+        ("strict_missing_edges", zero, F.col("lost_edges")),
+        ("strict_extra_edges", zero, F.col("new_edges")),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    rows = F.array(*[F.struct(F.lit(n).alias("check"), e.alias("expected"), a.alias("actual"), (e == a).alias("ok")) for n, e, a in checks])
+    return one.select(F.explode(rows).alias("r")).select("r.*")

@@ -85,3 +85,14 @@ def test_repeated_exports_count_what_lands(spark, tmp_path):
     assert (second.nodes_landed, second.edges_landed, second.nodes_submitted, second.edges_submitted) == (0, 0, 2, 3)
     more = links.unionByName(spark.createDataFrame([(2, "b")], "source_id long, target_title string"))
     assert EX.full_export(pages, more, sink).first().edges_landed == 1
+
+
+def test_range_digests_find_every_difference(spark):
+    rows = [(f"a{i % 50}", f"b{i}") for i in range(3000)] + [("twice", "x"), ("twice", "x")]
+    want = _edges(spark, rows)
+    assert tuple(EX.compare_rows(want, want.repartition(5), ["src", "dst"]).first()) == (3002, 3002, 0, 0)
+    other = _edges(spark, rows[3:] + [("new", "y"), ("twice", "x"), (None, "z")])
+    assert tuple(EX.compare_rows(want, other, ["src", "dst"]).first()) == (3002, 3002, 3, 3)
+    none = want.limit(0)
+    assert tuple(EX.compare_rows(want, none, ["src", "dst"]).first()) == (3002, 0, 3002, 0)
+    assert tuple(EX.compare_rows(none, none, ["src", "dst"]).first()) == (0, 0, 0, 0)
