@@ -261,8 +261,10 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS
     chosen = fixed(known.where(uniform("doc_id") < rate))
     n = chosen.count()
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    sample = text.join(small(chosen, n, 4 * max_per_class), "doc_id").withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(3)))
-    sample = fixed(sample)  # bounded by max_per_class documents
+    sample = text.join(small(chosen, n, 4 * max_per_class), "doc_id")
+    # One text per id, however many rows repeat it: bounded by max_per_class documents.
+    sample = sample.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(3)))
+    sample = fixed(sample)
     lex = sample.where("fold < 2")
     words = lex.select("text", "toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("w")).where(F.length("w") >= 3)
     # A text counts once, however often it was copied into the sample.
