@@ -83,7 +83,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; intermediate tables go to the session's shared checkpoint folder."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     base = f"{checkpoint_dir(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
@@ -91,4 +91,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             path = f"{base}/{i}-{name}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            _delete(spark, before)  # the stage that read it is written; the last table stays for the result
+            before = path
     return docs
+
+
+def _delete(spark: SparkSession, path: str | None) -> None:
+    if path is not None:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
