@@ -108,7 +108,7 @@ def t2_link_delta_stream(spark, sf_dir):
     lists = pairs.groupBy("event_id").agg(F.collect_set("target_title").alias("links"))  # one page's links
     base = ST.scratch(spark, "t2links")
     rows = updates.join(lists, "event_id", "left").select("event_id", "title", "updated_at", "content_hash", "links")
-    rows.withColumn("day", F.to_date("updated_at")).write.partitionBy("day").parquet(f"{base}/source")
+    ST.stage(rows.withColumn("day", F.to_date("updated_at")), f"{base}/source", "day", "event_id")
     schema = "event_id long, title string, updated_at timestamp_ntz, content_hash string, links array<string>, day date"
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(f"{base}/source")
     return ST.link_delta_stream(stream, f"{base}/out", f"{base}/ckpt")
