@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from linkweave.operators import similarity as SIM
+from linkweave.operators import traverse as TR
 from linkweave.streaming import refresh as R
 
 
@@ -58,3 +59,43 @@ def test_partial_lists_of_a_query_travel_once(spark):
     plan = SIM.similar_approx(vec, 3)._jdf.queryExecution().executedPlan().toString()
     assert "_salt" not in plan
     assert dict(SIM.list_index(vec)[0].dtypes)["embedding"] == "array<float>"  # not made twice as wide before it travels
+
+
+def test_long_paths_from_cells_without_paths(spark):
+    """More levels than are kept apart, ties, a cycle, a question without an end and one with a limit."""
+    chain = [(f"n{i:02}", f"n{i + 1:02}") for i in range(11)] + [("n03", "n01"), ("n04", "m05"), ("m05", "n06")]
+    edges = spark.createDataFrame(chain, "src string, dst string")
+    rows = [(1, "n00", "n11", -1), (2, "n05", "n09", -1), (3, "n09", "n00", -1), (4, "n00", "n11", 10)]
+    asked = spark.createDataFrame(rows, "query_id long, `from` string, `to` string, max_depth int")
+    long = ["n00", "n01", "n02", "n03", "n04", "m05", *[f"n{i:02}" for i in range(6, 12)]]
+    for search in (TR.shortest_paths, TR.shortest_paths_bidirectional):
+        got = {r.query_id: (r.found, r.path, r.hops) for r in search(edges, asked).collect()}
+        assert got == {1: (True, long, 11), 2: (True, [f"n{i:02}" for i in range(5, 10)], 4), 3: (False, None, None), 4: (False, None, None)}
+
+
+def test_a_level_is_cells_of_64_questions(spark, monkeypatch):
+    seen = []
+    counts = TR._bit_counts
+    monkeypatch.setattr(TR, "_bit_counts", lambda cells, slots: seen.extend(cells) or counts(cells, slots))
+    hub = [(f"s{i:03}", "hub") for i in range(100)] + [("hub", "x"), ("x", "y"), ("y", "z")]
+    asked = spark.createDataFrame([(i, f"s{i:03}", "z", -1) for i in range(100)], "query_id long, `from` string, `to` string, max_depth int")
+    out = TR.shortest_paths(spark.createDataFrame(hub, "src string, dst string"), asked).collect()
+    assert all(r.path == [r["from"], "hub", "x", "y", "z"] and r.explored == 4 for r in out) and len(out) == 100
+    words = -(-100 // 64) + spark.sparkContext.defaultParallelism + 8  # words are filled per range of questions
+    assert seen and all(c.count() <= words and "path" not in c.columns for c in seen)  # 100 rows with paths before
+
+
+def test_capped_neighbourhood_holds_bounded_lists(spark, monkeypatch):
+    most = []
+    top = TR.top_k_per_group
+    monkeypatch.setattr(TR, "top_k_per_group", lambda df, group, order, k, **kw: most.append((group, k)) or top(df, group, order, k, **kw))
+    pairs = [("a", f"b{i:02}") for i in range(30)] + [(f"b{i:02}", f"c{j:02}") for i in range(3) for j in range(30)] + [("d", "a"), ("d", None), ("d", "d")]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    centres = spark.createDataFrame([(1, "a"), (2, "b01"), (3, "d"), (4, "none"), (1, "a")], "query_id long, title string")
+    nodes, _ = TR.neighborhood(edges, centres, 2, 5)
+    got = {}
+    for r in sorted(map(tuple, nodes.collect()), key=lambda r: (r[0], r[2], r[1] or "")):
+        got.setdefault(r[0], []).append(r[1:])
+    assert got[1] == [("a", 0), *[(f"b{i:02}", 1) for i in range(4)]] and got[2] == [("b01", 0), *[(f"c{i:02}", 1) for i in range(4)]]
+    assert got[3] == [("d", 0), (None, 1), ("a", 1), ("b00", 2), ("b01", 2)] and 4 not in got
+    assert most == [(["at"], 5)]  # of a node's out-edges no more than the cap; the rows of all pairs were ranked before
