@@ -99,3 +99,22 @@ def test_capped_neighbourhood_holds_bounded_lists(spark, monkeypatch):
     assert got[1] == [("a", 0), *[(f"b{i:02}", 1) for i in range(4)]] and got[2] == [("b01", 0), *[(f"c{i:02}", 1) for i in range(4)]]
     assert got[3] == [("d", 0), (None, 1), ("a", 1), ("b00", 2), ("b01", 2)] and 4 not in got
     assert most == [(["at"], 5)]  # of a node's out-edges no more than the cap; the rows of all pairs were ranked before
+
+
+def test_last_level_of_both_sides_is_not_made(spark, monkeypatch):
+    made = []
+    for name in ("_ckpt", "_ckpt_obs"):
+        plain = getattr(TR, name)
+        monkeypatch.setattr(TR, name, lambda df, plain=plain, **m: (out := plain(df, **m), made.append(out[0] if m else out))[0])
+    pairs = [("a", "h"), ("b", "h")] + [(x, f"l{i:03}") for x in ("h", "k") for i in range(200)] + [(f"l{i:03}", "z") for i in (7, 5)] + [("z", "y"), ("z", "y")]
+    rows = [(1, "a", "l150", -1), (2, "b", "z", -1), (2, "b", "z", -1), (3, "a", "y", 3), (4, "z", "a", -1), (None, "a", "h", -1), (5, "b", "y", -1)]
+    asked = spark.createDataFrame(rows, "query_id long, `from` string, `to` string, max_depth int")
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    got = {r.query_id: (r.path, r.hops, r.explored) for r in TR.shortest_paths_bidirectional(edges, asked).collect()}
+    assert got[1] == (["a", "h", "l150"], 2, 2) and got[3] == (None, None, 3) and got[4] == (None, None, 2)
+    assert got[5][0] == ["b", "h", "l005", "z", "y"]
+    assert got[2][1:] == (3, 10)  # twice there: counts as often
+    made.clear()
+    TR.shortest_paths_bidirectional(edges, asked.where("query_id IN (1, 4)")).count()
+    held = [df for df in made if "node" in df.columns and {"slot", "query_id"} & {*df.columns}]
+    assert held and max(df.count() for df in held) <= 4  # the leaves of h, with their paths, before
