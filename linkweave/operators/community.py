@@ -8,15 +8,17 @@ members in the same round, which keeps simultaneous moves from undoing each
 other.  A level ends when rounds no longer raise the modularity; its best
 labels (they are all measured) become the nodes of the next level.
 
-Gains and modularity are exact integers (decimal(38)): weights are edge counts,
-2m * w(i, c) - k(i) * tot(c) decides, ties go to the smallest label.  The result
+Gains and modularity are exact integers (long while (2m)^2 is one, else
+decimal(38)): weights are edge counts, 2m * w(i, c) - k(i) * tot(c) decides, ties
+go to the smallest label.  The result
 is therefore the same for every partitioning.
 
 Scale: a round is one pass over the edges, kept partitioned with hubs salted
-(:class:`KeyedEdges`), a combined sum per (node, community), fixed once, and a
-join of these rows with the community totals, whose plain shuffle the adaptive
-skew join splits where a community is large.  Only two sums per round reach the
-driver.
+(:class:`KeyedEdges`), a combined sum per (node, community), and a join of the
+rows that can decide a move with the community totals, whose plain shuffle the
+adaptive skew join splits where a community is large.  Only the labels are kept,
+a row per node; the sums of the level's best labels are made again once for the
+contraction.  Only two sums per round reach the driver.
 """
 
 from __future__ import annotations
@@ -31,22 +33,33 @@ from linkweave.operators.traverse import KeyedEdges, _ckpt, _ckpt_obs, encode_gr
 MAX_ROUNDS = 12  # per level
 PATIENCE = 2  # rounds without a gain before a level ends
 _EXACT = "decimal(18,0)"
+_LONG = 1 << 63
 
 
 def _pairs(keyed: KeyedEdges, labels: DataFrame) -> DataFrame:
     """(node, c, w, k, own): weight between a node and each community it touches, its own always among them."""
-    near = keyed.expand(labels.select("node", "c")).select(F.col("dst").alias("node"), "c", "w", F.col("kd").alias("k"), F.lit(False).alias("own"))
+    # The labels are unique per node: hashing them spares a sort of all edges.
+    near = keyed.expand(labels.select("node", "c").hint("shuffle_hash")).select(F.col("dst").alias("node"), "c", "w", F.col("kd").alias("k"), F.lit(False).alias("own"))
     own = labels.select("node", "c", F.lit(0).cast("long").alias("w"), "k", F.lit(True).alias("own"))
     return near.unionByName(own).groupBy("node", "c").agg(F.sum("w").alias("w"), F.max("k").alias("k"), F.max("own").alias("own"))
 
 
-def _moves(pairs: DataFrame, two_m: int, turn: int) -> DataFrame:
+def _exact(two_m: int) -> str:
+    """Type in which products of two weights are exact: none is above (2m)^2."""
+    return "long" if two_m**2 < _LONG else _EXACT
+
+
+def _takes(turn: int):
+    return F.pmod(F.xxhash64(F.col("c"), F.lit(turn)), F.lit(2)) == 1
+
+
+def _moves(pairs: DataFrame, totals: DataFrame, two_m: int, turn: int) -> DataFrame:
     """(node, k, old, c, w, tot): the community of every node after the round; ``w`` and ``tot`` are its old one's."""
-    totals = pairs.groupBy("c").agg(F.coalesce(F.sum(F.when(F.col("own"), F.col("k"))), F.lit(0)).alias("tot"))
-    joined = pairs.join(totals, "c")
-    gain = F.lit(two_m).cast(_EXACT) * F.col("w").cast(_EXACT) - F.col("k").cast(_EXACT) * (F.col("tot") - F.when(F.col("own"), F.col("k")).otherwise(0)).cast(_EXACT)
-    takes = F.pmod(F.xxhash64(F.col("c"), F.lit(turn)), F.lit(2)) == 1
-    scored = joined.select("node", "c", "w", "k", "tot", "own", gain.alias("gain"), takes.alias("takes"))
+    exact = _exact(two_m)
+    # A node stays or goes to a taker, so the other rows need no total.
+    joined = pairs.where(F.col("own") | _takes(turn)).join(totals.hint("shuffle_hash"), "c")
+    gain = F.lit(two_m).cast(exact) * F.col("w").cast(exact) - F.col("k").cast(exact) * (F.col("tot") - F.when(F.col("own"), F.col("k")).otherwise(0)).cast(exact)
+    scored = joined.select("node", "c", "w", "k", "tot", "own", gain.alias("gain"), _takes(turn).alias("takes"))
     best = scored.groupBy("node").agg(
         F.max("k").alias("k"),
         F.max(F.when(F.col("own"), F.struct("gain", "c", "w", "tot", "takes"))).alias("now"),
@@ -56,8 +69,8 @@ def _moves(pairs: DataFrame, two_m: int, turn: int) -> DataFrame:
     return best.select("node", "k", F.col("now.c").alias("old"), F.when(leaves, -F.col("there.least")).otherwise(F.col("now.c")).alias("c"), F.col("now.w").alias("w"), F.col("now.tot").alias("tot"))
 
 
-def _one_level(edges: DataFrame, nodes: DataFrame, two_m: int, inside: int) -> tuple[DataFrame, DataFrame, Decimal]:
-    """(labels (node, c), pairs of these labels, modularity times (2m)^2) of the level's best round.
+def _one_level(edges: DataFrame, nodes: DataFrame, two_m: int, inside: int) -> tuple[DataFrame, KeyedEdges, Decimal]:
+    """(labels (node, k, c), keyed edges, modularity times (2m)^2) of the level's best round.
 
     ``inside`` is the weight inside the nodes themselves, both directions.
     """
@@ -66,21 +79,20 @@ def _one_level(edges: DataFrame, nodes: DataFrame, two_m: int, inside: int) -> t
     keyed = KeyedEdges(_ckpt(with_k), "src", ("w", "kd"), fixed=True)
     labels = degree.withColumn("c", F.col("node"))
     best, stale = None, 0
+    # The squares of the totals, summed over communities, are k * tot summed over nodes.
+    square = F.sum(F.col("k").cast(_exact(two_m)) * F.col("tot").cast(_exact(two_m)))
     for turn in range(MAX_ROUNDS + 1):
-        pairs = _ckpt(_pairs(keyed, labels))
-        # The squares of the totals, summed over communities, are k * tot summed over nodes.
-        square = F.sum(F.col("k").cast(_EXACT) * F.col("tot").cast(_EXACT))
-        moved, m = _ckpt_obs(_moves(pairs, two_m, turn), own=F.sum("w"), squares=square)
+        totals = labels.groupBy("c").agg(F.sum("k").alias("tot"))
+        moved, m = _ckpt_obs(_moves(_pairs(keyed, labels), totals, two_m, turn), own=F.sum("w"), squares=square)
         value = Decimal(two_m) * (inside + int(m["own"] or 0)) - (m["squares"] or 0)  # of the labels before this round's moves
         if best is None or value > best[2]:
-            best, stale = (labels.select("node", "c"), pairs, value), 0
+            best, stale = (labels, keyed, value), 0
         else:
             stale += 1
         # Givers and takers are drawn anew: a round without a move is not the end by itself.
         if stale >= PATIENCE:
             break
         labels = moved.select("node", "k", "c")
-    keyed.unpersist()
     return best
 
 
@@ -98,14 +110,18 @@ def louvain(edges: DataFrame, nodes: DataFrame, max_levels: int = 20) -> tuple[D
     value, inside = None, 0
     current = _ckpt(flat.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")))
     for _ in range(max_levels if two_m else 0):
-        labels, pairs, found = _one_level(flat, current, two_m, inside)
+        labels, keyed, found = _one_level(flat, current, two_m, inside)
         if value is not None and found <= value:
+            keyed.unpersist()
             break
         value = found
+        pairs = _pairs(keyed, labels)
+        labels = labels.select("node", "c")
         member = _ckpt(member.join(labels, "node", "left").select("id", F.coalesce("c", "node").alias("node")))
         # Contraction: communities are the next nodes, weights between them add up.
         merged = pairs.select("node", F.col("c").alias("src"), "w").join(labels.select("node", F.col("c").alias("dst")), "node")
         merged, m = _ckpt_obs(merged.groupBy("src", "dst").agg(F.sum("w").alias("w")), inside=F.sum(F.when(F.col("src") == F.col("dst"), F.col("w"))))
+        keyed.unpersist()
         inside += int(m["inside"] or 0)
         flat = merged.where((F.col("src") != F.col("dst")) & (F.col("w") > 0))
         current = _ckpt(current.join(labels, "node").groupBy(F.col("c").alias("node")).agg(F.sum("k").alias("k")))

@@ -5,6 +5,7 @@ import datetime as dt
 import pandas as pd
 from pyspark.sql import functions as F
 
+from linkweave.operators import community as CM
 from linkweave.operators import similarity as SIM
 from linkweave.operators import traverse as TR
 from linkweave.streaming import refresh as R
@@ -118,3 +119,21 @@ def test_last_level_of_both_sides_is_not_made(spark, monkeypatch):
     TR.shortest_paths_bidirectional(edges, asked.where("query_id IN (1, 4)")).count()
     held = [df for df in made if "node" in df.columns and {"slot", "query_id"} & {*df.columns}]
     assert held and max(df.count() for df in held) <= 4  # the leaves of h, with their paths, before
+
+
+def test_louvain_keeps_a_row_per_node_and_round(spark, monkeypatch):
+    made = []
+    for name in ("_ckpt", "_ckpt_obs"):
+        plain = getattr(CM, name)
+        monkeypatch.setattr(CM, name, lambda df, plain=plain, **m: (out := plain(df, **m), made.append(out[0] if m else out))[0])
+    # Four cliques of eight in a ring: 32 nodes, 116 edges.
+    pairs = [(f"{g}{i}", f"{g}{j}") for g in "abcd" for i in range(8) for j in range(i)] + [("a0", "b1"), ("b0", "c1"), ("c0", "d1"), ("d0", "a1")]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    nodes = edges.selectExpr("src AS title").union(edges.selectExpr("dst")).distinct()
+    out, value = CM.louvain(edges, nodes)
+    sizes = [df.count() for df in made if {"node", "c"} <= {*df.columns}]
+    assert sizes and max(sizes) <= 32  # the sums per node and community, too, before
+    monkeypatch.setattr(CM, "_LONG", 0)  # decimals, where a product could be too large
+    again, same = CM.louvain(edges, nodes)
+    assert same == value and {tuple(r) for r in again.collect()} == {tuple(r) for r in out.collect()}
+    assert {(r.title[0], r.community, r.size) for r in out.collect()} == {(g, f"{g}0", 8) for g in "abcd"}
