@@ -18,13 +18,19 @@ Scale: a round is one pass over the edges, kept partitioned with hubs salted
 rows that can decide a move with the community totals, whose plain shuffle the
 adaptive skew join splits where a community is large.  Only the labels are kept,
 a row per node; the sums of the level's best labels are made again once for the
-contraction.  Only two sums per round reach the driver.
+contraction.  Only two sums per round reach the driver.  As soon as a level's
+graph is small (``ONE_TASK_EDGES``, counted) one task takes that level and all
+that follow, in the same rounds with the same integers: a round of jobs would
+cost more than the rest of the work.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from decimal import Decimal
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +38,7 @@ from linkweave.operators.traverse import KeyedEdges, _ckpt, _ckpt_obs, encode_gr
 
 MAX_ROUNDS = 12  # per level
 PATIENCE = 2  # rounds without a gain before a level ends
+ONE_TASK_EDGES = 2_000_000  # both directions; some 250 MB of a worker
 _EXACT = "decimal(18,0)"
 _LONG = 1 << 63
 
@@ -96,6 +103,88 @@ def _one_level(edges: DataFrame, nodes: DataFrame, two_m: int, inside: int) -> t
     return best
 
 
+def _level_in_memory(src: np.ndarray, dst: np.ndarray, w: np.ndarray, k: np.ndarray, turns: np.ndarray, two_m: int, inside: int) -> tuple[np.ndarray, int]:
+    """(labels, modularity times (2m)^2) as :func:`_one_level` finds them; nodes are numbers in id order, ``turns`` has a bit per round."""
+    n = len(k)
+    own_rows = np.arange(n)
+    labels, best, stale = own_rows, None, 0
+    for turn in range(MAX_ROUNDS + 1):
+        takes = (turns >> turn) & 1 == 1
+        total = np.zeros(n, np.int64)
+        np.add.at(total, labels, k)
+        # (node, community) pairs, the node's own always among them.
+        key = np.concatenate([dst * n + labels[src], own_rows * n + labels])
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        weight = np.add.reduceat(np.concatenate([w, np.zeros(n, np.int64)])[order], first)
+        node, c = np.divmod(key[first], n)
+        own = c == labels[node]
+        gain = two_m * weight - k[node] * (total[c] - np.where(own, k[node], 0))
+        now = np.flatnonzero(own)  # a row per node, in order
+        value = two_m * (inside + int(weight[now].sum())) - int((k * total[labels]).sum())  # of the labels before this round's moves
+        if best is None or value > best[1]:
+            best, stale = (labels, value), 0
+        else:
+            stale += 1
+        if stale >= PATIENCE:
+            break
+        there = np.flatnonzero(~own & takes[c])
+        there = there[np.lexsort((c[there], -gain[there], node[there]))]
+        there = there[np.concatenate([[True], node[there][1:] != node[there][:-1]])] if len(there) else there
+        leaves = there[~takes[labels[node[there]]] & (gain[there] > gain[now[node[there]]])]
+        labels = labels.copy()
+        labels[node[leaves]] = c[leaves]
+    return best
+
+
+def _levels_in_memory(node, k, turns, src, dst, w, two_m: int, inside: int, value: int | None, levels: int) -> tuple[np.ndarray, int | None]:
+    """(community of every node of ``node``, value) after the remaining levels; ``node`` is sorted."""
+    member, at = np.arange(len(node)), np.arange(len(node))  # at: the level's nodes among all
+    src, dst = np.searchsorted(node, src), np.searchsorted(node, dst)
+    for _ in range(levels):
+        labels, found = _level_in_memory(src, dst, w, k, turns[at], two_m, inside)
+        if value is not None and found <= value:
+            break
+        value = found
+        kept, number = np.unique(labels, return_inverse=True)
+        member = number[member]
+        total = np.zeros(len(kept), np.int64)
+        np.add.at(total, number, k)
+        # Contraction: communities are the next nodes, weights between them add up.
+        pair, back = np.unique(number[src] * len(kept) + number[dst], return_inverse=True)
+        merged = np.zeros(len(pair), np.int64)
+        np.add.at(merged, back, w)
+        src, dst = np.divmod(pair, len(kept))
+        inside += int(merged[src == dst].sum())
+        apart = (src != dst) & (merged > 0)
+        src, dst, w, k, at = src[apart], dst[apart], merged[apart], total, at[kept]
+        if not len(src):
+            break
+    return node[at[member]], value
+
+
+def _in_one_task(flat: DataFrame, current: DataFrame, two_m: int, inside: int, value: Decimal | None, levels: int) -> tuple[DataFrame, Decimal]:
+    """(labels (node, c), modularity times (2m)^2) of this level and all that follow."""
+    turns = sum((F.when(_takes(t), F.lit(1 << t)).otherwise(F.lit(0)) for t in range(MAX_ROUNDS + 1)), F.lit(0)).cast("long")
+    nodes = current.select(F.col("node").alias("c"), "k").select(F.lit(True).alias("is_node"), F.col("c").alias("a"), turns.alias("b"), F.col("k").alias("w"))
+    rows = nodes.unionByName(flat.select(F.lit(False).alias("is_node"), F.col("src").alias("a"), F.col("dst").alias("b"), "w")).repartition(1)
+    so_far = None if value is None else int(value)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = list(batches)
+        if not got:
+            return
+        is_node, a, b, w = (np.concatenate([x[c].to_numpy() for x in got]) for c in ("is_node", "a", "b", "w"))
+        del got
+        order = np.flatnonzero(is_node)[np.argsort(a[is_node])]
+        c, found = _levels_in_memory(a[order], w[order], b[order], a[~is_node], b[~is_node], w[~is_node], two_m, inside, so_far, levels)
+        yield pd.DataFrame({"node": a[order], "c": c, "value": np.full(len(c), found, np.int64)})
+
+    labels, m = _ckpt_obs(rows.mapInPandas(run, "node long, c long, value long"), value=F.max("value"))
+    return labels.drop("value"), Decimal(m["value"])
+
+
 def louvain(edges: DataFrame, nodes: DataFrame, max_levels: int = 20) -> tuple[DataFrame, float]:
     """(``(title, community, size)``, modularity): undirected communities of the page graph.
 
@@ -109,7 +198,11 @@ def louvain(edges: DataFrame, nodes: DataFrame, max_levels: int = 20) -> tuple[D
     member = ids.select("id", F.col("id").alias("node"))
     value, inside = None, 0
     current = _ckpt(flat.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")))
-    for _ in range(max_levels if two_m else 0):
+    for level in range(max_levels if two_m else 0):
+        if flat.count() <= ONE_TASK_EDGES and _exact(two_m) == "long":
+            labels, value = _in_one_task(flat, current, two_m, inside, value, max_levels - level)
+            member = _ckpt(member.join(labels, "node", "left").select("id", F.coalesce("c", "node").alias("node")))
+            break
         labels, keyed, found = _one_level(flat, current, two_m, inside)
         if value is not None and found <= value:
             keyed.unpersist()
