@@ -39,6 +39,8 @@ _UNLIMITED_LEVELS = 1 << 62
 _SENT_EDGES = 12_000_000
 _SENT_NODES = 4_000_000
 _FEW_QUESTIONS = 128
+# So many numbers reach the questions of a neighbourhood level at a time.
+_SLICE_NUMBERS = 400_000_000
 _ID_BITS = 40  # rank inside the range partition; see encode_graph
 
 
@@ -276,6 +278,27 @@ def encode_graph(edges: DataFrame, nodes: DataFrame | None = None, once: bool =
     return ids, enc
 
 
+def _numbering(nodes: DataFrame):
+    """(number of the first node of every range partition and the end, column -> number column) for ids of :func:`encode_graph`.
+
+    A node's number is its place in title order: an int, while there are not too many nodes.
+    """
+    nth = (1 << _ID_BITS) - 1
+    pid = F.shiftright("title", _ID_BITS).cast("int").alias("pid")
+    parts = nodes.groupBy(pid).agg(F.max(F.col("title").bitwiseAND(F.lit(nth))).alias("n")).collect()  # a row per partition
+    first = np.zeros(max((r.pid for r in parts), default=-1) + 2, np.int64)
+    for r in parts:
+        first[r.pid + 1] = r.n
+    first = np.cumsum(first)
+    before = F.array(*[F.lit(int(x) - 1).cast("long") for x in first])
+    kind = "int" if first[-1] < 1 << 31 else "long"
+
+    def number(c: str):
+        return (F.get(before, F.shiftright(c, _ID_BITS).cast("int")) + F.col(c).bitwiseAND(F.lit(nth))).cast(kind)
+
+    return first, number
+
+
 def _encoded_queries(queries: DataFrame, ids: DataFrame) -> DataFrame:
     """Queries with ``from``/``to`` replaced by ids (NULL when the title is no node)."""
     return (
@@ -484,24 +507,11 @@ def _bfs_paths(
 
 
 def _sent_graph(edges: DataFrame, nodes: DataFrame) -> tuple[BS.InEdges, np.ndarray] | None:
-    """(in-edges, number of the first node of every range partition and the end), or None if the graph is too large to be sent.
-
-    A node's number is its place in title order, made from its id.
-    """
-    pid, nth = F.shiftright("title", _ID_BITS), F.col("title").bitwiseAND(F.lit((1 << _ID_BITS) - 1))
-    parts = nodes.groupBy(pid.cast("int").alias("pid")).agg(F.max(nth).alias("n")).collect()  # a row per partition
-    first = np.zeros(max(r.pid for r in parts) + 2, np.int64)
-    for r in parts:
-        first[r.pid + 1] = r.n
-    first = np.cumsum(first)
+    """(in-edges, first of :func:`_numbering`), or None if the graph is too large to be sent."""
+    first, number = _numbering(nodes)
     if first[-1] > _SENT_NODES or edges.count() > _SENT_EDGES:
         return None
-    before = F.array(*[F.lit(int(x) - 1) for x in first])
-
-    def number(c: str):
-        return (F.get(before, F.shiftright(c, _ID_BITS).cast("int")) + F.col(c).bitwiseAND(F.lit((1 << _ID_BITS) - 1))).cast("int").alias(c)
-
-    pairs = edges.select(number("src"), number("dst")).toArrow()
+    pairs = edges.select(number("src").alias("src"), number("dst").alias("dst")).toArrow()
     return BS.InEdges.of(pairs["src"].to_numpy(), pairs["dst"].to_numpy(), int(first[-1])), first
 
 
@@ -825,58 +835,81 @@ def reachable(
 _NO_ID = -1
 
 
-def _capped_reach(edges: DataFrame, own: DataFrame, nodes: DataFrame) -> DataFrame:
+def _capped_reach(edges: DataFrame, own: DataFrame, titles: DataFrame) -> DataFrame:
     """(query_id, title, hops, _d): the first ``_cap`` nodes by (hops, title) of every question in ``own``.
 
     ``own`` has one row per question, with its seeds, depth and cap, and so have
-    the levels here: a question holds at most ``_cap`` ids, in title order.  Of a
-    node's out-edges only the least ``cap`` ids (the largest cap asked) can
-    count: if there are more, they fill the question by themselves, and a full
-    question grows no further.  So a node is one list of bounded length, and a
-    level sends lists of 8-byte ids to the question instead of a row per pair.
+    the levels here: a question holds at most ``_cap`` numbers, in title order
+    level by level, and how many it had after each level.  Of a node's out-edges
+    only the least ``cap`` (the largest cap asked) can count: if there are more,
+    they fill the question by themselves, and a full question grows no further.
+    So a node is one list of bounded length, and a level sends lists of 4-byte
+    numbers to the question instead of a row per pair.  The questions of a level
+    go in slices of some ``_SLICE_NUMBERS`` numbers sent, so that what a level
+    shuffles at a time doesn't grow with the questions.  ``titles``: of all nodes.
     """
+    spark = edges.sparkSession
     m = own.agg(F.max("_cap").alias("cap"), F.max("_d").alias("last")).first()
     cap, last = int(m["cap"] or 0), int(m["last"] or 0)
-    ids, _ = encode_graph(edges.limit(0), _nodes_of(edges).unionByName(nodes).distinct().withColumnRenamed("node", "title"))
+    ids, _ = encode_graph(edges.limit(0), titles.withColumnRenamed("node", "title"))
+    first, number = _numbering(ids.select(F.col("id").alias("title")))
+    ids = ids.select("title", number("id").alias("id"))
+    kind = dict(ids.dtypes)["id"]
+    no_id = F.lit(_NO_ID).cast(kind)
     pairs = (
         edges.select("src", "dst")
-        .distinct()
         .join(ids.select(F.col("title").alias("src"), F.col("id").alias("_s")), "src")
         .join(ids.select(F.col("title").alias("dst"), F.col("id").alias("_t")), "dst", "left")
-        .select(F.col("_s").alias("at"), F.coalesce("_t", F.lit(_NO_ID)).alias("to"))
+        .select(F.col("_s").alias("at"), F.coalesce("_t", no_id).alias("to"))
+        .distinct()
     )
     lists = top_k_per_group(pairs, ["at"], [F.col("to")], max(cap, 1), salt_cols=["to"])
-    lists = _ckpt(lists.groupBy("at").agg(F.collect_list("to").alias("to")))
-    no_rows = F.array().cast("array<long>")
+    lists, m = _ckpt_obs(lists.groupBy("at").agg(F.collect_list("to").alias("to")), n=F.count(F.lit(1)), to=F.sum(F.size("to")))
+    longest = -(-int(m["to"] or 0) // max(int(m["n"] or 0), 1))
+    sweep(spark)
+    no_rows = F.array().cast(f"array<{kind}>")
     seeds = own.select("query_id", "_d", "_cap", F.explode("_seeds").alias("title")).join(ids, "title")
     held = seeds.groupBy("query_id", "_d", "_cap").agg(F.sort_array(F.collect_list("id")).alias("all"))
-    held = _ckpt(held.select("query_id", "_d", "_cap", F.col("all").alias("new"), F.transform(F.slice("all", 1, F.col("_cap")), lambda x: F.struct(F.lit(0).alias("hops"), x.alias("id"))).alias("kept")))
-    for level in range(1, last + 1):
-        grow = held.where((F.col("_d") >= level) & (F.size("kept") < F.col("_cap")) & (F.size("new") > 0))
-        if grow.isEmpty():
-            break
+    held = held.select("query_id", "_d", "_cap", F.slice("all", 1, F.col("_cap")).alias("kept"))
+    held = _ckpt(held.withColumn("ends", F.array(F.size("kept"))))
+
+    def grown(held: DataFrame, level: int) -> DataFrame:
         near = (
-            grow.select(F.col("query_id").alias("_q"), F.explode("new").alias("at"))
+            held.where(grows(level))
+            .select(F.col("query_id").alias("_q"), F.explode(new).alias("at"))
             .join(lists, "at")
             .groupBy("_q")
             .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("to")))).alias("near"))
         )
-        been = F.filter(F.transform("kept", lambda x: x["id"]), lambda x: x != _NO_ID)
+        been = F.filter("kept", lambda x: x != no_id)
         room = F.greatest(F.col("_cap") - F.size("kept"), F.lit(0))
         met = held.join(near, F.col("query_id").eqNullSafe(F.col("_q")), "left").select(
-            "query_id", "_d", "_cap", "kept", F.slice(F.array_except(F.coalesce("near", no_rows), been), 1, room).alias("met")
+            "query_id", "_d", "_cap", "ends", "kept", F.slice(F.array_except(F.coalesce("near", no_rows), been), 1, room).alias("met")
         )
-        held = _ckpt(
-            met.select(
-                "query_id",
-                "_d",
-                "_cap",
-                F.filter("met", lambda x: x != _NO_ID).alias("new"),
-                F.concat("kept", F.transform("met", lambda x: F.struct(F.lit(level).alias("hops"), x.alias("id")))).alias("kept"),
-            )
-        )
-    flat = held.select("query_id", "_d", F.explode("kept").alias("_k")).select("query_id", "_d", F.col("_k.hops").alias("hops"), F.col("_k.id").alias("id"))
-    return flat.join(ids, "id", "left").select("query_id", "title", F.col("hops").cast("int").alias("hops"), "_d")
+        kept = F.concat("kept", "met")
+        return _ckpt(met.select("query_id", "_d", "_cap", kept.alias("kept"), F.concat("ends", F.array(F.size(kept))).alias("ends")))
+
+    # What the last level added; a missing title is never expanded.
+    begun = F.coalesce(F.get("ends", F.size("ends") - 2), F.lit(0))
+    new = F.filter(F.slice("kept", begun + 1, F.size("kept") - begun), lambda x: x != no_id)
+
+    def grows(level: int):
+        return (F.col("_d") >= level) & (F.size("kept") < F.col("_cap")) & (F.size(new) > 0)
+
+    for level in range(1, last + 1):
+        sent = held.where(grows(level)).agg(F.sum(F.size(new)).alias("n")).first()["n"]
+        if not sent:
+            break
+        slices = -(-int(sent) * longest // _SLICE_NUMBERS)
+        mine = F.pmod(F.xxhash64("query_id"), F.lit(slices))
+        parts = []
+        for i in range(slices):
+            parts.append(grown(held.where(mine == i) if slices > 1 else held, level))
+            sweep(spark)
+        held = union_all(parts)
+    hops = F.size(F.filter("ends", lambda x: x <= F.col("_pos")))
+    flat = held.select("query_id", "_d", "ends", F.posexplode("kept").alias("_pos", "id")).select("query_id", "_d", hops.alias("hops"), "id")
+    return flat.join(ids.hint("shuffle_hash"), "id", "left").select("query_id", "title", F.col("hops").cast("int").alias("hops"), "_d")
 
 
 def neighborhood(
@@ -893,7 +926,7 @@ def neighborhood(
     Centres that are not nodes of the graph give no rows.  ``depth`` and
     ``max_nodes`` columns override the arguments per centre.
     """
-    node_tbl = _nodes_of(edges) if nodes is None else nodes.select(F.col("title").alias("node"))
+    node_tbl = _ckpt(_nodes_of(edges)) if nodes is None else nodes.select(F.col("title").alias("node"))
     limits = [c for c in ("depth", "max_nodes") if c in centres.columns]
     centres = centres.select("query_id", "title", *limits).join(
         node_tbl.select(F.col("node").alias("title")), "title", "left_semi"
@@ -903,7 +936,8 @@ def neighborhood(
         F.coalesce(F.max("depth") if "depth" in limits else F.lit(None), F.lit(depth)).cast("int").alias("_d"),
         F.coalesce(F.max("max_nodes") if "max_nodes" in limits else F.lit(None), F.lit(max_nodes)).cast("int").alias("_cap"),
     )
-    kept = _ckpt(_capped_reach(edges, own, node_tbl))
+    # Not fixed here: it is one join away from the lists of the questions, which are far smaller.
+    kept = _capped_reach(edges, own, node_tbl if nodes is None else _nodes_of(edges).unionByName(node_tbl).distinct())
     inner = kept.where(F.col("hops") < F.col("_d")).select("query_id", F.col("title").alias("src"))
     sub_edges = (
         inner.join(edges.select("src", "dst"), "src")

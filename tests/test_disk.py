@@ -1,7 +1,9 @@
 """What a query keeps on disk beside its result."""
 
 import datetime as dt
+import random
 
+from linkweave.operators import traverse as TR
 from linkweave.sources import tables as TB
 
 
@@ -27,3 +29,43 @@ def test_derived_edges_are_made_once(spark, tmp_path):
         assert sorted(map(tuple, df.collect())) == sorted(rows)
         # Each of the uses of a traversal sorted the whole table before.
         assert "Window" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_neighbourhoods_grow_in_slices_of_compact_lists(spark, monkeypatch):
+    made = []
+    for name in ("_ckpt", "_ckpt_obs"):
+        plain = getattr(TR, name)
+        monkeypatch.setattr(TR, name, lambda df, plain=plain, **m: (out := plain(df, **m), made.append(out[0] if m else out))[0])
+    r = random.Random(2)
+    pairs = [(f"a{r.randrange(40):02}", f"a{r.randrange(40):02}") for _ in range(200)] + [("a01", None), ("a01", None), ("a02", None)]
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+    rows = [(i if i < 40 else None, f"a{i:02}" if i < 40 else "a07", 1 + i % 3, 3 + i) for i in range(41)] + [(5, "a30", 1, 2), (99, "none", 1, 5)]
+    centres = spark.createDataFrame(rows, "query_id long, title string, depth int, max_nodes int")
+    want = set()
+    for q in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == q and r[1] != "none"]
+        depth, cap = max((r[2] for r in own), default=0), max((r[3] for r in own), default=0)
+        level = {r[1] for r in own}
+        kept, hops = [(0, t) for t in sorted(level)][:cap], 0
+        while hops < depth and len(kept) < cap and level:
+            hops += 1
+            step = {b for a in level for b in near.get(a, ())} - {t for _, t in kept if t is not None}
+            kept += [(hops, t) for t in sorted(step, key=lambda t: (t is not None, t or ""))][: cap - len(kept)]
+            level = {t for h, t in kept if h == hops and t is not None}
+        want |= {(q, t, h) for h, t in kept}
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    for numbers in (TR._SLICE_NUMBERS, 60):
+        monkeypatch.setattr(TR, "_SLICE_NUMBERS", numbers)
+        made.clear()
+        nodes, sub = TR.neighborhood(edges, centres, 2, 10)
+        held = [df for df in made if "query_id" in df.columns]
+        # A row per question, its nodes as 4-byte numbers; a row per (question, node) and pairs of 32 bytes before.
+        assert held and all(df.count() <= 41 and dict(df.dtypes)["kept"] == "array<int>" for df in held)
+        assert sorted(map(repr, map(tuple, nodes.collect()))) == sorted(map(repr, want))
+    assert len(held) > 6 and max(df.count() for df in held[1:]) < 40
+    inner = {(q, t) for q, t, h in want if t is not None and h < max((r[2] for r in rows if r[0] == q), default=0)}
+    ends = {(q, t) for q, t, _ in want}
+    wanted = [(q, a, b) for a, b in pairs if b is not None for q in {r[0] for r in rows} if q is not None and (q, a) in inner and (q, b) in ends]
+    assert sorted(map(tuple, sub.collect())) == sorted(wanted)
