@@ -69,3 +69,26 @@ def test_neighbourhoods_grow_in_slices_of_compact_lists(spark, monkeypatch):
     ends = {(q, t) for q, t, _ in want}
     wanted = [(q, a, b) for a, b in pairs if b is not None for q in {r[0] for r in rows} if q is not None and (q, a) in inner and (q, b) in ends]
     assert sorted(map(tuple, sub.collect())) == sorted(wanted)
+
+
+def test_bidirectional_search_goes_in_slices(spark, monkeypatch):
+    made = []
+    for name in ("_ckpt", "_ckpt_obs"):
+        plain = getattr(TR, name)
+        monkeypatch.setattr(TR, name, lambda df, plain=plain, **m: (out := plain(df, **m), made.append(out[0] if m else out))[0])
+    r = random.Random(4)
+    pairs = [(f"a{r.randrange(50):02}", f"a{r.randrange(50):02}") for _ in range(90)] + [("a01", "hub")] + [("hub", f"a{i:02}") for i in range(0, 50, 2)]
+    rows = [(i, f"a{r.randrange(50):02}", f"a{r.randrange(50):02}", r.choice([2, 4])) for i in range(200)] + [(3, "a01", "a02", 4), (None, "a01", "a02", 4)]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    asked = spark.createDataFrame(rows, "query_id long, `from` string, `to` string, max_depth int")
+
+    def starts():
+        return max(df.count() for df in made if df.columns == ["slot", "node", "lvl"])
+
+    want = sorted(map(repr, TR.shortest_paths_bidirectional(edges, asked).collect()))
+    all_at_once = starts()
+    made.clear()
+    monkeypatch.setattr(TR, "_SLICE_QUESTIONS", 101)
+    assert sorted(map(repr, TR.shortest_paths_bidirectional(edges, asked).collect())) == want
+    assert starts() < all_at_once  # the levels of all questions were there together before
+    assert sum("path=[" in w for w in want) > 50
